@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from patternfold.llm.content_store import op3_content_store
 from patternfold.llm.ogg import op1_ogg
+from patternfold.llm.rank_bpe import op7_rank_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op3_content_store": op3_content_store,
+    "op7_rank_bpe": op7_rank_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
