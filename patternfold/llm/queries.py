@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patternfold.llm.content_store import op3_content_store
+from patternfold.llm.language_bits import op4_language_bits
 from patternfold.llm.ogg import op1_ogg
+from patternfold.llm.packing import op10_packing
 from patternfold.llm.rank_bpe import op7_rank_bpe
+from patternfold.llm.weak_rules import op2_weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
+    "op2_weak_rules": op2_weak_rules,
     "op3_content_store": op3_content_store,
+    "op4_language_bits": op4_language_bits,
     "op7_rank_bpe": op7_rank_bpe,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
