@@ -7,15 +7,32 @@ All work is numpy over the bytes of one slice of a batch, so the memory of a tas
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 CHUNK = 1 << 20
 
+def trim() -> None:
+    """Gives freed memory back to the machine: a worker process lives long, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _ODD = np.random.default_rng(20240601).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -26,6 +43,15 @@ _LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def is_space(raw: np.ndarray) -> np.ndarray:
+    return _SPACE[raw]
+
+
+def lower(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[raw]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept, and grown by doubling."""
     have = _POWERS.get(base)
@@ -68,12 +94,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most ``limit`` bytes of text (one row at least)."""
-    _, off = utf8(batch.column(column))
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    off = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     i, n = 0, batch.num_rows
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+        trim()
 
 
 class Words:
@@ -111,14 +139,11 @@ def word_marks(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(begin), np.flatnonzero(finish) + 1
 
 
-def words(column, lower: bool = False) -> Words:
-    raw, off = utf8(column)
-    start, end = word_marks(raw, off)
-    if not len(start):
-        return Words(raw, off, start, end, np.zeros(0, np.uint64))
+def segment_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of raw[start[i]:end[i]]; segments ascend and don't overlap."""
     out = np.empty(len(start), np.uint64)
     i = 0
-    while i < len(start):  # pieces of whole words, so that the sums stay in cache
+    while i < len(start):  # pieces of whole segments, so that the sums stay in cache
         a = start[i]
         j = max(i + 1, int(np.searchsorted(end, a + CHUNK, side="right")))
         piece = raw[a : end[j - 1]]
@@ -130,7 +155,13 @@ def words(column, lower: bool = False) -> Words:
         s, e = start[i:j] - a, end[i:j] - a
         out[i:j] = mix((sums[e] - sums[s]) * _powers(_INVERSE, len(piece))[s] + (e - s).astype(np.uint64))
         i = j
-    return Words(raw, off, start, end, out)
+    return out
+
+
+def words(column, lower: bool = False) -> Words:
+    raw, off = utf8(column)
+    start, end = word_marks(raw, off)
+    return Words(raw, off, start, end, segment_hashes(raw, start, end, lower))
 
 
 def windows(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -184,10 +215,11 @@ class HashIndex:
 
     def add(self, h: np.ndarray) -> None:
         """h: distinct and unknown."""
-        if (self.n + len(h)) * 2 > len(self.keys):
+        need = self.n + len(h)
+        if need * 5 > len(self.keys) * 3:
             old = np.empty(self.n, np.uint64)
             old[self.vals[self.vals >= 0]] = self.keys[self.vals >= 0]
-            self.clear(max(self.bits + 1, (2 * (self.n + len(h))).bit_length() + 1) if self.n else max(self.bits, (2 * len(h)).bit_length() + 1))
+            self.clear((2 * need - 1).bit_length())
             self._put(old)
         self._put(h)
 
