@@ -44,6 +44,6 @@ def total(rows: DataFrame, length: int) -> np.ndarray:
     parts = max(2, -(-length // PIECE))
     once = rows.select("key", "data").repartition(min(parts * SALT, 256), "key", (F.rand(1) * SALT).cast("int")).mapInArrow(_add, "key int, data binary")
     out = np.zeros(parts * PIECE, np.int64)
-    for row in once.repartition(min(parts, 64), "key").mapInArrow(_add, "key int, data binary").toLocalIterator():
+    for row in once.repartition(min(parts, 64), "key").mapInArrow(_add, "key int, data binary").collect():
         out[row.key * PIECE : row.key * PIECE + len(row.data) // 8] += np.frombuffer(row.data, np.int64)
     return out[:length]

@@ -42,7 +42,7 @@ def _stage(vocabulary: str, window: int, end_id: int):
         stats = np.zeros((1 << TERM_BITS) + 2, np.int64)  # document frequencies, documents, words
         for batch in batches:
             for part in slices(batch):
-                yield _stage_rows(part, *tokenizer.encode(part.column("text")), window, end_id, stats)
+                yield _stage_rows(part, tokenizer.encode_pieces(part.column("text")), window, end_id, stats)
         keys, data = arrays.pieces(stats)
         n = len(keys)
         none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64())]
@@ -51,74 +51,105 @@ def _stage(vocabulary: str, window: int, end_id: int):
     return run
 
 
-def _stage_rows(part: pa.RecordBatch, ids: np.ndarray, sizes: np.ndarray, window: int, end_id: int, stats: np.ndarray) -> pa.RecordBatch:
+def _terms(part: pa.RecordBatch, encoded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and first id (within the row) of every word, by row."""
+    _, sizes, lengths, term, row, odd = encoded
+    at = np.cumsum(lengths) - lengths
+    first = np.zeros(len(sizes), np.int64)
+    new = np.flatnonzero(np.diff(row, prepend=-1))
+    first[row[new]] = at[new]
+    at = at - first[row]
+    word = term > 0
+    row, term, at = row[word], term[word] >> np.uint32(32 - TERM_BITS), at[word]
+    if len(odd):  # encoded whole: words spread evenly over the ids
+        w = blocks.words(part.column("text").take(pa.array(odd)), lower=True)
+        of = odd[w.doc]
+        rank = np.arange(len(of)) - w.bounds[:-1][w.doc]
+        row, term, at = np.concatenate([row, of]), np.concatenate([term, (w.hash >> np.uint64(64 - TERM_BITS)).astype(np.uint32)]), np.concatenate([at, rank * sizes[of] // np.maximum(w.counts[w.doc], 1)])
+        order = np.argsort(row, kind="stable")
+        row, term, at = row[order], term[order], at[order]
+    return row, term.astype(np.int64), at
+
+
+def _stage_rows(part: pa.RecordBatch, encoded, window: int, end_id: int, stats: np.ndarray) -> pa.RecordBatch:
+    ids, sizes = encoded[:2]
     n = len(sizes)
     ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
+    row, term, at = _terms(part, encoded)
     sizes = sizes + 1
     first = np.cumsum(sizes) - sizes
     fulls = sizes // window
     data = ids.tobytes()
     full = [[zlib.crc32(data[4 * (a + k * window) : 4 * (a + (k + 1) * window)]) for k in range(m)] for a, m in zip(first.tolist(), fulls.tolist())]
-    tails = [data[4 * (a + m * window) : 4 * (a + s)] for a, m, s in zip(first.tolist(), fulls.tolist(), sizes.tolist())]
-    tails = [np.frombuffer(t, "<u4").astype(np.uint16).tobytes() if ids.max(initial=0) < 65536 else t for t in tails]
+    narrow = ids.max(initial=0) < 65536
+    data, width = (ids.astype("<u2").tobytes(), 2) if narrow else (data, 4)
+    tails = [data[width * (a + m * window) : width * (a + s)] for a, m, s in zip(first.tolist(), fulls.tolist(), sizes.tolist())]
 
-    w = blocks.words(part.column("text"), lower=True)
-    term = (w.hash >> np.uint64(64 - TERM_BITS)).astype(np.int64)
-    doc = w.doc
-    seen = np.unique(doc << TERM_BITS | term)
+    seen = np.sort(row << TERM_BITS | term)
+    seen = seen[np.diff(seen, prepend=-1) > 0]
     stats[: 1 << TERM_BITS] += np.bincount(seen & (1 << TERM_BITS) - 1, minlength=1 << TERM_BITS)
     stats[-2] += n
     stats[-1] += len(term)
 
-    # the tail's words: as large a share of the document's last words as it has of its ids
-    share = -(-w.counts * (sizes - fulls * window) // sizes)
-    at = ragged(w.bounds[1:] - share, share)
-    pair, tf = np.unique(doc[at] << TERM_BITS | term[at], return_counts=True)
+    mine = at >= (fulls * window)[row]
+    row, term = row[mine], term[mine]
+    words = np.bincount(row, minlength=n)
+    pair = np.sort(row << TERM_BITS | term)
+    head = np.flatnonzero(np.diff(pair, prepend=-1))
+    tf = np.minimum(np.diff(head, append=len(pair)), 65535)
+    pair = pair[head]
     owner, own = pair >> TERM_BITS, pair & (1 << TERM_BITS) - 1
     cuts = np.searchsorted(owner, np.arange(n + 1))
     route, least = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    if len(pair):
-        order = np.lexsort((own, -tf, owner))
-        head = order[np.unique(owner[order], return_index=True)[1]]
-        route[owner[head]] = own[head]
-        low = (mix(w.hash[at]) >> np.uint64(1)).astype(np.int64)
-        some = np.flatnonzero(share > 0)
-        least[some] = np.minimum.reduceat(low, (np.cumsum(share) - share)[some])
-    terms, tfs = own.astype("<u4").tobytes(), np.minimum(tf, 65535).astype("<u2").tobytes()
+    some = np.flatnonzero(np.diff(cuts))
+    if len(some):
+        best = np.minimum.reduceat((65535 - tf) << TERM_BITS | own, cuts[some])
+        route[some] = best & (1 << TERM_BITS) - 1
+        least[some] = np.minimum.reduceat((mix(own.astype(np.uint64)) >> np.uint64(1)).astype(np.int64), cuts[some])
+    terms, tfs = own.astype("<u4").tobytes(), tf.astype("<u2").tobytes()
     c = cuts.tolist()
     return pa.RecordBatch.from_arrays(
         [
             pa.array(["doc"] * n), part.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary()),
             pa.array([terms[4 * a : 4 * b] for a, b in zip(c, c[1:])], pa.binary()), pa.array([tfs[2 * a : 2 * b] for a, b in zip(c, c[1:])], pa.binary()),
-            pa.array(share.astype(np.int64)), pa.array(route.astype(np.int32)), pa.array(least), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+            pa.array(words.astype(np.int64)), pa.array(route.astype(np.int32)), pa.array(least), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
         ],
         _NAMES,
     )
 
 
 class Shard:
-    """An inverted index over tails: postings by term, each with its BM25 weight."""
+    """An inverted index over tails: postings by term, each with its BM25 weight.
+
+    Terms that an eighth of the shard holds are kept as rows of a matrix, the others as lists.
+    """
 
     def __init__(self, terms: list[np.ndarray], tfs: list[np.ndarray], words: np.ndarray, idf: np.ndarray, mean: float):
         n = len(terms)
         sizes = np.fromiter(map(len, terms), np.int64, n)
-        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         term = np.concatenate(terms) if n else np.zeros(0, np.uint32)
-        tf = np.concatenate(tfs).astype(np.float64) if n else np.zeros(0)
+        tf = np.concatenate(tfs).astype(np.float32) if n else np.zeros(0, np.float32)
         doc = np.repeat(np.arange(n), sizes)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / mean))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
-        _, start, inverse, count = np.unique(term[order], return_index=True, return_inverse=True, return_counts=True)
-        back = np.empty(len(order), np.int64)
-        back[order] = inverse
-        self.start, self.count, self.n = start[back], count[back], n  # of the postings of each document's terms
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / mean))).astype(np.float32)
+        _, inverse, count = np.unique(term, return_inverse=True, return_counts=True)
+        heavy = count * 8 >= n
+        number = np.cumsum(heavy) - 1
+        self.n, self.matrix = n, np.zeros((int(heavy.sum()), n), np.float32)
+        dense = heavy[inverse]
+        self.matrix[number[inverse[dense]], doc[dense]] = weight[dense]
+        inverse, doc, weight = inverse[~dense], doc[~dense], weight[~dense]
+        order = np.argsort(inverse, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        first = np.cumsum(np.where(heavy, 0, count)) - np.where(heavy, 0, count)
+        self.start, self.count = first[inverse], count[inverse]  # of the postings of each document's terms
+        self.bounds = np.searchsorted(doc, np.arange(n + 1))
 
     def scores(self, i: int) -> np.ndarray:
         """BM25 of every document of the shard for all terms of document i."""
         a, b = self.bounds[i], self.bounds[i + 1]
         at = ragged(self.start[a:b], self.count[a:b])
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        light = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        return light + (self.matrix[:, i] > 0).astype(np.float32) @ self.matrix
 
 
 def fill(shard: Shard, left: np.ndarray, window: int) -> Iterator[list[tuple[int, int]]]:
