@@ -1,10 +1,722 @@
-"""Registered queries of the library, and their SQL."""
+"""Registered queries of the library, one for each operator, with equal SQL where SQL can tell it.
+
+Series are the events of each type or of each user, in order of time. Numbers are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from patternfold import report
+from patternfold.config import Config
+from patternfold.engine import PatternEngine
+from patternfold.functions import arrow, columns
+from patternfold.operators import anomaly, arithmetic, clustering, context, matching, memory, multivariate, sequence, stats, structural, windows
+from patternfold.plans import discovery, prediction
+from patternfold.schema import KEY, observations
+from patternfold.sources import reader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, ints to long."""
+    change = {"double": lambda c: F.round(c, 6) + 0.0, "float": lambda c: F.round(c.cast("double"), 6) + 0.0, "int": lambda c: c.cast("long")}
+    return df.select(*[change[k](F.col(c)).alias(c) if k in change else F.col(c) for c, k in df.dtypes])
+
+
+def _events(spark: SparkSession, d: str, key: str) -> DataFrame:
+    return observations(_table(spark, d, "events"), ["ts", "event_id"], "value", "event_type", key)
+
+
+def query(sql: str | None = None, source: str | None = None):
+    """Registers a function of (observations) or, without a source, of (spark, folder)."""
+
+    def add(f):
+        name = f.__name__
+
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            return _rounded(f(_events(spark, d, source)) if source else f(spark, d))
+
+        QUERIES[name] = run
+        if sql:
+            head = _OBS.format(key={"event_type": "event_type", "user_id": "user_id::VARCHAR"}[source]) if source else ""
+            ORACLE_SQL[name] = head + sql
+        return f
+
+    return add
+
+
+TYPE, USER = "event_type", "user_id"
+_OBS = "WITH obs AS (SELECT {key} AS series_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS idx, value, event_type AS label FROM events)\n"
+_PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_DAILY = "WITH obs AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS idx, value, n FROM (SELECT event_type, date_trunc('day', ts) AS day, sum(value) AS value, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2))\n"
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    days = _table(spark, d, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.sum("value").alias("v"), F.count("*").cast("double").alias("n"))
+    w = F.row_number().over(Window.partitionBy("event_type").orderBy("day")) - 1
+    return days.select(F.col("event_type").alias(KEY), w.cast("long").alias("idx"), F.col("v").alias("value"), "n", F.lit(None).cast("string").alias("label"))
+
+
+# --- validation, description, quality
+
+
+@query("SELECT series_id, true AS ok, count(*) AS n, 0::BIGINT AS missing, ''::VARCHAR AS warnings FROM obs GROUP BY 1", USER)
+def validate_events(obs):
+    return stats.validate(obs).withColumn("warnings", F.array_join("warnings", ";"))
+
+
+@query(
+    """, m AS (SELECT series_id, avg(value) AS a, stddev_pop(value) AS s, count(*) AS n FROM obs GROUP BY 1),
+f AS (SELECT series_id, count(*) FILTER (WHERE s > 0 AND abs((value - a) / s) > 3) / any_value(n) AS o, any_value(n) AS n FROM obs JOIN m USING (series_id) GROUP BY 1)
+SELECT series_id, n, 0::BIGINT AS missing, round(o, 6) + 0.0 AS outlier_fraction, round(1 - least(0.3, o), 6) + 0.0 AS quality,
+CASE WHEN o > 0.1 THEN 'high outlier fraction' WHEN o > 0 THEN 'minor outliers' ELSE 'ok' END AS reason FROM f""",
+    TYPE,
+)
+def quality_events(obs):
+    return stats.quality(obs.drop("value_str").withColumn("value_str", F.lit(None).cast("string"))).select(KEY, "n", "missing", "outlier_fraction", "quality", "reason")
+
+
+@query(
+    """SELECT series_id, count(*) AS n, 0::BIGINT AS missing, round(avg(value), 6) + 0.0 AS mean, round(median(value), 6) + 0.0 AS median, round(var_pop(value), 6) + 0.0 AS variance, round(stddev_pop(value), 6) + 0.0 AS stdev,
+round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, round(quantile_cont(value, 0.25), 6) + 0.0 AS p25, round(median(value), 6) + 0.0 AS p50, round(quantile_cont(value, 0.75), 6) + 0.0 AS p75,
+round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) + 0.0 AS iqr, round(stddev_pop(value) / abs(avg(value)), 6) + 0.0 AS cv FROM obs GROUP BY 1""",
+    TYPE,
+)
+def describe_by_type(obs):
+    return stats.describe(obs)
+
+
+@query("SELECT series_id, round(quantile_cont(value, 0.9), 6) + 0.0 AS percentile FROM obs GROUP BY 1", USER)
+def percentile_by_user(obs):
+    return stats.percentile(obs, 0.9)
+
+
+_STATS = ", m AS (SELECT series_id, avg(value) AS a, stddev_pop(value) AS s FROM obs GROUP BY 1)\n"
+
+
+@query(_STATS + "SELECT series_id, idx, round(CASE WHEN s > 0 THEN (value - a) / s ELSE 0 END, 6) + 0.0 AS z FROM obs JOIN m USING (series_id)", USER)
+def z_scores(obs):
+    return stats.z_scores(obs).select(KEY, "idx", "z")
+
+
+@query(_STATS + "SELECT series_id, idx, round(value, 6) + 0.0 AS value, round((value - a) / s, 6) + 0.0 AS z, round(least(1, abs((value - a) / s) / 6), 6) + 0.0 AS score FROM obs JOIN m USING (series_id) WHERE s > 0 AND abs((value - a) / s) >= 3", TYPE)
+def zscore_outliers(obs):
+    return anomaly.detect(obs).select(KEY, "idx", "value", "z", "score")
+
+
+@query("SELECT series_id, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS stdev FROM obs GROUP BY 1", TYPE)
+def series_stats(obs):
+    return anomaly.series_stats(obs)
+
+
+@query(
+    """WITH v AS (SELECT l_returnflag AS series_id, l_extendedprice AS x FROM lineitem), e AS (SELECT series_id, min(x) AS lo, max(x) AS hi, count(*) AS n FROM v GROUP BY 1),
+b AS (SELECT series_id, least(floor((x - lo) / ((hi - lo) / 20)), 19)::BIGINT AS bin, lo, hi, n FROM v JOIN e USING (series_id)), g AS (SELECT series_id, bin, count(*) AS count, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n FROM b GROUP BY 1, 2)
+SELECT series_id, bin, count, round(count / n, 6) + 0.0 AS support, round(lo + bin * ((hi - lo) / 20), 4) + 0.0 AS low, row_number() OVER (PARTITION BY series_id ORDER BY count DESC, bin) = 1 AS mode FROM g"""
+)
+def histogram_modes(spark, d):
+    obs = observations(_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_extendedprice", None, "l_returnflag")
+    return stats.histogram(obs, 20).select(KEY, "bin", "count", "support", F.round("low", 4).alias("low"), "mode")
+
+
+# --- correlation
+
+
+def _matrix(cell: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {cell.format(a=a, b=b)}, count(*) AS pairs FROM lineitem" for a in _PRICES for b in _PRICES)
+
+
+@query(_matrix("round(covar_pop({a}, {b}), 4) + 0.0 AS covariance"))
+def cov_matrix(spark, d):
+    return stats.covariance_matrix(_table(spark, d, "lineitem"), _PRICES).withColumn("covariance", F.round("covariance", 4))
+
+
+@query(_matrix("round(corr({a}, {b}), 6) + 0.0 AS correlation"))
+def corr_matrix(spark, d):
+    return stats.correlation_matrix(_table(spark, d, "lineitem"), _PRICES)
+
+
+@query("SELECT * FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) + 0.0 AS correlation, count(*) AS pairs FROM lineitem UNION ALL SELECT 'l_discount', 'l_tax', round(corr(l_discount, l_tax), 6), count(*) FROM lineitem) WHERE abs(correlation) >= 0.2")
+def strong_pairs(spark, d):
+    return stats.strong_correlations(_table(spark, d, "lineitem"), _PRICES, 0.2)
+
+
+@query(
+    _DAILY
+    + "SELECT x.series_id, k.lag, round(corr(x.value, y.n), 6) + 0.0 AS correlation, count(*) AS pairs FROM obs x CROSS JOIN (SELECT unnest(range(-3, 4)) AS lag) k JOIN obs y ON x.series_id = y.series_id AND y.idx = x.idx + k.lag GROUP BY 1, 2"
+)
+def cross_corr(spark, d):
+    return stats.cross_correlation(_daily(spark, d), "value", "n", 3)
+
+
+@query(
+    "SELECT series_id, count(*) AS n, round(regr_slope(value, idx), 6) + 0.0 AS slope, round(regr_intercept(value, idx), 6) + 0.0 AS intercept, round(regr_r2(value, idx), 6) + 0.0 AS r2, CASE WHEN abs(regr_slope(value, idx)) <= 1e-9 THEN 'flat' WHEN regr_slope(value, idx) > 0 THEN 'up' ELSE 'down' END AS direction FROM obs GROUP BY 1",
+    USER,
+)
+def trend_by_user(obs):
+    return stats.trend(obs)
+
+
+@query(
+    ", m AS (SELECT series_id, avg(value) AS a, count(*) AS n FROM obs GROUP BY 1), c AS (SELECT series_id, idx, value - a AS d, n FROM obs JOIN m USING (series_id)), t AS (SELECT series_id, sum(d * d) AS s FROM c GROUP BY 1)"
+    " SELECT x.series_id, k.lag, round(sum(x.d * y.d) / any_value(s), 6) + 0.0 AS autocorrelation FROM c x CROSS JOIN (SELECT unnest(range(1, 6)) AS lag) k JOIN c y ON x.series_id = y.series_id AND y.idx = x.idx + k.lag JOIN t ON t.series_id = x.series_id GROUP BY 1, 2",
+    TYPE,
+)
+def autocorr_by_type(obs):
+    return stats.autocorrelation(obs, 5)
+
+
+_LAGS = """, m AS (SELECT series_id, avg(value) AS a, count(*) AS n FROM obs GROUP BY 1), c AS (SELECT series_id, idx, value - a AS d, least(n // 2, {top}, n - 1) AS top, n FROM obs JOIN m USING (series_id)), t AS (SELECT series_id, sum(d * d) AS s FROM c GROUP BY 1),
+r AS (SELECT x.series_id, k.lag, any_value(x.top) AS top, sum(x.d * y.d) / any_value(s) AS r FROM c x JOIN (SELECT unnest(range(1, {top} + 2)) AS lag) k ON k.lag <= least(x.top + 1, x.n - 1) JOIN c y ON x.series_id = y.series_id AND y.idx = x.idx + k.lag JOIN t ON t.series_id = x.series_id GROUP BY 1, 2),
+p AS (SELECT *, lag(r) OVER (PARTITION BY series_id ORDER BY lag) AS b, lead(r) OVER (PARTITION BY series_id ORDER BY lag) AS f FROM r),
+q AS (SELECT * FROM p WHERE lag >= 2 AND lag <= top AND r > {least} AND r > b AND (f IS NULL OR r >= f))
+SELECT series_id, min(lag) AS period, round(arg_min(r, lag), 6) + 0.0 AS strength FROM q GROUP BY 1"""
+
+
+@query(_LAGS.format(top=30, least=0.05), USER)
+def period_by_user(obs):
+    return windows.period(obs, 30, 0.05)
+
+
+@query(
+    _DAILY
+    + """, m AS (SELECT series_id, avg(value) AS a, count(*) AS n FROM obs GROUP BY 1), c AS (SELECT series_id, idx, value - a AS d, m.n AS n FROM obs JOIN m USING (series_id)),
+f AS (SELECT series_id, k, any_value(n) AS n, round(sqrt(sum(d * cos(2 * pi() * k * idx / n)) ** 2 + sum(d * sin(2 * pi() * k * idx / n)) ** 2) / any_value(n), 6) AS magnitude FROM c JOIN (SELECT unnest(range(1, 200)) AS k) ks ON k <= n // 2 GROUP BY 1, 2),
+g AS (SELECT series_id, n / k AS period, magnitude, row_number() OVER (PARTITION BY series_id ORDER BY magnitude DESC, n / k) AS rank, max(magnitude) OVER (PARTITION BY series_id) AS peak FROM f)
+SELECT series_id, round(period, 6) + 0.0 AS period, round(magnitude, 4) + 0.0 AS magnitude, round(magnitude / peak, 4) + 0.0 AS strength, rank FROM g WHERE rank <= 3"""
+)
+def spectrum_daily(spark, d):
+    return stats.spectrum(_daily(spark, d)).withColumn("magnitude", F.round("magnitude", 4)).withColumn("strength", F.round("strength", 4))
+
+
+@query(
+    _DAILY
+    + """, t AS (SELECT series_id, idx, value, CASE WHEN count(*) OVER f = 7 THEN avg(value) OVER f END AS trend, idx % 7 AS phase FROM obs WINDOW f AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+s AS (SELECT series_id, phase, coalesce(avg(value - trend), 0) AS seasonal FROM t GROUP BY 1, 2)
+SELECT series_id, idx, phase, round(trend, 6) + 0.0 AS trend, round(seasonal, 6) + 0.0 AS seasonal, round(value - trend - seasonal, 6) + 0.0 AS residual FROM t JOIN s USING (series_id, phase)"""
+)
+def decompose_daily(spark, d):
+    return windows.decompose(_daily(spark, d), 7).select(KEY, "idx", "phase", "trend", "seasonal", "residual")
+
+
+@query()
+def seasonal_strength(spark, d):
+    return windows.seasonal_strength(windows.decompose(_daily(spark, d), 7))
+
+
+# --- labels
+
+
+@query("SELECT series_id, idx, gram FROM (SELECT series_id, idx, label || '>' || lead(label) OVER w || '>' || lead(label, 2) OVER w AS gram FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)) WHERE gram IS NOT NULL", USER)
+def ngrams(obs):
+    return sequence.ngrams(obs, 3).withColumn("gram", F.array_join("gram", ">"))
+
+
+_RUNS = ", c AS (SELECT series_id, idx, label, CASE WHEN label IS DISTINCT FROM lag(label) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)), r AS (SELECT *, sum(new) OVER (PARTITION BY series_id ORDER BY idx) AS run FROM c)\n"
+
+
+@query(_RUNS + "SELECT series_id, run::BIGINT AS run, min(label) AS label, min(idx) AS start, max(idx) AS \"end\", count(*) AS length FROM r GROUP BY 1, 2", USER)
+def runs(obs):
+    return sequence.runs(obs)
+
+
+@query(_RUNS + "SELECT series_id, run::BIGINT AS run, min(label) AS label, count(*) AS length FROM r GROUP BY 1, 2", USER)
+def run_length(obs):
+    return sequence.run_length_encode(obs)
+
+
+@query("SELECT series_id, idx, label, before FROM (SELECT series_id, idx, label, lag(label) OVER w AS before, row_number() OVER w AS n FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)) WHERE n > 1 AND label IS DISTINCT FROM before", USER)
+def label_changes(obs):
+    return sequence.label_changes(obs)
+
+
+_PAIRS = ", p AS (SELECT series_id, idx + 1 AS idx, label AS a, lead(label) OVER (PARTITION BY series_id ORDER BY idx) AS b FROM obs), t AS (SELECT series_id, a, b, count(*) AS count FROM p WHERE b IS NOT NULL GROUP BY 1, 2, 3), q AS (SELECT *, count / sum(count) OVER (PARTITION BY series_id, a) AS pr FROM t)\n"
+
+
+@query(_PAIRS + "SELECT series_id, a, b, count, round(pr, 6) + 0.0 AS probability FROM q", USER)
+def transitions(obs):
+    return sequence.transitions(obs)
+
+
+@query("SELECT DISTINCT series_id, label FROM obs", USER)
+def states(obs):
+    return sequence.states(obs)
+
+
+@query(
+    _PAIRS + ", l AS (SELECT series_id, arg_max(label, idx) AS a FROM obs GROUP BY 1) SELECT * FROM (SELECT series_id, a AS current, b AS next, count, round(pr, 6) + 0.0 AS probability, row_number() OVER (PARTITION BY series_id ORDER BY pr DESC, b) AS rank FROM q JOIN l USING (series_id, a)) WHERE rank <= 3",
+    USER,
+)
+def markov_top3(obs):
+    return prediction.markov(obs, 3)
+
+
+@query("SELECT series_id, label AS value, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY series_id), 6) + 0.0 AS support, min(idx) AS first_seen, max(idx) AS last_seen FROM obs GROUP BY 1, 2 HAVING count(*) >= 3", USER)
+def recurring_values(obs):
+    return sequence.recurring_values(obs).select(KEY, "value", "count", "support", F.array_min("occurrences").alias("first_seen"), F.array_max("occurrences").alias("last_seen"))
+
+
+_GRAMS = """, g AS (SELECT series_id, idx, 2::BIGINT AS n, label || '>' || lead(label) OVER w AS gram FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)
+UNION ALL SELECT series_id, idx, 3, label || '>' || lead(label) OVER w || '>' || lead(label, 2) OVER w FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)), s AS (SELECT series_id, count(*) AS size FROM obs GROUP BY 1)
+"""
+
+
+@query(_GRAMS + "SELECT series_id, n, gram, count(*) AS count, round(count(*) / (any_value(size) - n + 1), 6) + 0.0 AS support, min(idx) AS first_seen FROM g JOIN s USING (series_id) WHERE gram IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 3", USER)
+def frequent_sequences(obs):
+    return sequence.frequent_sequences(obs).select(KEY, "n", F.array_join("gram", ">").alias("gram"), "count", "support", F.array_min("occurrences").alias("first_seen"))
+
+
+def _known(obs: DataFrame) -> DataFrame:
+    """Three fixed sequences as patterns."""
+    return obs.sparkSession.createDataFrame([("A", ["view", "click"]), ("B", ["click", "view"]), ("C", ["view", "view", "click"])], "id string, sequence array<string>")
+
+
+_STARTS = _GRAMS + ", k AS (SELECT * FROM (VALUES ('A', 'view>click'), ('B', 'click>view'), ('C', 'view>view>click')) v(id, gram)), f AS (SELECT series_id, id, idx AS start, idx + n - 1 AS stop FROM g JOIN k USING (gram))\n"
+
+
+@query(_STARTS + "SELECT series_id, id, start, stop AS \"end\" FROM f", USER)
+def subsequence_starts(obs):
+    return sequence.find_starts(obs, _known(obs))
+
+
+_RELATED = _STARTS + ", r AS (SELECT x.series_id, x.id AS a, y.id AS b, count(*) AS count FROM f x JOIN f y ON x.series_id = y.series_id AND y.start = x.stop + 1 GROUP BY 1, 2, 3), z AS (SELECT r.*, count / sum(count) OVER (PARTITION BY series_id, a) AS followed_by, count / sum(count) OVER (PARTITION BY series_id, b) AS preceded_by FROM r)\n"
+
+
+@query(_RELATED + "SELECT z.series_id, z.a, z.b, z.count, round(z.followed_by, 6) + 0.0 AS followed_by, round(z.preceded_by, 6) + 0.0 AS preceded_by, z.count + CASE WHEN z.a = z.b THEN 0 ELSE coalesce(y.count, 0) END AS evidence FROM z LEFT JOIN z y ON y.series_id = z.series_id AND y.a = z.b AND y.b = z.a", USER)
+def relationships(obs):
+    return sequence.relationships(obs, _known(obs))
+
+
+@query(_RELATED + "SELECT * FROM (SELECT series_id, a, b, round(followed_by, 6) + 0.0 AS followed_by, row_number() OVER (PARTITION BY series_id, a ORDER BY followed_by DESC, b) AS rank FROM z) WHERE rank <= 2", USER)
+def relationships_top2(obs):
+    return sequence.strongest_relationships(sequence.relationships(obs, _known(obs)), 2).select(KEY, "a", "b", "followed_by", "rank")
+
+
+_CTX = """, c AS (SELECT series_id, idx, 0::BIGINT AS ord, '' AS ctx, label AS nxt FROM obs UNION ALL SELECT series_id, idx, 1, lag(label) OVER w, label FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)
+UNION ALL SELECT series_id, idx, 2, lag(label, 2) OVER w || '>' || lag(label) OVER w, label FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)), m AS (SELECT series_id, ord, ctx, nxt, count(*) AS cnt FROM c WHERE ctx IS NOT NULL GROUP BY 1, 2, 3, 4), p AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY series_id, ord, ctx) AS p FROM m)
+"""
+
+
+@query(_CTX + "SELECT series_id, ord, ctx, nxt, cnt FROM m", USER)
+def context_counts(obs):
+    return context.context_model(obs).withColumn("ctx", F.array_join("ctx", ">"))
+
+
+@query(
+    _CTX + ", t AS (SELECT series_id, label, row_number() OVER (PARTITION BY series_id ORDER BY idx DESC) AS r FROM obs), l AS (SELECT series_id, max(label) FILTER (WHERE r = 1) AS one, max(label) FILTER (WHERE r = 2) AS two FROM t GROUP BY 1),"
+    " a AS (SELECT series_id, 0 AS ord, '' AS ctx FROM l UNION ALL SELECT series_id, 1, one FROM l UNION ALL SELECT series_id, 2, two || '>' || one FROM l), j AS (SELECT p.*, max(ord) OVER (PARTITION BY series_id) AS top FROM p JOIN a USING (series_id, ord, ctx))"
+    " SELECT * FROM (SELECT series_id, ord, nxt, cnt, round(p, 6) + 0.0 AS p, row_number() OVER (PARTITION BY series_id ORDER BY cnt DESC, nxt) AS rank FROM j WHERE ord = top) WHERE rank <= 3",
+    USER,
+)
+def context_backoff(obs):
+    return prediction.by_context(obs, Config())
+
+
+@query(_CTX + ", j AS (SELECT c.series_id, c.idx, arg_max(p.p, c.ord) AS p FROM c JOIN p USING (series_id, ord, ctx, nxt) GROUP BY 1, 2) SELECT series_id, round(avg(-log2(p)), 6) + 0.0 AS log_loss, count(*) AS scored FROM j GROUP BY 1", USER)
+def log_loss(obs):
+    return context.log_loss(context.context_model(obs), obs)
+
+
+@query()
+def predict_next(spark, d):
+    return prediction.next_symbol(_events(spark, d, USER), Config())
+
+
+@query("SELECT series_id, idx // 3 AS txn, label AS item FROM obs JOIN (SELECT series_id, count(*) AS n FROM obs GROUP BY 1) USING (series_id) WHERE idx < n // 3 * 3", USER)
+def label_triples(obs):
+    return sequence.triples(obs)
+
+
+# --- frames
+
+
+_W = " OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {} PRECEDING AND {})"
+
+
+@query("SELECT series_id, idx, round(avg(value)" + _W.format(9, "CURRENT ROW") + ", 6) + 0.0 AS moving_average FROM obs", USER)
+def moving_avg(obs):
+    return windows.moving_average(obs, 10).select(KEY, "idx", "moving_average")
+
+
+@query("SELECT series_id, count(*) AS n, 0::BIGINT AS missing, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value), 6) + 0.0 AS variance, round(stddev_pop(value), 6) + 0.0 AS stdev FROM obs GROUP BY 1", USER)
+def running_stats(obs):
+    return windows.running_stats(obs)
+
+
+@query("SELECT series_id, idx, count(value)" + _W.format(19, "CURRENT ROW") + " AS n, round(avg(value)" + _W.format(19, "CURRENT ROW") + ", 6) + 0.0 AS mean, round(stddev_pop(value)" + _W.format(19, "CURRENT ROW") + ", 5) + 0.0 AS stdev, 0::BIGINT AS missing FROM obs", USER)
+def sliding_stats(obs):
+    return windows.sliding_stats(obs, 20).withColumn("stdev", F.round("stdev", 5))
+
+
+@query(
+    ", s AS (SELECT series_id, idx, value, avg(value)" + _W.format(50, "1 PRECEDING") + " AS a, stddev_pop(value)" + _W.format(50, "1 PRECEDING") + " AS s FROM obs)"
+    " SELECT series_id, idx, round(value, 6) + 0.0 AS value, round((value - a) / s, 5) + 0.0 AS z, round(least(1, abs((value - a) / s) / 6), 5) + 0.0 AS score FROM s WHERE idx >= 50 AND s > 0 AND abs((value - a) / s) >= 3",
+    TYPE,
+)
+def stream_anomalies(obs):
+    return windows.stream_anomalies(obs, 50).withColumn("z", F.round("z", 5)).withColumn("score", F.round("score", 5))
+
+
+@query(
+    ", r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY idx DESC) AS k FROM obs) SELECT series_id, count(*) AS n, 0::BIGINT AS missing, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS stdev, round(avg(value) FILTER (WHERE k <= 50), 6) + 0.0 AS recent_mean, round(stddev_pop(value) FILTER (WHERE k <= 50), 6) + 0.0 AS recent_stdev FROM r GROUP BY 1",
+    USER,
+)
+def streaming_describe(obs):
+    return windows.streaming_describe(obs)
+
+
+@query("SELECT * FROM (SELECT series_id, idx AS start, round(value, 6) + 0.0 AS a, round(lead(value, 3) OVER (PARTITION BY series_id ORDER BY idx), 6) + 0.0 AS d FROM obs) WHERE start % 2 = 0 AND d IS NOT NULL", USER)
+def embed_windows(obs):
+    return windows.embed(obs, 4, 2).select(KEY, "start", F.col("vector")[0].alias("a"), F.col("vector")[3].alias("d"))
+
+
+@query(
+    ", s AS (SELECT series_id, idx, avg(value)" + _W.format(10, "1 PRECEDING") + " AS b, avg(value) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS a, stddev_pop(value)" + _W.format(10, "9 FOLLOWING") + " AS s, count(*)" + _W.format(10, "9 FOLLOWING") + " AS n FROM obs)"
+    " SELECT series_id, idx, round(b, 6) + 0.0 AS before_mean, round(a, 6) + 0.0 AS after_mean, round((a - b) / (s * sqrt(2 / 10)), 5) + 0.0 AS z FROM s WHERE n = 20 AND s > 0 AND abs((a - b) / (s * sqrt(2 / 10))) >= 2",
+    USER,
+)
+def change_candidates(obs):
+    return windows.change_candidates(obs, 10, 2.0).select(KEY, "idx", "before_mean", "after_mean", F.round("z", 5).alias("z"))
+
+
+@query()
+def change_points(spark, d):
+    return windows.change_points(_events(spark, d, USER), 10, 2.0)
+
+
+# --- rules of numbers
+
+
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of nations by region: with or without a rule, as they fall."""
+    nations = _table(spark, d, "nation")
+    return observations(nations, ["n_nationkey"], "n_nationkey", None, "n_regionkey")
+
+
+_SOLVE = """WITH obs AS (SELECT n_regionkey::VARCHAR AS series_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS idx, n_nationkey::DOUBLE AS value FROM nation),
+d AS (SELECT *, value - lag(value) OVER w AS d1 FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)), e AS (SELECT *, d1 - lag(d1) OVER w AS d2 FROM d WINDOW w AS (PARTITION BY series_id ORDER BY idx)), f AS (SELECT *, d2 - lag(d2) OVER w AS d3 FROM e WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+g AS (SELECT series_id, count(*) AS n, CASE WHEN min(d1) = max(d1) AND count(d1) >= 2 THEN 1 WHEN min(d2) = max(d2) AND count(d2) >= 2 THEN 2 WHEN min(d3) = max(d3) AND count(d3) >= 2 THEN 3 END AS ord, min(d1) AS m1, min(d2) AS m2, min(d3) AS m3 FROM f GROUP BY 1)
+SELECT series_id, n, ord::BIGINT AS "order", CASE ord WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 END AS difference FROM g"""
+
+
+@query(_SOLVE)
+def constant_order(spark, d):
+    return arithmetic.constant_order(_keys(spark, d)).select(KEY, "n", "order", "difference")
+
+
+@query()
+def solve_rules(spark, d):
+    return arithmetic.solve(_keys(spark, d), 3)
+
+
+@query("WITH v AS (SELECT n_regionkey::VARCHAR AS series_id, n_nationkey::DOUBLE AS x, lag(n_nationkey) OVER w AS a, lag(n_nationkey, 2) OVER w AS b FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)) SELECT series_id, count(*) >= 3 AND coalesce(bool_and(x = a + b) FILTER (WHERE b IS NOT NULL), false) AS additive FROM v GROUP BY 1")
+def additive_rule(spark, d):
+    return arithmetic.additive(_keys(spark, d))
+
+
+@query()
+def geometric_rule(spark, d):
+    return arithmetic.geometric(_keys(spark, d))
+
+
+# --- graphs and baskets
+
+
+@query(", p AS (SELECT series_id, label AS x, lead(label) OVER w AS y FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx) UNION ALL SELECT series_id, label, lead(label, 2) OVER w FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY idx)) SELECT series_id, least(x, y) AS a, greatest(x, y) AS b, count(*) AS count FROM p WHERE y IS NOT NULL AND x != y GROUP BY 1, 2, 3", USER)
+def cooccurrence(obs):
+    return structural.cooccurrence(obs, 3)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT c_nationkey AS a, 100 + c_custkey % 7 AS b FROM customer WHERE c_custkey % 50 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node::BIGINT AS node, min(reach)::BIGINT AS component FROM r GROUP BY 1"""
+)
+def components(spark, d):
+    c = _table(spark, d, "customer").where("c_custkey % 50 = 0")
+    return structural.components(c.select(F.col("c_nationkey").cast("long").alias("a"), (100 + F.col("c_custkey") % 7).alias("b")))
+
+
+_BASKETS = "WITH i AS (SELECT DISTINCT l_orderkey AS txn, p_brand AS item FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT count(DISTINCT txn) AS n FROM i), s AS (SELECT item, count(*) AS c FROM i GROUP BY 1),\n"
+
+
+@query(
+    _BASKETS + "p AS (SELECT x.item AS a, y.item AS b, count(*) AS count FROM i x JOIN i y ON x.txn = y.txn AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 5), r AS (SELECT a, b, count FROM p UNION ALL SELECT b, a, count FROM p)"
+    " SELECT a AS antecedent, b AS consequent, count, round(count / n, 6) + 0.0 AS support, round(count / c, 6) + 0.0 AS confidence FROM r JOIN s ON s.item = a CROSS JOIN n WHERE count / c >= 0.05"
+)
+def association_rules(spark, d):
+    items = _table(spark, d, "lineitem").join(_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.lit("all").alias(KEY), F.col("l_orderkey").alias("txn"), F.col("p_brand").alias("item"))
+    return structural.association_rules(items, 5, 0.05).drop(KEY)
+
+
+# --- vectors
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+_VEC = "WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings), p AS (SELECT x.id, y.id AS other, x.v AS a, y.v AS b FROM v x JOIN v y ON y.id = x.id + 1)\n"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    return v.select("id", F.col("vector").alias("a")).join(v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("b")), "id")
+
+
+@query(_VEC + "SELECT id, round(list_distance(a, b), 6) + 0.0 AS euclidean, round(list_sum(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))), 6) + 0.0 AS manhattan, round(1 / (1 + list_distance(a, b) / 2), 6) + 0.0 AS similarity FROM p")
+def distances(spark, d):
+    p = _pairs(spark, d)
+    e = columns.euclidean(F.col("a"), F.col("b"))
+    return p.select("id", e.alias("euclidean"), columns.manhattan(F.col("a"), F.col("b")).alias("manhattan"), columns.normalised_similarity(e, 2.0).alias("similarity"))
+
+
+@query(_VEC + "SELECT id, round((list_cosine_similarity(a, b) + 1) / 2, 6) + 0.0 AS cosine FROM p")
+def cosine(spark, d):
+    return _pairs(spark, d).select("id", columns.cosine_similarity(F.col("a"), F.col("b")).alias("cosine"))
+
+
+@query(_VEC + ", u AS (SELECT id, unnest(a) AS x, unnest(b) AS y FROM p) SELECT id, round((corr(x, y) + 1) / 2, 6) + 0.0 AS pearson FROM u GROUP BY 1")
+def pearson(spark, d):
+    return _pairs(spark, d).select("id", columns.pearson_similarity(F.col("a"), F.col("b")).alias("pearson"))
+
+
+_TOKENS = "list_distinct(list_filter(str_split(lower(text), ' '), lambda x: x != ''))"
+
+
+@query(f"WITH t AS (SELECT item_id AS id, {_TOKENS} AS t FROM benchmark) SELECT x.id, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 6) + 0.0 AS jaccard FROM t x JOIN t y ON y.id = x.id + 1")
+def jaccard_texts(spark, d):
+    t = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != "")).alias("t"))
+    return t.alias("x").join(t.select((F.col("id") - 1).alias("id"), F.col("t").alias("u")), "id").select("id", columns.jaccard(F.col("t"), F.col("u")).alias("jaccard"))
+
+
+@query("SELECT (i - 1)::BIGINT AS dim, round(avg(x), 6) + 0.0 AS mean FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1")
+def mean_vector(spark, d):
+    return stats.mean_vector(_vectors(spark, d))
+
+
+@query("WITH v AS (SELECT unnest(range(0, 4)) AS i), p AS (SELECT a.i AS i, b.i AS j FROM v a CROSS JOIN v b) SELECT i, j, round(covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) + CASE WHEN i = j THEN 1e-6 ELSE 0 END, 6) + 0.0 AS covariance FROM p CROSS JOIN embeddings GROUP BY 1, 2")
+def vector_covariance(spark, d):
+    return stats.covariance_of_vectors(_vectors(spark, d).withColumn("vector", F.slice("vector", 1, 4)), 4)
+
+
+_MAHA = """WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice / 1000) AS my, var_samp(l_quantity) + 1e-6 AS vx, var_samp(l_extendedprice / 1000) + 1e-6 AS vy, covar_samp(l_quantity, l_extendedprice / 1000) AS c FROM lineitem),
+d AS (SELECT l_orderkey, l_linenumber, (vy * (l_quantity - mx) ** 2 - 2 * c * (l_quantity - mx) * (l_extendedprice / 1000 - my) + vx * (l_extendedprice / 1000 - my) ** 2) / (vx * vy - c * c) AS d2 FROM lineitem CROSS JOIN m)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(d2, 4) + 0.0 AS d2, round(d2 / (d2 + 2), 4) + 0.0 AS score FROM d WHERE d2 / (d2 + 2) >= 0.7"""
+
+
+@query(_MAHA)
+def mahalanobis_2d(spark, d):
+    v = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", F.col("l_extendedprice") / 1000).alias("vector"))
+    return multivariate.multivariate_anomalies(v, 2, threshold=0.7).select("l_orderkey", "l_linenumber", F.round("d2", 4).alias("d2"), F.round("score", 4).alias("score"))
+
+
+@query()
+def pca_embeddings(spark, d):
+    return multivariate.pca_table(_vectors(spark, d), 3, 64)
+
+
+@query()
+def pca_projection(spark, d):
+    v = _vectors(spark, d)
+    return multivariate.project(v, multivariate.pca(v, 2, 64)).select("id", F.round(F.col("projected")[0], 6).alias("x"), F.round(F.col("projected")[1], 6).alias("y"))
+
+
+@query()
+def pca_error(spark, d):
+    v = _vectors(spark, d)
+    return multivariate.reconstruction_error(v, multivariate.pca(v, 3, 64))
+
+
+@query()
+def kmeans_regimes(spark, d):
+    return clustering.regimes(_events(spark, d, USER), 8, 2)
+
+
+@query()
+def agglomerative_regimes(spark, d):
+    return clustering.regimes(_events(spark, d, USER), 8, 2, "agglomerative")
+
+
+@query()
+def kmeans_embeddings(spark, d):
+    return clustering.kmeans_large(_vectors(spark, d), 10).select("id", "cluster")
+
+
+@query()
+def dbscan_parts(spark, d):
+    p = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 100, F.col("s_nationkey").cast("double")).alias("vector"))
+    return clustering.dbscan(p, 4.0, 3)
+
+
+@query()
+def dtw_users(spark, d):
+    s = _events(spark, d, TYPE).groupBy(KEY).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]), 1, 60).alias("v"))
+    x, y = s.select(F.col(KEY).alias("a"), F.col("v").alias("x")), s.select(F.col(KEY).alias("b"), F.col("v").alias("y"))
+    return x.crossJoin(F.broadcast(y)).where("a < b").select("a", "b", arrow.dtw_distance("x", "y").alias("distance"))  # five types of events
+
+
+@query()
+def sequence_similarity(spark, d):
+    s = _table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    return s.alias("x").join(s.select((F.col("conv_id") - 1).alias("conv_id"), F.col("roles").alias("next")), "conv_id").select("conv_id", arrow.sequence_similarity("roles", "next").alias("similarity"))
+
+
+# --- patterns
+
+
+def _patterns(obs: DataFrame) -> DataFrame:
+    """Frequent pairs of each series as patterns."""
+    return discovery.numbered(discovery._pattern(sequence.frequent_sequences(obs, 3, 2), "frequent_sequence", discovery._features(count=F.col("count")), F.col("gram"), F.col("count"), F.col("occurrences"), F.least(F.lit(1.0), 0.4 + 0.1 * F.col("count")), F.struct(-F.col("count"), F.concat_ws(">", "gram"))).withColumn("_o1", F.col("_order.col1")).withColumn("_o2", F.array_join("sequence", ">")).drop("_order"))
+
+
+_PATTERNS = _GRAMS + """, f AS (SELECT series_id, gram, count(*) AS frequency, max(idx) AS last_seen, least(1, 0.4 + 0.1 * count(*)) AS confidence FROM g WHERE n = 2 AND gram IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY frequency DESC, gram) AS k FROM f)
+"""
+
+
+@query(_PATTERNS + "SELECT series_id, 'P-' || lpad(k::VARCHAR, 3, '0') AS id, gram AS sequence, frequency, last_seen, round(confidence, 6) + 0.0 AS confidence FROM o", USER)
+def pattern_table(obs):
+    return _patterns(obs).select(KEY, "id", F.array_join("sequence", ">").alias("sequence"), "frequency", "last_seen", "confidence")
+
+
+@query(
+    _PATTERNS + ", t AS (SELECT *, frequency / sum(frequency) OVER (PARTITION BY series_id) AS share, CASE WHEN last_seen = max(last_seen) OVER (PARTITION BY series_id) THEN 1.0 ELSE 0.5 END AS rec FROM o)"
+    " SELECT series_id, gram AS sequence, round(0.5 * confidence + 0.5 * greatest(0, least(1, 0.25 * share + 0.15 + 0.2 + 0.1 * (1 - share) + 0.15 * rec - 0.5 * (1 - confidence))) + 1e-9, 4) + 0.0 AS confidence FROM t",
+    USER,
+)
+def pattern_scores(obs):
+    return memory.blend(_patterns(obs)).select(KEY, F.array_join("sequence", ">").alias("sequence"), F.round(F.col("confidence") + 1e-9, 4).alias("confidence"))
+
+
+@query(_PATTERNS + "SELECT series_id, gram AS sequence, CASE WHEN frequency >= 10 OR confidence >= 0.8 THEN 'ESTABLISHED' ELSE 'CONFIRMED' END AS state FROM o", USER)
+def lifecycle_step(obs):
+    moved = memory.advance(F.lit("CONFIRMED"), F.col("frequency"), F.col("confidence"), F.lit(0.0), F.lit(0), F.lit(True))
+    return _patterns(obs).select(KEY, F.array_join("sequence", ">").alias("sequence"), moved.alias("state"))
+
+
+@query(_PATTERNS + "SELECT series_id, gram AS sequence, round(least(1, confidence + 0.05), 6) + 0.0 AS confidence FROM o", USER)
+def confidence_update(obs):
+    return _patterns(obs).select(KEY, F.array_join("sequence", ">").alias("sequence"), memory.adjust_confidence(F.col("confidence"), F.lit(True)).alias("confidence"))
+
+
+def _halves(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    long = lambda half: _patterns(obs.where(f"idx % 2 = {half}")).select(F.concat_ws("/", KEY, F.array_join("sequence", ">")).alias("id"), F.lit("frequency").alias("key"), F.col("frequency").cast("double").alias("value"))
+    return long(0), long(1)
+
+
+@query(
+    ", h AS (SELECT series_id, idx % 2 AS half, label, lead(label) OVER (PARTITION BY series_id, idx % 2 ORDER BY idx) AS nxt FROM obs), c AS (SELECT series_id || '/' || label || '>' || nxt AS id, half, count(*) AS n FROM h WHERE nxt IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3)"
+    " SELECT a.id, round(least(1, abs(b.n - a.n) / (a.n + 1e-9)), 6) + 0.0 AS drift, 1::BIGINT AS keys FROM c a JOIN c b ON a.id = b.id AND a.half = 0 AND b.half = 1",
+    USER,
+)
+def drift(obs):
+    return memory.drift(*_halves(obs))
+
+
+@query(
+    """WITH m AS (SELECT o_orderpriority AS id, month(o_orderdate) AS step, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), s AS (SELECT id, step, least(1, abs(v - lag(v) OVER w) / (lag(v) OVER w + 1e-9)) AS drift FROM m WINDOW w AS (PARTITION BY id ORDER BY step)),
+l AS (SELECT *, lag(drift) OVER (PARTITION BY id ORDER BY step) AS b FROM s WHERE drift IS NOT NULL)
+SELECT id, count(*) AS n, CASE WHEN max(drift) < 0.1 THEN 'stable' WHEN coalesce(bool_and(drift >= b), true) AND arg_max(drift, step) >= 0.3 THEN 'drifting' WHEN coalesce(bool_and(drift <= b), true) THEN 'converging' ELSE 'oscillating' END AS trend FROM l GROUP BY 1"""
+)
+def drift_trend(spark, d):
+    w = Window.partitionBy("id").orderBy("step")
+    m = _table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("id"), F.month("o_orderdate").alias("step")).agg(F.sum("o_totalprice").alias("v"))
+    s = m.withColumn("drift", F.least(F.lit(1.0), F.abs(F.col("v") - F.lag("v").over(w)) / (F.lag("v").over(w) + 1e-9))).where("drift is not null")
+    return memory.drift_trend(s)
+
+
+@query(_PATTERNS + ", r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY last_seen, k) AS place, count(*) OVER (PARTITION BY series_id) AS size FROM o) SELECT series_id, gram AS sequence FROM r WHERE place > size - 5", USER)
+def prune(obs):
+    return memory.prune(_patterns(obs).withColumn("state", F.lit("RETIRED")), 5).select(KEY, F.array_join("sequence", ">").alias("sequence"))
+
+
+@query(
+    ", h AS (SELECT series_id, idx % 2 AS half, label, lead(label) OVER (PARTITION BY series_id, idx % 2 ORDER BY idx) AS nxt FROM obs), c AS (SELECT DISTINCT half, g FROM (SELECT series_id, half, label || '>' || nxt AS g, count(*) AS n FROM h WHERE nxt IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 4))"
+    " SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.g IS NULL THEN 'added' WHEN b.g IS NULL THEN 'removed' ELSE 'common' END AS status FROM (SELECT g FROM c WHERE half = 0) a FULL JOIN (SELECT g FROM c WHERE half = 1) b ON a.g = b.g) GROUP BY 1",
+    USER,
+)
+def signature_diff(obs):
+    return memory.compare(*[_patterns(obs.where(f"idx % 2 = {h}")).where("frequency >= 4") for h in (0, 1)]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(_PATTERNS + ", x AS (SELECT gram, sum(frequency) AS frequency, max(confidence) AS confidence FROM o GROUP BY 1) SELECT gram AS sequence, frequency::BIGINT AS frequency, round(confidence, 6) + 0.0 AS confidence FROM x", USER)
+def merge_patterns(obs):
+    return memory.merge(_patterns(obs).withColumn(KEY, F.lit("all"))).select(F.array_join("sequence", ">").alias("sequence"), "frequency", "confidence")
+
+
+@query(
+    _PAIRS + ", k AS (SELECT DISTINCT a, b FROM t WHERE series_id = '1') SELECT p.series_id, p.idx, p.b AS label, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.a = p.a) THEN 'missing_transition' ELSE 'novel_sequence' END AS kind, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.a = p.a) THEN 0.55 ELSE 0.6 END::DOUBLE AS score FROM p"
+    " WHERE p.b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.a = p.a AND k.b = p.b)",
+    USER,
+)
+def novel_pairs(obs):
+    known = anomaly.known_bigrams(sequence.ngrams(obs.where(f"{KEY} = '1'"), 2).select(F.col("gram").alias("sequence")))
+    return anomaly.novel_pairs(obs, known).select(KEY, "idx", "label", "kind", "score")
+
+
+@query(_PAIRS + "SELECT DISTINCT a, b FROM t", USER)
+def known_bigrams(obs):
+    return anomaly.known_bigrams(sequence.ngrams(obs, 2).select(F.col("gram").alias("sequence")))
+
+
+@query(_PATTERNS + "SELECT obs.series_id, obs.idx, 'P-' || lpad(k::VARCHAR, 3, '0') AS id, round(CASE WHEN list_contains(str_split(gram, '>'), label) THEN 2 / 3 ELSE 0 END, 6) + 0.0 AS similarity FROM obs JOIN o ON o.series_id = obs.series_id WHERE list_contains(str_split(gram, '>'), label)", USER)
+def match_patterns(obs):
+    return matching.match(obs, _patterns(obs)).where("matched").select(KEY, "idx", "id", "similarity")
+
+
+@query("WITH r AS (SELECT user_id % 10 AS run, event_type AS type, value / 1000 AS confidence, event_type = 'error' AND user_id % 10 < 2 AS bad FROM events) SELECT count(DISTINCT run) AS n_runs, 8::BIGINT AS n_ok, 2::BIGINT AS n_failed, count(*) FILTER (WHERE NOT bad) AS total_patterns, round(count(*) FILTER (WHERE NOT bad) / 8, 6) + 0.0 AS avg_patterns, round(avg(confidence) FILTER (WHERE NOT bad), 6) + 0.0 AS avg_confidence FROM r")
+def batch_summary(spark, d):
+    return stats.batch_summary(_outcomes(spark, d))
+
+
+@query("SELECT event_type AS type, count(*) AS count FROM events WHERE NOT (event_type = 'error' AND user_id % 10 < 2) GROUP BY 1")
+def batch_types(spark, d):
+    return stats.batch_types(_outcomes(spark, d))
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    return e.select((F.col("user_id") % 10).alias("run"), F.when((F.col("event_type") == "error") & (F.col("user_id") % 10 < 2), "failed").alias("error"), F.col("event_type").alias("type"), (F.col("value") / 1000).alias("confidence"))
+
+
+@query(
+    "SELECT series_id, 'Row ' || idx || ' is an anomaly of kind statistical, score ' || printf('%.2f', least(1, abs((value - a) / s) / 6)) || ', z=' || printf('%.2f', (value - a) / s) || '.' AS text FROM obs JOIN (SELECT series_id, avg(value) AS a, stddev_pop(value) AS s FROM obs GROUP BY 1) USING (series_id) WHERE s > 0 AND abs((value - a) / s) >= 3",
+    TYPE,
+)
+def explain_anomalies(obs):
+    return anomaly.detect(obs).select(KEY, report.explain_anomaly().alias("text"))
+
+
+@query("SELECT idx, value, label, ts FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx, round(value, 6) + 0.0 AS value, event_type AS label, event_id::DOUBLE AS ts FROM events)")
+def normalise_columns(spark, d):
+    rows = _table(spark, d, "events").select(F.col("value").cast("string").alias("v"), F.col("event_type").alias("class"), F.col("event_id").cast("string").alias("t"))
+    return reader.from_columns(rows.withColumn("k", F.col("t").cast("long")), ["k"]).select("idx", "value", "label", "ts")
+
+
+# --- the engine
+
+
+@query()
+def discover(spark, d):
+    found = PatternEngine(spark).discover(_events(spark, d, TYPE)).patterns
+    return found.select(KEY, "id", "type", F.array_join("sequence", ">").alias("sequence"), "frequency", "confidence", "state")
+
+
+@query()
+def find_anomalies(spark, d):
+    return PatternEngine(spark).find_anomalies(_events(spark, d, TYPE)).anomalies
+
+
+@query()
+def trend_forecast(spark, d):
+    return prediction.trend_forecast(_events(spark, d, USER)).select(KEY, "slope", F.col("forecast")[2].alias("third"))
