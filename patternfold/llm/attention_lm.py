@@ -191,15 +191,15 @@ class Attention:
     def _hidden(self, x: np.ndarray):
         w, n = self.w, len(x)
         h = w["e"][x] + w["p"]
-        z = (h.reshape(-1, WIDTH) @ np.concatenate([w["q"] / np.float32(WIDTH**0.5), w["k"], w["v"]], axis=1)).reshape(n, WINDOW, 3 * WIDTH)
-        q, k, v = z[:, BACK:, :WIDTH], z[:, :, WIDTH : 2 * WIDTH], z[:, :, 2 * WIDTH :]
+        z = (h.reshape(-1, WIDTH) @ np.concatenate([w["q"] / np.float32(WIDTH**0.5), w["k"], w["v"], np.zeros((WIDTH, 1), np.float32)], axis=1)).reshape(n, WINDOW, 3 * WIDTH + 1)
+        z[:, :, -1] = 1  # so that the product with the values also gives the sum of the weights
+        q, k, v = z[:, BACK:, :WIDTH], z[:, :, WIDTH : 2 * WIDTH], z[:, :, 2 * WIDTH : -1]
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += _MASK
-        np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        total = s.sum(axis=2, keepdims=True)
-        c = np.matmul(s, v)
-        c /= total
+        c = np.matmul(s, z[:, :, 2 * WIDTH :])
+        total = c[:, :, -1:]
+        c = c[:, :, :-1] / total
         g = c.reshape(-1, WIDTH) @ w["o"]
         g += h[:, BACK - 1 : -1].reshape(-1, WIDTH) @ w["b"]
         g = g.reshape(n, STRIDE, WIDTH)
@@ -209,28 +209,37 @@ class Attention:
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithms for targets y [n, STRIDE] under inputs x [n, WINDOW]; 0 where y is -1."""
-        return self._out(self._hidden(x)[-1].reshape(-1, WIDTH), y.ravel())
+        g = np.ones((y.size, WIDTH + 1), np.float32)
+        g[:, :WIDTH] = self._hidden(x)[-1].reshape(-1, WIDTH)
+        return self._out(g, y.ravel())
 
     def _out(self, g: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """g: hidden values and a one, by which biases enter the products."""
+        n = len(y)
+        ones = np.ones(max(CLASSES, PLACES), np.float32)
         c, m = y >> 6, y & 63
-        o = g @ self.w["uc"]
-        o += self.w["bc"]
-        np.minimum(o, 80, out=o)
-        out = o[np.arange(len(y)), c]
+        order = np.argsort(c.astype(np.int16), kind="stable")  # targets of a class stand together
+        c, m, g = c[order], m[order], g[order]
+        at = np.arange(n)
+        o = g @ np.concatenate([self.w["uc"], self.w["bc"][None]])
+        out = o[at, c]
         np.exp(o, out=o)
-        out -= np.log(o.sum(axis=1))
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+        total = o @ ones[:CLASSES]
+        l = np.empty((n, PLACES), np.float32)
+        ends = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+        l[: ends[0]] = 0
         for k in range(CLASSES):
-            own = order[ends[k] : ends[k + 1]]
-            if len(own):
-                l = g[own] @ self.w["um"][k]
-                l += self.w["bm"][k]
-                np.minimum(l, 80, out=l)
-                out[own] += l[np.arange(len(own)), m[own]]
-                np.exp(l, out=l)
-                out[own] -= np.log(l.sum(axis=1))
-        return np.where(y >= 0, out, 0)
+            a, b = ends[k], ends[k + 1]
+            if b > a:
+                np.matmul(g[a:b], np.concatenate([self.w["um"][k], self.w["bm"][k][None]]), out=l[a:b])
+        out += l[at, m]
+        np.exp(l, out=l)
+        total *= l @ ones[:PLACES]
+        out -= np.log(total)
+        out[: ends[0]] = 0
+        back = np.empty(n, np.float32)
+        back[order] = out
+        return back
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over targets, and its gradients."""
@@ -319,8 +328,10 @@ class Attention:
         inputs, outputs = np.arange(WINDOW), np.arange(BACK, WINDOW)
         for i in range(0, len(start), GROUP * BATCH):
             many = start[i : i + GROUP * BATCH, None]
-            g = [self._hidden(x[many[j : j + BATCH] + inputs])[-1].reshape(-1, WIDTH) for j in range(0, len(many), BATCH)]
-            sums[i : i + GROUP * BATCH] = self._out(np.concatenate(g), y[many + outputs].ravel()).reshape(-1, STRIDE).sum(axis=1)
+            g = np.ones((len(many) * STRIDE, WIDTH + 1), np.float32)
+            for j in range(0, len(many), BATCH):
+                g[j * STRIDE : (j + BATCH) * STRIDE, :WIDTH] = self._hidden(x[many[j : j + BATCH] + inputs])[-1].reshape(-1, WIDTH)
+            sums[i : i + GROUP * BATCH] = self._out(g, y[many + outputs].ravel()).reshape(-1, STRIDE).sum(axis=1)
         return np.add.reduceat(sums, np.cumsum(per) - per) / np.log(10) if len(per) else np.zeros(0)
 
 
