@@ -32,7 +32,7 @@ class PatternEngine:
 
     def discover(self, data: Any, columns: DataFrame | None = None) -> Result:
         """Mines patterns and stores them with those known. ``columns``: a table whose numeric columns are correlated."""
-        obs = self.observe(data)
+        obs = self.observe(data).persist()
         names = reader.numeric_columns(columns) if columns is not None else None
         mined = discovery.mine(obs, self.config, columns, names)
         first = 1 if self.patterns is None else (self.patterns.agg(F.max(memory.id_number(F.col("id")))).first()[0] or 0) + 1
@@ -41,6 +41,7 @@ class PatternEngine:
         snap = memory.snapshot(self.patterns.select(F.concat_ws("/", KEY, "id").alias("id"), "confidence", "frequency", "features")).withColumn("step", F.lit(self.runs).cast("long"))
         self.snapshots = written(snap if self.snapshots is None else self.snapshots.unionByName(snap), "snapshots")
         self.runs += 1
+        obs.unpersist()
         return Result(patterns=self.patterns, evidence={"stats": stats.describe(obs), "structural": discovery.structure(obs)})
 
     def match(self, data: Any, top: int | None = None) -> DataFrame:
