@@ -289,6 +289,11 @@ def subsequence_starts(obs):
     return sequence.find_starts(obs, _known(obs))
 
 
+@query(_STARTS + ", y AS (SELECT series_id, id AS a, lead(id) OVER (PARTITION BY series_id ORDER BY start, id) AS b FROM f) SELECT series_id, a, b, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY series_id, a), 6) + 0.0 AS probability FROM y WHERE b IS NOT NULL GROUP BY 1, 2, 3", USER)
+def pattern_transitions(obs):
+    return sequence.transitions(sequence.pattern_sequence(sequence.find_starts(obs, _known(obs))))
+
+
 _RELATED = _STARTS + ", r AS (SELECT x.series_id, x.id AS a, y.id AS b, count(*) AS count FROM f x JOIN f y ON x.series_id = y.series_id AND y.start = x.stop + 1 GROUP BY 1, 2, 3), z AS (SELECT r.*, count / sum(count) OVER (PARTITION BY series_id, a) AS followed_by, count / sum(count) OVER (PARTITION BY series_id, b) AS preceded_by FROM r)\n"
 
 

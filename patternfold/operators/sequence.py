@@ -88,6 +88,12 @@ def find_starts(obs: DataFrame, patterns: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found, empty)
 
 
+def pattern_sequence(starts: DataFrame) -> DataFrame:
+    """Found patterns (series_id, id, start) as observations: label is the pattern, in order of start and id."""
+    at = F.row_number().over(Window.partitionBy(KEY).orderBy("start", "id")) - 1
+    return starts.select(KEY, at.cast("long").alias("idx"), F.col("id").alias("label"))
+
+
 def relationships(obs: DataFrame, patterns: DataFrame) -> DataFrame:
     """Pattern b right after pattern a: a, b, count, followed_by (share of what follows a), preceded_by (share of what
     stands before b), evidence (count of both orders)."""
