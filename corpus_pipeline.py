@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base or that the rules' posterior calls bad; equal rows share a verdict."""
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    kept = weak_rules.judge(rows, key="_row").where("kept").select("_row").distinct()
+    kept = weak_rules.judge(rows, keep=("_row",)).where("kept").select("_row").distinct()
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 

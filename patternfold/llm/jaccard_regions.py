@@ -161,6 +161,7 @@ def points(docs: DataFrame, near: int = NEAR) -> DataFrame:
     shared as a whole), shingles (shared ones, 8 bytes each, ascending; for rows that are alive)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    shared.text_batches(spark)
     parts = max(docs.rdd.getNumPartitions(), 1)
     bits = max(4, (8 * parts - 1).bit_length())
     dealt = docs.mapInArrow(_stage(bits), _DDL).repartition(min(1 << bits, max(8 * parts, int(spark.conf.get("spark.sql.shuffle.partitions")))), "bucket").mapInArrow(_census, _DDL)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternfold.llm import arrays, blocks
+from patternfold.llm import arrays, blocks, shared
 from patternfold.llm.blocks import mix, slices
 
 CODES = 64**3
@@ -140,6 +140,7 @@ def learn(docs: DataFrame, train: Column, text: str = "text", language: str = "l
     What reaches the driver are the counts: CODES numbers for each language.
     """
     rows = docs.where(train & F.col(language).isNotNull())
+    shared.text_batches(docs.sparkSession)
     languages = sorted(r[0] for r in rows.select(language).distinct().toLocalIterator())
     number = {x: i for i, x in enumerate(languages)}
 
@@ -169,12 +170,13 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
     new = ["lang_pred", "score", "share"]
     docs = docs.drop(*[c for c in docs.columns if c in new and c != text])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, share double"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared.text_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                language, score, share = shared.value.predict(part.column(text))
+                language, score, share = sent.value.predict(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(language, pa.string()), pa.array(score), pa.array(share)], [*part.schema.names, *new])
 
     return docs.mapInArrow(run, schema)

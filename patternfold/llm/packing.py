@@ -239,6 +239,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
+    shared.text_batches(spark)
     path = shared.fresh(spark, "tails")
     docs.select("doc_id", "text").mapInArrow(_stage(vocabulary, window, end_id), _SCHEMA).write.partitionBy("kind").parquet(path)
     fields = dict(f.strip().split(" ") for f in _SCHEMA.split(","))

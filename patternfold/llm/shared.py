@@ -41,3 +41,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of so many rows at most, so that a batch of long ones stays small on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))

@@ -109,14 +109,14 @@ def posterior(model: dict, names: list[str]):
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, the counts, votes, quality (posterior of good), base_failed and kept, for each row of ``docs``.
+def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, the counts, votes, quality (posterior of good), base_failed and kept, for each row of ``docs``.
 
     Null and empty texts have no word, so they fail the base; repeated rows are judged alike; other columns don't
     matter. Counts and votes are computed once and written; an empty table gives an empty result.
     """
     names = [n for n, _, _ in RULES]
-    staged = shared.written(vote(text_counts(docs.select(key, text), text, (key,))), "quality")
+    staged = shared.written(vote(text_counts(docs, text, keep)), "quality")
     model = fit(staged, names)
     out = staged.withColumn("quality", posterior(model, names)).withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
