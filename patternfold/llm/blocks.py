@@ -174,7 +174,7 @@ def windows(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(w.counts), np.int64)
     bounds = w.bounds
     total = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         total[: n - k] += mix(h[k:] + _U(k + 1))
     full = np.maximum(w.counts - size + 1, 0)
     keep = np.ones(n, bool)

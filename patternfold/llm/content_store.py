@@ -42,7 +42,7 @@ def cut_points(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     g = _GEAR[ids & 0xFFFF]
     roll = np.zeros(len(ids), _U)
-    for k in range(WINDOW):  # h(i) = sum over k of gear(i - k) * 2**k: each step of the window doubles the older ids
+    for k in range(min(WINDOW, len(g))):  # h(i) = sum over k of gear(i - k) * 2**k: each step of the window doubles the older ids
         roll[k:] += g[: len(g) - k] << _U(k)
     hits = np.flatnonzero(roll >> _U(64 - MEAN_BITS) == 0) + 1
     bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
@@ -162,6 +162,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
+    shared.text_batches(spark)
     rows = docs.select("doc_id", "text").mapInArrow(_encode_rows(vocabulary, end_id, small), "kind string, digest binary, doc_id long, row long, n_tokens long, digests binary, ids binary")
     rows = rows.withColumn("row", F.when(F.col("kind") == "recipe", F.monotonically_increasing_id()))
     one = rows.groupBy("kind", "digest", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("digests").alias("digests"), F.first("ids").alias("ids"))

@@ -118,7 +118,7 @@ def _finish(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(["doc"] * n), pa.array(info["doc_ids"], pa.int64()), pa.array(info["hashes"], pa.int64()), pa.array(info["train"], pa.bool_()), pa.array(np.bincount(doc, weights=tf, minlength=n).astype(np.int64)),
-            pa.array(np.bincount(doc, weights=tf * (c > 0), minlength=n).astype(np.int64)), pa.array(np.bincount(doc, weights=tf * np.log10(c + 0.5), minlength=n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+            pa.array(np.bincount(doc, weights=tf * (c > 0), minlength=n).astype(np.int64)), pa.array(np.bincount(doc, weights=tf * np.log10(c + 0.5), minlength=n).astype(float)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
         ],
         _OUT,
     )
@@ -145,6 +145,7 @@ def unigram_scores(docs: DataFrame) -> tuple[DataFrame, dict]:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "hash", "train")
+    shared.text_batches(spark)
     parts = max(docs.rdd.getNumPartitions(), 1)
     bits = max(4, (4 * parts - 1).bit_length())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
