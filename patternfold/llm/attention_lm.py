@@ -6,7 +6,7 @@ by WINDOW - STRIDE: the last STRIDE positions of each are scored, so every subwo
 
 The next subword's probability has two factors, its class and its place in the class, so no step is as wide as the
 vocabulary. Training: each CORPUS_ROWS documents of the corpus, begun ones too, stand for a trainer with TRAINER_ROWS
-documents drawn by hash (all there are, in a small corpus), so trainers and what they send grow with the corpus. In each round all start from the mean of the round before.
+documents drawn by hash (all there are, in a small corpus), so trainers and what they send grow with the corpus. In each round all start from the mean of the round before; a trainer of few texts makes fewer steps.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ WINDOW, STRIDE = 24, 20
 BACK = WINDOW - STRIDE
 BATCH, GROUP = 128, 12  # windows that attend at a time, and such batches whose outputs are computed together
 CORPUS_ROWS, TRAINER_ROWS = 25_600, 1_600
-ROUNDS, STEPS, TRAIN_BATCH = 2, 500, 64
+ROUNDS, STEPS, EPOCHS, TRAIN_BATCH = 2, 700, 4, 64
 RATE = 0.03
 MAX_WORDS = 600_000
 _POINT = 1 << 24
@@ -301,8 +301,9 @@ class Attention:
         return float(loss), d
 
     def train(self, ids: np.ndarray, sizes: np.ndarray, steps: int, seed: int, rate: float = RATE) -> None:
-        """Adam over windows in random order, again from the start until ``steps`` are made."""
+        """Adam over windows in random order, again from the start until ``steps`` or EPOCHS passes are made."""
         x, y, start, _ = windows(ids, sizes)
+        steps = min(steps, -(-EPOCHS * len(start) // TRAIN_BATCH))
         if not len(start):
             return
         r = np.random.default_rng(seed)
