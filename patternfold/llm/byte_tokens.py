@@ -16,7 +16,7 @@ from patternfold.llm import blocks
 from patternfold.llm.blocks import HashIndex, mix, ragged
 
 _U = np.uint64
-MAX_PIECES = 800_000
+MAX_PIECES = 1_200_000
 JOINED = 2048
 _KEPT: dict[str, "ByteTokenizer"] = {}
 
