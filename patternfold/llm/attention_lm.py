@@ -5,8 +5,9 @@ number is the end of a text, which also stands before it. A text is scored in wi
 by WINDOW - STRIDE: the last STRIDE positions of each are scored, so every subword once, with causal attention.
 
 The next subword's probability has two factors, its class and its place in the class, so no step is as wide as the
-vocabulary. Training: each CORPUS_ROWS documents of the corpus, begun ones too, stand for a trainer with TRAINER_ROWS
-documents drawn by hash (all there are, in a small corpus), so trainers and what they send grow with the corpus. In each round all start from the mean of the round before; a trainer of few texts makes fewer steps.
+vocabulary. Training: one pass over all training documents, dealt by row to a trainer for each CORPUS_ROWS of them and to
+ROUNDS rounds. In each round all trainers start from the mean of the round before. A trainer makes a step for every
+TRAIN_BATCH windows of its documents, however many they are, and holds CHUNK subwords at a time.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ WIDTH = 20
 WINDOW, STRIDE = 24, 20
 BACK = WINDOW - STRIDE
 BATCH, GROUP = 128, 12  # windows that attend at a time, and such batches whose outputs are computed together
-CORPUS_ROWS, TRAINER_ROWS = 25_600, 1_600
-ROUNDS, STEPS, EPOCHS, TRAIN_BATCH = 2, 700, 4, 64
+CORPUS_ROWS = 25_600
+ROUNDS, TRAIN_BATCH = 2, 64
+CHUNK = 1 << 20  # subwords a trainer holds at a time, and a batch more
 RATE = 0.03
 MAX_WORDS = 600_000
 _POINT = 1 << 24
@@ -169,6 +171,7 @@ class Attention:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
+        self.learned = 0  # subwords it was fitted on
 
     @classmethod
     def fresh(cls, seed: int = 5) -> "Attention":
@@ -246,37 +249,36 @@ class Attention:
         w, n = self.w, len(x)
         h, q, k, v, s, total, c, g3 = self._hidden(x)
         g, t = g3.reshape(-1, WIDTH), y.ravel()
-        live = t >= 0
-        count = max(int(live.sum()), 1)
-        cls, m = np.where(live, t >> 6, 0), np.where(live, t & 63, 0)
-        weight = (live / count).astype(np.float32)
+        order = np.flatnonzero(t >= 0)
+        order = order[np.argsort((t[order] >> 6).astype(np.int16), kind="stable")]  # targets of a class stand together
+        count, at = max(len(order), 1), np.arange(len(order))
+        own, cls, m = g[order], t[order] >> 6, t[order] & 63
         d: dict[str, np.ndarray] = {}
-        o = g @ w["uc"] + w["bc"]
-        o -= o.max(axis=1, keepdims=True)
-        po = np.exp(o)
-        po /= po.sum(axis=1, keepdims=True)
-        at = np.arange(len(t))
-        loss = -(np.log(po[at, cls] + 1e-30) * weight).sum()
-        po[at, cls] -= 1
-        po *= weight[:, None]
-        d["uc"], d["bc"] = g.T @ po, po.sum(axis=0)
-        dg = po @ w["uc"].T
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        spans = [(i, a, b) for i, a, b in zip(range(CLASSES), ends, ends[1:]) if b > a]
+        po, pm, back = own @ w["uc"], np.empty((len(order), PLACES), g.dtype), np.empty_like(own)
+        po += w["bc"]
+        for i, a, b in spans:
+            np.matmul(own[a:b], w["um"][i], out=pm[a:b])
+        pm += w["bm"][cls]
+        loss = 0.0
+        for p, target in ((po, cls), (pm, m)):
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+            loss -= np.log(p[at, target] + 1e-30).sum() / count
+            p[at, target] -= 1
+            p /= count
+        d["uc"], d["bc"] = own.T @ po, po.sum(axis=0)
         d["um"], d["bm"] = np.zeros_like(w["um"]), np.zeros_like(w["bm"])
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for i in range(CLASSES):
-            own = order[ends[i] : ends[i + 1]]
-            if len(own):
-                l = g[own] @ w["um"][i] + w["bm"][i]
-                l -= l.max(axis=1, keepdims=True)
-                pm = np.exp(l)
-                pm /= pm.sum(axis=1, keepdims=True)
-                j = np.arange(len(own))
-                loss -= (np.log(pm[j, m[own]] + 1e-30) * weight[own]).sum()
-                pm[j, m[own]] -= 1
-                pm *= weight[own][:, None]
-                d["um"][i], d["bm"][i] = g[own].T @ pm, pm.sum(axis=0)
-                dg[own] += pm @ w["um"][i].T
+        for i, a, b in spans:
+            np.matmul(own[a:b].T, pm[a:b], out=d["um"][i])
+            np.matmul(pm[a:b], w["um"][i].T, out=back[a:b])
+        if spans:
+            d["bm"][[i for i, _, _ in spans]] = np.add.reduceat(pm, [a for _, a, _ in spans], axis=0)
+        back += po @ w["uc"].T
+        dg = np.zeros_like(g)
+        dg[order] = back
         dz = dg * (1 - g * g)
         d["b"] = h[:, BACK - 1 : -1].reshape(-1, WIDTH).T @ dz
         flat_c = c.reshape(-1, WIDTH)
@@ -297,31 +299,12 @@ class Attention:
         dh[:, BACK:] += (dqf @ w["q"].T * scale + dz).reshape(n, STRIDE, WIDTH)
         d["p"] = dh.sum(axis=0)
         d["e"] = np.zeros_like(w["e"])
-        np.add.at(d["e"], x.ravel(), dh.reshape(-1, WIDTH))
+        inputs = np.argsort(x.ravel().astype(np.int16), kind="stable")
+        at = x.ravel()[inputs]
+        head = np.flatnonzero(np.diff(at, prepend=-1))
+        d["e"][at[head]] = np.add.reduceat(dh.reshape(-1, WIDTH)[inputs], head, axis=0)
         return float(loss), d
 
-    def train(self, ids: np.ndarray, sizes: np.ndarray, steps: int, seed: int, rate: float = RATE) -> None:
-        """Adam over windows in random order, again from the start until ``steps`` or EPOCHS passes are made."""
-        x, y, start, _ = windows(ids, sizes)
-        steps = min(steps, -(-EPOCHS * len(start) // TRAIN_BATCH))
-        if not len(start):
-            return
-        r = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.w.items()}
-        second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        order, pos = r.permutation(len(start)), 0
-        for step in range(1, steps + 1):
-            if pos >= len(order):
-                order, pos = r.permutation(len(start)), 0
-            pick = start[order[pos : pos + TRAIN_BATCH]]
-            pos += TRAIN_BATCH
-            _, d = self.gradients(x[pick[:, None] + np.arange(WINDOW)], y[pick[:, None] + np.arange(BACK, WINDOW)])
-            now = rate * min(1.0, step / 20) * (1.0 - 0.8 * step / steps)
-            for k, g in d.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.02 * (g * g - second[k])
-                self.w[k] -= (now / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / (1 - 0.98**step)) + 1e-8)
-
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
         x, y, start, per = windows(ids, sizes)
@@ -336,37 +319,94 @@ class Attention:
         return np.add.reduceat(sums, np.cumsum(per) - per) / np.log(10) if len(per) else np.zeros(0)
 
 
-def fit(texts: DataFrame, trainers: int, path: str, rounds: int = ROUNDS, steps: int = STEPS) -> Attention:
-    """A model of the rows text, hash of ``texts`` (the drawn sample), made by so many trainers. What reaches the driver is one model a round."""
+class Trainer:
+    """Adam over the windows of texts as they come: each window makes one step with others, none is kept after it."""
+
+    def __init__(self, model: Attention, expected: float, seed: int, fresh: bool = False, rate: float = RATE):
+        """``expected``: texts that will come, about; the rate falls to a fifth over them. ``fresh``: biases begin with how often classes and places occur in the first of them."""
+        self.flat, self.rate, self.expected, self.random = model.flat(), rate, max(expected, 1.0), np.random.default_rng(seed)
+        self.model, self.fresh = Attention({}), fresh
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.step = self.texts = self.subwords = 0
+        self.ids: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        a = 0
+        for k, shape in Attention.SHAPES.items():
+            self.model.w[k] = self.flat[a : a + int(np.prod(shape))].reshape(shape)
+            a += int(np.prod(shape))
+
+    def begin(self, ids: np.ndarray) -> None:
+        count = np.bincount(ids, minlength=CLASSES * PLACES).reshape(CLASSES, PLACES) + 0.5
+        self.model.w["bc"][:] = np.log(count.sum(axis=1) / count.sum())
+        self.model.w["bm"][:] = np.log(count / count.sum(axis=1, keepdims=True))
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.sizes.append(sizes)
+        if sum(map(len, self.ids)) >= CHUNK:
+            self.flush()
+
+    def flush(self) -> None:
+        """A pass over the texts at hand, windows in random order."""
+        if not self.sizes:
+            return
+        ids, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
+        self.ids, self.sizes = [], []
+        if not len(sizes):
+            return
+        if not self.subwords and self.fresh:
+            self.begin(ids)
+        x, y, start, _ = windows(ids, sizes)
+        start = self.random.permutation(start)
+        for i in range(0, len(start), TRAIN_BATCH):
+            pick = start[i : i + TRAIN_BATCH, None]
+            self._step(*self.model.gradients(x[pick + np.arange(WINDOW)], y[pick + np.arange(BACK, WINDOW)]), self.texts + len(sizes) * i / len(start))
+        self.texts += len(sizes)
+        self.subwords += len(ids)
+
+    def _step(self, _loss: float, d: dict[str, np.ndarray], done: float) -> None:
+        self.step += 1
+        now = self.rate * min(1.0, self.step / 20) * (1.0 - 0.8 * min(1.0, done / self.expected))
+        g = np.concatenate([d[k].ravel() for k in Attention.SHAPES])
+        self.first += 0.1 * (g - self.first)
+        g *= g
+        g -= self.second
+        g *= 0.02
+        self.second += g
+        np.divide(self.second, 1 - 0.98**self.step, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(self.first, g, out=g)
+        g *= now / (1 - 0.9**self.step)
+        self.flat -= g
+
+
+def fit(texts: DataFrame, documents: int, path: str, rounds: int = ROUNDS) -> Attention:
+    """A model of the rows doc_id, text, hash of ``texts`` (``documents`` of them): every row is learned from once, by one trainer in one round. What reaches the driver is one model a round."""
     spark = texts.sparkSession
-    dealt = texts.select("text", "hash").repartition(trainers, "hash")
-    model = Attention.fresh()
+    trainers = max(1, -(-documents // CORPUS_ROWS))
+    dealt = texts.select("text", F.xxhash64("doc_id", "hash", F.monotonically_increasing_id()).alias("deal"))  # by row: copies go to different trainers
+    model, learned = Attention.fresh(), 0
     size = len(model.flat())
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own, ids, sizes = Attention.unflat(now.value), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            own = Trainer(Attention.unflat(now.value), documents / (trainers * rounds), turn, fresh=not turn)
             for batch in batches:
                 for part in slices(batch):
-                    i, s = kept(path).streams(part.column("text"))
-                    ids.append(i)
-                    sizes.append(s)
-            ids, sizes = np.concatenate(ids), np.concatenate(sizes)
-            if len(sizes):
-                if not turn:  # begin with how often classes and places occur
-                    count = np.bincount(ids, minlength=CLASSES * PLACES).reshape(CLASSES, PLACES) + 0.5
-                    own.w["bc"][:] = np.log(count.sum(axis=1) / count.sum())
-                    own.w["bm"][:] = np.log(count / count.sum(axis=1, keepdims=True))
-                own.train(ids, sizes, steps, turn)
-            weight = len(ids)
-            numbers = np.concatenate([np.rint(own.flat().astype(np.float64) * weight * _POINT / 4096), [weight]]).astype(np.int64)
+                    own.add(*kept(path).streams(part.column("text")))
+            own.flush()
+            numbers = np.concatenate([np.rint(own.flat.astype(np.float64) * own.subwords * _POINT / 4096), [own.subwords]]).astype(np.int64)
             keys, data = arrays.pieces(numbers)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["key", "data"])
 
-        sums = arrays.total(dealt.mapInArrow(run, "key int, data binary"), size + 1)
+        part = dealt.where(F.pmod("deal", F.lit(rounds)) == turn).repartition(trainers, "deal").select("text")
+        sums = arrays.total(part.mapInArrow(run, "key int, data binary"), size + 1)
         if sums[-1]:
             model = Attention.unflat((sums[:-1] * (4096 / _POINT) / sums[-1]).astype(np.float32))
+            learned += int(sums[-1])
+    model.learned = learned
     return model
 
 
@@ -395,10 +435,7 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), held.alias("held_out"))
     base, totals = unigram_scores(rows.withColumn("train", ~F.col("held_out")))
-    trainers = max(1, -(-totals["documents"] // CORPUS_ROWS))
-    share = min(1.0, trainers * TRAINER_ROWS / max(totals["documents"], 1))
-    drawn = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 20)) < int(share * (1 << 20))
-    model = fit(rows.where(~F.col("held_out") & drawn), trainers, path)
+    model = fit(rows.where(~F.col("held_out")), totals["documents"], path)
     scored = score(rows.select("doc_id", "hash", "held_out", "text"), model, path)
     one = base.groupBy("doc_id", "hash").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"))
     met = scored.alias("s").join(one.alias("b"), F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("s.hash") == F.col("b.hash")))

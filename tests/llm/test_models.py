@@ -115,6 +115,28 @@ def test_scores(docs):
     assert sum(g.score for g in out) / sum(g.n_tokens for g in out) > -7
 
 
+def test_every_training_text_is_learned_from_once(spark):
+    texts = [f"wort{i} und noch ein text" for i in range(2000)] + ["die kopie"] * 1000  # more than 1,600
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    model = attention_lm.fit(rows, len(texts), default_vocabulary())
+    assert model.learned == len(attention_lm.Subwords(default_vocabulary()).streams(pa.array(texts))[0])
+
+
+def test_a_step_for_every_windows_of_a_batch(monkeypatch):
+    monkeypatch.setattr(attention_lm, "CHUNK", 5000)
+    sizes = np.array([1, 30, 4000, 20000, 7, 40000])
+    ids = np.random.default_rng(1).integers(0, attention_lm.SUBWORDS, int(sizes.sum())).astype(np.int32)
+    t = attention_lm.Trainer(attention_lm.Attention.fresh(), len(sizes), 0, fresh=True)
+    seen = []
+    old = t.model.gradients
+    t.model.gradients = lambda x, y: (seen.extend(y[y >= 0].tolist()), old(x, y))[1]
+    for a, n in zip(np.cumsum(sizes) - sizes, sizes):
+        t.add(ids[a : a + n], np.array([n]))
+    t.flush()
+    assert sorted(seen) == sorted(ids.tolist()) and t.subwords == len(ids) and t.texts == len(sizes)
+    assert t.step >= -(-len(ids) // (attention_lm.STRIDE * attention_lm.TRAIN_BATCH)) and np.isfinite(t.flat).all()
+
+
 # --- Jaccard regions
 
 
