@@ -565,9 +565,10 @@ def dbscan_parts(spark, d):
 
 @query()
 def dtw_users(spark, d):
-    s = _events(spark, d, TYPE).groupBy(KEY).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]), 1, 60).alias("v"))
+    s = _events(spark, d, TYPE).groupBy(KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("v"))
     x, y = s.select(F.col(KEY).alias("a"), F.col("v").alias("x")), s.select(F.col(KEY).alias("b"), F.col("v").alias("y"))
-    return x.crossJoin(F.broadcast(y)).where("a < b").select("a", "b", arrow.dtw_distance("x", "y").alias("distance"))  # five types of events
+    pairs = x.crossJoin(F.broadcast(y)).where("a < b").repartition(10)  # five types of events
+    return pairs.select("a", "b", arrow.dtw_distance("x", "y").alias("distance"))
 
 
 @query()
