@@ -451,6 +451,16 @@ def components(spark, d):
     return structural.components(c.select(F.col("c_nationkey").cast("long").alias("a"), (100 + F.col("c_custkey") % 7).alias("b")))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 7 AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node::BIGINT AS node, min(reach)::BIGINT AS component FROM r GROUP BY 1"""
+)
+def components_whole(spark, d):
+    """The edges of all customers; ``components`` has those of every 50th, as its SQL."""
+    c = _table(spark, d, "customer")
+    return structural.components(c.select(F.col("c_nationkey").cast("long").alias("a"), (100 + F.col("c_custkey") % 7).alias("b")))
+
+
 _BASKETS = "WITH i AS (SELECT DISTINCT l_orderkey AS txn, p_brand AS item FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT count(DISTINCT txn) AS n FROM i), s AS (SELECT item, count(*) AS c FROM i GROUP BY 1),\n"
 
 

@@ -13,6 +13,23 @@ def test_warping_covers_whole_series(spark, small):
     assert got == {(a, b): pytest.approx(arrow.dtw(tuple(series[a]), tuple(series[b]))[0], abs=1e-6) for a in series for b in series if a < b}
 
 
+def test_components_of_all_customers(spark, small):
+    edges = [(r.c_nationkey, 100 + r.c_custkey % 7) for r in spark.read.parquet(f"{small}/customer.parquet").collect()]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r.node: r.component for r in catalogue.QUERIES["components_whole"](spark, small).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert len(got) > catalogue.QUERIES["components"](spark, small).count()
+
+
 def test_warping_by_diagonals():
     for a, b in (([1.0], [2.0]), ([1.0, 5.0, 2.0], [4.0]), ([3.0, 1.0], [1.0, 2.0, 9.0, 4.0, 4.0]), ([0.0] * 7, [1.0, -1.0])):
         assert arrow.dtw_whole(a, b) == arrow.dtw_whole(b, a) == arrow.dtw(tuple(a), tuple(b))[0]
