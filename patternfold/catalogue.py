@@ -524,6 +524,12 @@ def vector_covariance(spark, d):
     return stats.covariance_of_vectors(_vectors(spark, d).withColumn("vector", F.slice("vector", 1, 4)), 4)
 
 
+@query("WITH v AS (SELECT unnest(range(0, 64)) AS i), p AS (SELECT a.i AS i, b.i AS j FROM v a CROSS JOIN v b) SELECT i, j, round(covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) + CASE WHEN i = j THEN 1e-6 ELSE 0 END, 6) + 0.0 AS covariance FROM p CROSS JOIN embeddings GROUP BY 1, 2")
+def vector_covariance_whole(spark, d):
+    """All 64 dimensions; ``vector_covariance`` has the first four, as its SQL."""
+    return multivariate.covariance(_vectors(spark, d), 64)
+
+
 _MAHA = """WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice / 1000) AS my, var_samp(l_quantity) + 1e-6 AS vx, var_samp(l_extendedprice / 1000) + 1e-6 AS vy, covar_samp(l_quantity, l_extendedprice / 1000) AS c FROM lineitem),
 d AS (SELECT l_orderkey, l_linenumber, (vy * (l_quantity - mx) ** 2 - 2 * c * (l_quantity - mx) * (l_extendedprice / 1000 - my) + vx * (l_extendedprice / 1000 - my) ** 2) / (vx * vy - c * c) AS d2 FROM lineitem CROSS JOIN m)
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(d2, 4) + 0.0 AS d2, round(d2 / (d2 + 2), 4) + 0.0 AS score FROM d WHERE d2 / (d2 + 2) >= 0.7"""

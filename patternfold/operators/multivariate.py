@@ -47,6 +47,13 @@ def moments(vectors: DataFrame, column: str, dims: int) -> tuple[int, np.ndarray
     return n, mean, (cov + cov.T) / 2
 
 
+def covariance(vectors: DataFrame, dims: int, column: str = "vector", ridge: float = 1e-6) -> DataFrame:
+    """i, j, covariance as ``stats.covariance_of_vectors`` has them, for vectors too wide for an aggregate of each pair."""
+    n, _, cov = moments(vectors, column, dims)
+    cov = (cov * n / (n - 1) if n > 1 else np.zeros_like(cov)) + ridge * np.eye(dims)
+    return vectors.sparkSession.createDataFrame([(i, j, float(cov[i, j])) for i in range(dims) for j in range(dims)], "i long, j long, covariance double")
+
+
 @dataclass
 class Pca:
     mean: np.ndarray

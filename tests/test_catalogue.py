@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 
 from patternfold import catalogue
 from patternfold.functions import arrow
+from patternfold.operators import multivariate
 
 
 def test_warping_covers_whole_series(spark, small):
@@ -30,6 +32,16 @@ def test_components_of_all_customers(spark, small):
     assert len(got) > catalogue.QUERIES["components"](spark, small).count()
 
 
+def test_covariance_of_all_dimensions(spark, small):
+    v = np.array([r.embedding for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()], float)
+    got = {(r.i, r.j): r.covariance for r in catalogue.QUERIES["vector_covariance_whole"](spark, small).collect()}
+    want = np.cov(v, rowvar=False) + 1e-6 * np.eye(v.shape[1])
+    assert len(got) == v.shape[1] ** 2 == 4096
+    assert all(abs(got[i, j] - want[i, j]) < 1e-6 for i, j in got)
+    one = spark.createDataFrame([([1.0, 2.0],)], "vector array<double>")
+    assert [r.covariance for r in multivariate.covariance(one, 2).collect()] == [1e-6, 0.0, 0.0, 1e-6]
+
+
 def test_warping_by_diagonals():
     for a, b in (([1.0], [2.0]), ([1.0, 5.0, 2.0], [4.0]), ([3.0, 1.0], [1.0, 2.0, 9.0, 4.0, 4.0]), ([0.0] * 7, [1.0, -1.0])):
         assert arrow.dtw_whole(a, b) == arrow.dtw_whole(b, a) == arrow.dtw(tuple(a), tuple(b))[0]
