@@ -568,6 +568,11 @@ def agglomerative_regimes(spark, d):
     return clustering.regimes(_events(spark, d, USER), 8, 2, "agglomerative")
 
 
+@query()
+def dbscan_regimes(spark, d):
+    return clustering.regimes(_events(spark, d, USER), 8, method="dbscan")
+
+
 @query()
 def kmeans_embeddings(spark, d):
     return clustering.kmeans_large(_vectors(spark, d), 10).select("id", "cluster")

@@ -160,11 +160,47 @@ def auto_eps(points: np.ndarray) -> float:
     return eps if eps > 1e-9 else 1.0
 
 
+def dense_points(points: np.ndarray, eps: float, min_points: int) -> np.ndarray:
+    """Labels as ``dbscan`` gives them."""
+    near = ((points[:, None] - points[None]) ** 2).sum(axis=2) <= eps * eps
+    core = near.sum(axis=1) >= min_points
+    labels, number = np.full(len(points), -1), 0
+    for i in np.flatnonzero(core).tolist():
+        if labels[i] < 0:
+            reached = near[i].copy()
+            while True:
+                wider = reached | near[reached & core].any(axis=0)
+                if (wider == reached).all():
+                    break
+                reached = wider
+            labels[reached & (labels < 0)] = number
+            number += 1
+    return labels
+
+
+def dense(vectors: DataFrame, min_points: int = 3, most: int = 1000) -> DataFrame:
+    """Per series, dense clusters of its vectors within ``auto_eps`` of them, noise -1. Refused over ``most`` vectors, as in ``agglomerative``."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > most:
+            raise PatternError(f"{len(rows)} vectors in a series; {most} at most")
+        rows = rows.sort_values("start")
+        points = np.array(rows.vector.tolist(), float)
+        return rows.assign(cluster=dense_points(points, auto_eps(points), min_points))
+
+    return vectors.select(KEY, "start", "vector").groupBy(KEY).applyInPandas(run, f"{KEY} string, start long, vector array<double>, cluster long")
+
+
 def regimes(obs: DataFrame, size: int = 8, k: int = 2, method: str = "kmeans") -> DataFrame:
-    """Clusters of a series' windows: cluster, count, support, centroid, occurrences (starts)."""
-    windows = embed(obs, size)
-    clustered = {"kmeans": kmeans, "agglomerative": agglomerative}[method](windows, k)
+    """Clusters of a series' windows by kmeans, agglomerative or dbscan: cluster, count, support, centroid, occurrences (starts).
+
+    dbscan finds their number itself; its noise is no cluster, but counts in the denominator of support.
+    """
+    methods = {"kmeans": lambda v: kmeans(v, k), "agglomerative": lambda v: agglomerative(v, k), "dbscan": dense}
+    if method not in methods:
+        raise PatternError(f"method must be one of {', '.join(methods)}")
+    clustered = methods[method](embed(obs, size))
     n = clustered.groupBy(KEY).agg(F.count("*").alias("_n"))
     dims = [F.avg(F.col("vector")[i]).alias(f"_{i}") for i in range(size)]
-    g = clustered.groupBy(KEY, "cluster").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("start")).alias("occurrences"), *dims).join(n, KEY)
+    g = clustered.where("cluster >= 0").groupBy(KEY, "cluster").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("start")).alias("occurrences"), *dims).join(n, KEY)
     return g.select(KEY, "cluster", "count", (F.col("count") / F.col("_n")).alias("support"), F.array(*[F.col(f"_{i}") for i in range(size)]).alias("centroid"), "occurrences")

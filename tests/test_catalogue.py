@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 from patternfold import catalogue
+from patternfold.errors import PatternError
 from patternfold.functions import arrow
-from patternfold.operators import multivariate
+from patternfold.operators import clustering, multivariate
 
 
 def test_warping_covers_whole_series(spark, small):
@@ -48,3 +49,41 @@ def test_warping_by_diagonals():
     for a, b in (([], [1.0]), ([1.0, None], [1.0])):
         with pytest.raises(ValueError):
             arrow.dtw_whole(a, b)
+
+
+def plain_dbscan(points, eps, least):
+    n = len(points)
+    near = [[j for j in range(n) if sum((a - b) ** 2 for a, b in zip(points[i], points[j])) <= eps * eps] for i in range(n)]
+    labels, number = [-1] * n, 0
+    for i in range(n):
+        if labels[i] < 0 and len(near[i]) >= least:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if labels[j] < 0:
+                    labels[j] = number
+                    if len(near[j]) >= least:
+                        todo += near[j]
+            number += 1
+    return labels
+
+
+def test_dense_points():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 60, 60, 60):
+        p = r.integers(0, 12, (n, 2)).astype(float)
+        for eps in (0.5, 1.0, 1.5, clustering.auto_eps(p)):
+            assert clustering.dense_points(p, eps, 3).tolist() == plain_dbscan(p.tolist(), eps, 3)
+
+
+def test_dense_regimes(series):
+    values = [5.0] * 12 + [50.0] * 12
+    r = clustering.regimes(series(values), 8, method="dbscan").orderBy("cluster").collect()
+    p = [values[i : i + 8] for i in range(17)]
+    labels = plain_dbscan(p, clustering.auto_eps(np.array(p)), 3)
+    assert -1 in labels and len(r) == max(labels) + 1 == 2
+    for x in r:
+        own = [i for i, c in enumerate(labels) if c == x.cluster]
+        assert list(x.occurrences) == own and x["count"] == len(own) and x.support == pytest.approx(len(own) / 17)
+    with pytest.raises(PatternError):
+        clustering.regimes(series(values), 8, method="other")
