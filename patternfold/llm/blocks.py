@@ -8,6 +8,7 @@ All work is numpy over the bytes of one slice of a batch, so the memory of a tas
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 CHUNK = 1 << 20
+LONGEST_MIXED = 64
+HELD = 64 << 20
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3  # fixed values of the C library
+
 
 def trim() -> None:
     """Gives freed memory back to the machine: a worker process lives long, beside others."""
@@ -25,22 +30,22 @@ def trim() -> None:
 
 
 def _libc():
+    """The C library, told to reuse freed memory up to HELD bytes rather than to ask the system for each array anew."""
     try:
         found = ctypes.CDLL("libc.so.6")
+        found.mallopt(_TRIM_THRESHOLD, HELD)
+        found.mallopt(_MMAP_THRESHOLD, HELD // 2)
         return found if hasattr(found, "malloc_trim") else None
-    except OSError:
+    except (OSError, AttributeError):
         return None
 
 
 _LIBC = _libc()
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_ODD = np.random.default_rng(20240601).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def is_space(raw: np.ndarray) -> np.ndarray:
@@ -52,23 +57,6 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, and grown by doubling."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        k, step = 1, base
-        while k < size:
-            np.multiply(have[:k], _U(step), out=have[k : 2 * k])
-            k, step = 2 * k, step * step % 2**64
-        _POWERS[base] = have
-    return have[:n]
-
-
-_INVERSE = pow(_BASE, -1, 2**64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser: spreads every bit of h over all 64."""
     h = h ^ (h >> _U(32))
@@ -105,7 +93,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 
 class Words:
-    """start, end: byte positions in ``raw``; doc: row; hash: 64 bits of the word's bytes."""
+    """start, end: byte positions in ``raw`` (lower-cased if asked for); doc: row; hash: 64 bits of the word's bytes."""
 
     __slots__ = ("raw", "off", "start", "end", "hash", "counts")
 
@@ -139,29 +127,117 @@ def word_marks(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(begin), np.flatnonzero(finish) + 1
 
 
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """Eight bytes from each position on, as one little-endian number; beyond the end there are zeros."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, 0, (1,))
+
+
+#: What of a number's bytes belongs to a segment of which so many bytes are left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEED = _U(0x9E3779B97F4A7C15)
+
+
 def segment_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of raw[start[i]:end[i]]; segments ascend and don't overlap."""
+    """64-bit hashes of raw[start[i]:end[i]]; segments ascend and don't overlap.
+
+    Up to seven bytes and their number are one number, which ``mix`` maps one to one. Longer segments are mixed
+    eight bytes at a time, those over LONGEST_MIXED by BLAKE2b. A hash can still meet another's: see Spellings.
+    """
     out = np.empty(len(start), np.uint64)
     i = 0
-    while i < len(start):  # pieces of whole segments, so that the sums stay in cache
+    while i < len(start):  # pieces of whole segments, so that the copies stay in cache
         a = start[i]
         j = max(i + 1, int(np.searchsorted(end, a + CHUNK, side="right")))
         piece = raw[a : end[j - 1]]
-        if lower:
-            piece = _LOWER[piece]
-        sums = np.empty(len(piece) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_ODD[piece] * _powers(_BASE, len(piece)), out=sums[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = mix((sums[e] - sums[s]) * _powers(_INVERSE, len(piece))[s] + (e - s).astype(np.uint64))
+        out[i:j] = _piece_hashes(_LOWER[piece] if lower else piece, start[i:j] - a, (end[i:j] - start[i:j]).astype(np.int64))
         i = j
     return out
 
 
+def _piece_hashes(piece: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    lanes = _lanes(piece)
+    h = (lanes[start] & _LEFT[np.minimum(size, 8)]) + (np.minimum(size, 8).astype(np.uint64) << _U(56))
+    h = mix(h)
+    more = np.flatnonzero(size >= 8)
+    if len(more):
+        h[more] = mix(h[more] + size[more].astype(np.uint64) * _SEED)
+        for k in np.flatnonzero(size > LONGEST_MIXED).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(piece[start[k] : start[k] + size[k]].tobytes(), digest_size=8).digest(), "little")
+        at = 8
+        live = more[(size[more] > 8) & (size[more] <= LONGEST_MIXED)]
+        while len(live):
+            own = lanes[start[live] + at] & _LEFT[np.minimum(size[live] - at, 8)]
+            h[live] = mix((h[live] ^ mix(own + _U(at))) + _SEED)
+            at += 8
+            live = live[size[live] > at]
+    return h
+
+
+class Spellings:
+    """The bytes of remembered segments, to compare hits of a HashIndex with."""
+
+    def __init__(self) -> None:
+        self.size, self.first, self.place = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.store, self.n = np.zeros(1 << 16, np.uint8), 0
+
+    def add(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Segments in the order of their numbers."""
+        size = (end - start).astype(np.int64)
+        long = size > 8
+        total = int(size[long].sum())
+        while self.n + total > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint8)])
+        self.store[self.n : self.n + total] = raw[ragged(start[long], size[long])]
+        place = np.zeros(len(size), np.int64)
+        place[long] = self.n + np.cumsum(size[long]) - size[long]
+        self.n += total
+        first = _lanes(raw)[start] & _LEFT[np.minimum(size, 8)] if len(start) else np.zeros(0, np.uint64)
+        self.size = np.concatenate([self.size, size])
+        self.first, self.place = np.concatenate([self.first, first]), np.concatenate([self.place, place])
+
+    def keep(self, numbers: np.ndarray) -> "Spellings":
+        """Those of the given numbers, renumbered in that order."""
+        out = Spellings()
+        size = self.size[numbers]
+        long = size > 8
+        out.size, out.first, out.place = size, self.first[numbers], np.zeros(len(numbers), np.int64)
+        out.place[long] = np.cumsum(size[long]) - size[long]
+        out.n = int(size[long].sum())
+        out.store = np.zeros(1 << max(16, out.n.bit_length()), np.uint8)
+        out.store[: out.n] = self.store[ragged(self.place[numbers][long], size[long])]
+        return out
+
+    def differ(self, number: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Indices of the segments whose bytes aren't those kept under their numbers."""
+        if not len(number):
+            return np.zeros(0, np.int64)
+        size = (end - start).astype(np.int64)
+        lanes = _lanes(raw)
+        wrong = (self.size[number] != size) | ((lanes[start] & _LEFT[np.minimum(size, 8)]) != self.first[number])
+        long = np.flatnonzero((size > 8) & ~wrong)
+        large = long[size[long] > LONGEST_MIXED]
+        for k in large.tolist():
+            p = self.place[number[k]]
+            wrong[k] = not np.array_equal(raw[start[k] : end[k]], self.store[p : p + size[k]])
+        long = long[size[long] <= LONGEST_MIXED]
+        kept = _lanes(self.store[: self.n])
+        at = 8
+        while len(long):
+            bad = (lanes[start[long] + at] ^ kept[self.place[number[long]] + at]) & _LEFT[np.minimum(size[long] - at, 8)] != 0
+            wrong[long[bad]] = True
+            at += 8
+            long = long[size[long] > at]
+        return np.flatnonzero(wrong)
+
+
 def words(column, lower: bool = False) -> Words:
     raw, off = utf8(column)
     start, end = word_marks(raw, off)
-    return Words(raw, off, start, end, segment_hashes(raw, start, end, lower))
+    if lower:
+        raw = _LOWER[raw]
+    return Words(raw, off, start, end, segment_hashes(raw, start, end))
 
 
 def windows(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -243,3 +319,67 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class Remembered:
+    """Something known of segments of bytes, by number: each distinct segment is learned once while remembered.
+
+    Found by hash, then compared byte by byte; a segment that meets another's number is sought again under a
+    further hash. At most MOST segments are remembered, and MOST_BYTES of their bytes before the last slice.
+    """
+
+    MOST, MOST_BYTES = 600_000, 1 << 26
+
+    def _reset(self) -> None:
+        self.index, self.spelled = HashIndex(18), Spellings()
+        self.hashes, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """To be given: appends what is known of new segments, in this order."""
+        raise NotImplementedError
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        """To be given: keeps what is known of these numbers, in this order."""
+        raise NotImplementedError
+
+    def _add(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self._learn(raw, start, end)
+        self.spelled.add(raw, start, end)
+        self.index.add(hashes)
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(hashes), np.int32)])
+
+    def _forget(self) -> None:
+        """Keeps the segments seen more than once, half of MOST and of MOST_BYTES at most."""
+        often = np.flatnonzero(self.seen > 1)
+        often = often[np.argsort(-self.seen[often], kind="stable")[: self.MOST // 2]]
+        often = np.sort(often[np.cumsum(self.spelled.size[often]) <= self.MOST_BYTES // 2])
+        hashes, seen, spelled = self.hashes[often], self.seen[often] // 2, self.spelled.keep(often)
+        self._keep(often)
+        self.index, self.spelled, self.hashes, self.seen = HashIndex(18), spelled, hashes, seen
+        self.index.add(hashes)
+
+    def numbers(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of the segments raw[start[i]:end[i]]."""
+        out = self.index.find(hashes)
+        if self.index.n and (self.spelled.n > self.MOST_BYTES or self.index.n + len(np.unique(hashes[out < 0])) > self.MOST):
+            self._forget()
+            out = self.index.find(hashes)
+        todo, own, h = None, out, hashes
+        while True:
+            unknown = np.flatnonzero(own < 0)
+            if len(unknown):
+                new, at = np.unique(h[unknown], return_index=True)
+                at = unknown[at] if todo is None else todo[unknown[at]]
+                self._add(new, raw, start[at], end[at])
+                own[unknown] = self.index.find(h[unknown])
+            wrong = self.spelled.differ(own, raw, *((start, end) if todo is None else (start[todo], end[todo])))
+            if todo is not None:
+                out[todo] = own
+            if not len(wrong):
+                break
+            todo = wrong if todo is None else todo[wrong]
+            h = mix(h[wrong] + _SEED)
+            own = self.index.find(h)
+        self.seen += np.bincount(out, minlength=len(self.seen)).astype(np.int32)
+        return out

@@ -13,10 +13,9 @@ import os
 import numpy as np
 
 from patternfold.llm import blocks
-from patternfold.llm.blocks import HashIndex, mix, ragged
+from patternfold.llm.blocks import Remembered, mix, ragged
 
 _U = np.uint64
-MAX_PIECES = 1_200_000
 JOINED = 2048
 _KEPT: dict[str, "ByteTokenizer"] = {}
 
@@ -34,8 +33,10 @@ def kept(path: str) -> "ByteTokenizer":
     return _KEPT[path]
 
 
-class ByteTokenizer:
-    """encode(column) -> (ids, ids per row). At most MAX_PIECES pieces are remembered."""
+class ByteTokenizer(Remembered):
+    """encode(column) -> (ids, ids per row). At most MOST pieces are remembered."""
+
+    MOST = 1_200_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,35 +53,31 @@ class ByteTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.index, self.n_ids = HashIndex(18), 0
-        self.first, self.length, self.store = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 20, np.uint32)
-        self.hashes, self.seen, self.term = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
-
-    def _forget(self) -> None:
-        """Keeps the pieces seen more than once, half of MAX_PIECES at most."""
-        often = np.flatnonzero(self.seen > 1)
-        often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: MAX_PIECES // 2]])
-        hashes, sizes, seen, term = self.hashes[often], self.length[often], self.seen[often], self.term[often]
-        ids = self.store[ragged(self.first[often], sizes.astype(np.int64))]
+        super()._reset()
+        self.n_ids = 0
+        self.first, self.length, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32)
+        self.term = np.zeros(0, np.uint64)
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        sizes, term = self.length[numbers], self.term[numbers]
+        ids = self.store[ragged(self.first[numbers], sizes)]
         self._reset()
-        self._append(hashes, ids, sizes, term)
-        self.seen[:] = seen // 2
+        self._append(ids, sizes, term)
 
-    def _append(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, term: np.ndarray) -> None:
+    def _append(self, ids: np.ndarray, sizes: np.ndarray, term: np.ndarray) -> None:
         while self.n_ids + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint32)])
         self.store[self.n_ids : self.n_ids + len(ids)] = ids
-        self.first = np.concatenate([self.first, self.n_ids + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.first = np.concatenate([self.first, self.n_ids + np.cumsum(sizes) - sizes])
         self.length = np.concatenate([self.length, sizes])
-        self.hashes, self.seen = np.concatenate([self.hashes, hashes]), np.concatenate([self.seen, np.zeros(len(hashes), np.int32)])
         self.term = np.concatenate([self.term, term])
         self.n_ids += len(ids)
-        self.index.add(hashes)
 
-    def _learn(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Encodes new pieces. Those that begin with a space go to the library many at a time, one after the other:
         the space keeps them apart, and the bytes of their ids tell where each ends."""
         spaced = raw[start] == 32
+        order, every, lengths, terms = [], [], [], []
         for group, step in ((np.flatnonzero(spaced), JOINED), (np.flatnonzero(~spaced), 1)):
             for i in range(0, len(group), 8 * JOINED):  # what the library returns is large
                 some = group[i : i + 8 * JOINED]
@@ -92,17 +89,19 @@ class ByteTokenizer:
                     cuts.append(len(data))
                 found = self.tokenizer.encode_batch_fast([data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
                 ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
-                bytes_ = np.cumsum(self.width[ids])
-                ends = np.searchsorted(bytes_, stop) + 1
-                self._append(hashes[some], ids, np.diff(ends, prepend=0).astype(np.int32), self._terms(np.frombuffer(data, np.uint8), stop - size, stop))
+                ends = np.searchsorted(np.cumsum(self.width[ids]), stop) + 1
+                order.append(some), every.append(ids), lengths.append(np.diff(ends, prepend=0)), terms.append(self._terms(np.frombuffer(data, np.uint8), stop - size, stop))
+        order, ids, sizes, term = map(np.concatenate, (order, every, lengths, terms))
+        back = np.argsort(order, kind="stable")
+        self._append(ids[ragged((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back], term[back])
 
     @staticmethod
     def _terms(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """32 bits of the lower-case word's hash of each piece; 0 where there is no word."""
+        """The lower-case word's hash of each piece; 0 where there is no word."""
         start = start + (raw[start] == 32)
         full = np.flatnonzero((end > start) & ~blocks.is_space(raw[np.minimum(start, len(raw) - 1)]))
-        out = np.zeros(len(start), np.uint32)
-        out[full] = np.maximum(blocks.segment_hashes(raw, start[full], end[full], lower=True) >> _U(32), 1)
+        out = np.zeros(len(start), _U)
+        out[full] = np.maximum(blocks.segment_hashes(raw, start[full], end[full], lower=True), 1)
         return out
 
     def _odd(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -131,7 +130,7 @@ class ByteTokenizer:
         return self.encode_pieces(column)[:2]
 
     def encode_pieces(self, column):
-        """encode(), and of the pieces in rows that aren't encoded whole: ids, term (lower-case word, 32 bits of hash;
+        """encode(), and of the pieces in rows that aren't encoded whole: ids, term (hash of the lower-case word;
         0: white space) and row of each; and the rows encoded whole."""
         w = blocks.words(column)
         odd = self._odd(w.raw, w.off)
@@ -141,21 +140,8 @@ class ByteTokenizer:
             hashes, start, end = hashes[keep], start[keep], end[keep]
             counts = counts.copy()
             counts[odd] = 0
-        number = self.index.find(hashes)
-        unknown = np.flatnonzero(number < 0)
-        if len(unknown):
-            new, at = np.unique(hashes[unknown], return_index=True)
-            at = unknown[at]
-            if self.index.n and self.index.n + len(new) > MAX_PIECES:
-                self._forget()
-                number = self.index.find(hashes)
-                unknown = np.flatnonzero(number < 0)
-                new, at = np.unique(hashes[unknown], return_index=True)
-                at = unknown[at]
-            self._learn(new, w.raw, start[at], end[at])
-            number[unknown] = self.index.find(hashes[unknown])
-        self.seen += np.bincount(number, minlength=len(self.seen)).astype(np.int32)
-        lengths = self.length[number].astype(np.int64)
+        number = self.numbers(hashes, w.raw, start, end)
+        lengths = self.length[number]
         ids = self.store[ragged(self.first[number], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         sizes = np.diff(ends)

@@ -60,12 +60,12 @@ def _terms(part: pa.RecordBatch, encoded) -> tuple[np.ndarray, np.ndarray, np.nd
     first[row[new]] = at[new]
     at = at - first[row]
     word = term > 0
-    row, term, at = row[word], term[word] >> np.uint32(32 - TERM_BITS), at[word]
+    row, term, at = row[word], term[word] >> np.uint64(64 - TERM_BITS), at[word]
     if len(odd):  # encoded whole: words spread evenly over the ids
         w = blocks.words(part.column("text").take(pa.array(odd)), lower=True)
         of = odd[w.doc]
         rank = np.arange(len(of)) - w.bounds[:-1][w.doc]
-        row, term, at = np.concatenate([row, of]), np.concatenate([term, (w.hash >> np.uint64(64 - TERM_BITS)).astype(np.uint32)]), np.concatenate([at, rank * sizes[of] // np.maximum(w.counts[w.doc], 1)])
+        row, term, at = np.concatenate([row, of]), np.concatenate([term, w.hash >> np.uint64(64 - TERM_BITS)]), np.concatenate([at, rank * sizes[of] // np.maximum(w.counts[w.doc], 1)])
         order = np.argsort(row, kind="stable")
         row, term, at = row[order], term[order], at[order]
     return row, term.astype(np.int64), at

@@ -20,10 +20,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from patternfold.llm import blocks
-from patternfold.llm.blocks import HashIndex, mix, ragged, slices
+from patternfold.llm.blocks import HashIndex, Remembered, mix, ragged, slices
 
 LONG = 1024
-MAX_WORDS = 600_000
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
@@ -205,7 +204,7 @@ class RankBpe:
         return out.decode("utf-8", "replace").rstrip(" ")
 
 
-class _Words:
+class _Words(Remembered):
     """What a worker process remembers of words: their ids and tokens as text."""
 
     def __init__(self, path: str):
@@ -216,50 +215,27 @@ class _Words:
         self._reset()
 
     def _reset(self) -> None:
-        self.index, self.hashes, self.seen = HashIndex(18), np.zeros(0, _U), np.zeros(0, np.int32)
-        self.ids, self.tokens, self.count = np.zeros(0, object), np.zeros(0, object), np.zeros(0, np.int32)
+        super()._reset()
+        self.ids, self.tokens, self.count = np.zeros(0, object), np.zeros(0, object), np.zeros(0, np.int64)
 
-    def _append(self, hashes, ids, tokens, count) -> None:
-        self.hashes, self.seen = np.concatenate([self.hashes, hashes]), np.concatenate([self.seen, np.zeros(len(hashes), np.int32)])
-        self.ids, self.tokens, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.tokens, tokens]), np.concatenate([self.count, count])
-        self.index.add(hashes)
-
-    def _forget(self) -> None:
-        often = np.flatnonzero(self.seen > 1)
-        often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: MAX_WORDS // 2]])
-        kept = self.hashes[often], self.ids[often], self.tokens[often], self.count[often]
-        seen = self.seen[often] // 2
-        self._reset()
-        self._append(*kept)
-        self.seen[:] = seen
+    def _keep(self, numbers) -> None:
+        self.ids, self.tokens, self.count = self.ids[numbers], self.tokens[numbers], self.count[numbers]
 
-    def _learn(self, hashes, raw: bytes, start, end) -> None:
-        flat, count = self.bpe.encode_words([raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())])
-        ids, tokens = np.empty(len(hashes), object), np.empty(len(hashes), object)
+    def _learn(self, raw, start, end) -> None:
+        flat, count = self.bpe.encode_words([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())])
+        ids, tokens = np.empty(len(start), object), np.empty(len(start), object)
         flat, a = flat.tolist(), 0
         id_text, token_text = self.id_text, self.token_text
         for k, n in enumerate(count.tolist()):
             own = flat[a : a + n]
             ids[k], tokens[k] = b" ".join([id_text[i] for i in own]), b" ".join([token_text[i] for i in own])
             a += n
-        self._append(hashes, ids, tokens, count.astype(np.int32))
+        self.ids, self.tokens, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.tokens, tokens]), np.concatenate([self.count, count])
 
     def rows(self, part: pa.RecordBatch, column: str) -> list[tuple[int, str, str]]:
         w = blocks.words(part.column(column))
         raw = w.raw.tobytes()
-        number = self.index.find(w.hash)
-        unknown = np.flatnonzero(number < 0)
-        if len(unknown):
-            new, at = np.unique(w.hash[unknown], return_index=True)
-            if self.index.n and self.index.n + len(new) > MAX_WORDS:
-                self._forget()
-                number = self.index.find(w.hash)
-                unknown = np.flatnonzero(number < 0)
-                new, at = np.unique(w.hash[unknown], return_index=True)
-            at = unknown[at]
-            self._learn(new, raw, w.start[at], w.end[at])
-            number[unknown] = self.index.find(w.hash[unknown])
-        self.seen += np.bincount(number, minlength=len(self.seen)).astype(np.int32)
+        number = self.numbers(w.hash, w.raw, w.start, w.end)
         count = self.count[number]
         bounds = w.bounds
         sums = np.concatenate([[0], np.cumsum(count)])[bounds]
