@@ -1,13 +1,14 @@
 """A small causal self-attention language model over subword ids, trained and run in numpy.
 
-Subwords are the ids of a byte-level BPE file below SUBWORDS; larger ids are taken apart along their merges. The last
-number is the end of a text, which also stands before it. A text is scored in windows of WINDOW inputs that overlap
-by WINDOW - STRIDE: the last STRIDE positions of each are scored, so every subword once, with causal attention.
+Subwords are the ids of a byte-level BPE file that the corpus uses most; other ids are taken apart along their merges.
+Texts are encoded once, and their ids written. The last number is the end of a text, which also stands before it. A text
+is scored in windows of WINDOW inputs that overlap by WINDOW - STRIDE: the last STRIDE positions of each are scored, so
+every subword once, with causal attention.
 
-The next subword's probability has two factors, its class and its place in the class, so no step is as wide as the
+The next subword's probability has three factors, one for each choice along a tree, so no step is as wide as the
 vocabulary. Training: one pass over all training documents, dealt by row to a trainer for each CORPUS_ROWS of them and to
-ROUNDS rounds. In each round all trainers start from the mean of the round before. A trainer makes a step for every
-TRAIN_BATCH windows of its documents, however many they are, and holds CHUNK subwords at a time.
+ROUNDS rounds. In each round all trainers start from the mean of the round before. A trainer makes steps of TRAIN_BATCH to
+MOST_BATCH windows of its documents, however many they are, and holds CHUNK subwords at a time.
 """
 
 from __future__ import annotations
@@ -21,29 +22,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternfold.llm import arrays, blocks
-from patternfold.llm.blocks import HashIndex, ragged, slices
+from patternfold.llm import arrays, blocks, shared
+from patternfold.llm.blocks import Remembered, ragged, slices
 from patternfold.llm.byte_tokens import default_vocabulary
 from patternfold.llm.word_counts import unigram_scores
 
-CLASSES, PLACES = 64, 64
-SUBWORDS = CLASSES * PLACES - 1
+BITS = (3, 4, 4)
+FAN = tuple(1 << b for b in BITS)
+SUBWORDS = (1 << sum(BITS)) - 1
 END = SUBWORDS
-WIDTH = 20
+WIDTH = 16  # the last one of the values and of the hidden values is always one: sums and biases come with the products
 WINDOW, STRIDE = 24, 20
 BACK = WINDOW - STRIDE
-BATCH, GROUP = 128, 12  # windows that attend at a time, and such batches whose outputs are computed together
+BATCH, GROUP = 128, 8  # windows that attend at a time, and such batches whose outputs are computed together
 CORPUS_ROWS = 25_600
-ROUNDS, TRAIN_BATCH = 2, 64
+ROUNDS = 2
+TRAIN_BATCH, GROWTH, MOST_BATCH = 64, 400, 512  # windows that make a step
 CHUNK = 1 << 20  # subwords a trainer holds at a time, and a batch more
 RATE = 0.03
-MAX_WORDS = 600_000
 _POINT = 1 << 24
-_MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -60).astype(np.float32)[BACK:]
+SAFE = 60.0  # logits beyond it are shifted before exp
+_MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -np.inf).astype(np.float32)[BACK:]
 
 
-class Subwords:
-    """Subword ids of words, each word encoded once while remembered."""
+class WordIds(Remembered):
+    """Ids of words in a byte-level BPE file, each word encoded once while remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,96 +56,102 @@ class Subwords:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocabulary = model["vocab"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        halves = {vocabulary[a + b]: (vocabulary[a], vocabulary[b]) for a, b in pairs}
-        size = max(vocabulary.values()) + 1
-        parts: list[list[int]] = [[i] for i in range(size)]
-        for i in sorted(halves):
-            if i >= SUBWORDS:
-                parts[i] = parts[halves[i][0]] + parts[halves[i][1]]
-        self.size = np.fromiter(map(len, parts), np.int64, size)
-        self.parts = np.fromiter((x for p in parts for x in p), np.int32, int(self.size.sum()))
-        self.first = np.cumsum(self.size) - self.size
-        self.width = np.zeros(size, np.int64)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
+        self.kind = np.uint16 if len(self.width) <= 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
-        self.index, self.n = HashIndex(18), 0
-        self.start, self.length, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint16)
-        self.hashes, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        super()._reset()
+        self.n, self.start, self.length, self.store = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, self.kind)
 
-    def _append(self, hashes, ids, sizes) -> None:
+    def _keep(self, numbers) -> None:
+        ids, sizes = self.store[ragged(self.start[numbers], self.length[numbers])], self.length[numbers]
+        self._reset()
+        self._append(ids, sizes)
+
+    def _append(self, ids, sizes) -> None:
         while self.n + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint16)])
+            self.store = np.concatenate([self.store, np.zeros(len(self.store), self.kind)])
         self.store[self.n : self.n + len(ids)] = ids
         self.start = np.concatenate([self.start, self.n + np.cumsum(sizes) - sizes])
         self.length = np.concatenate([self.length, sizes])
-        self.hashes, self.seen = np.concatenate([self.hashes, hashes]), np.concatenate([self.seen, np.zeros(len(hashes), np.int32)])
         self.n += len(ids)
-        self.index.add(hashes)
-
-    def _forget(self) -> None:
-        often = np.flatnonzero(self.seen > 1)
-        often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: MAX_WORDS // 2]])
-        kept = self.hashes[often], self.store[ragged(self.start[often], self.length[often])], self.length[often]
-        seen = self.seen[often] // 2
-        self._reset()
-        self._append(*kept)
-        self.seen[:] = seen
 
-    def _learn(self, hashes, raw, start, end) -> None:
+    def _learn(self, raw, start, end) -> None:
         """Words follow each other, each after a space, so that many are encoded at a time."""
-        for i in range(0, len(hashes), 16384):
+        for i in range(0, len(start), 16384):
             size = end[i : i + 16384] - start[i : i + 16384]
             stop = np.cumsum(size + 1)
             data = np.full(int(stop[-1]), 32, np.uint8)
             data[ragged(stop - size, size)] = raw[ragged(start[i : i + 16384], size)]
-            data = blocks.lower(data).tobytes()
+            data = data.tobytes()
             cuts = [0, *stop[2047::2048].tolist()]
             if cuts[-1] < len(data):
                 cuts.append(len(data))
             found = self.tokenizer.encode_batch_fast([data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, np.int64) for e in found])
             ends = np.searchsorted(np.cumsum(self.width[ids]), stop) + 1
-            small = np.concatenate([[0], np.cumsum(self.size[ids])])
-            self._append(hashes[i : i + 16384], self.parts[ragged(self.first[ids], self.size[ids])], np.diff(small[ends], prepend=0))
+            self._append(ids, np.diff(ends, prepend=0))
 
     def streams(self, column) -> tuple[np.ndarray, np.ndarray]:
-        """Subwords of all texts, each text with its end, and how many each has."""
+        """Ids of all texts, one after the other, and how many each has."""
         w = blocks.words(column, lower=True)
-        number = self.index.find(w.hash)
-        unknown = np.flatnonzero(number < 0)
-        if len(unknown):
-            new, at = np.unique(w.hash[unknown], return_index=True)
-            if self.index.n and self.index.n + len(new) > MAX_WORDS:
-                self._forget()
-                number = self.index.find(w.hash)
-                unknown = np.flatnonzero(number < 0)
-                new, at = np.unique(w.hash[unknown], return_index=True)
-            at = unknown[at]
-            self._learn(new, w.raw, w.start[at], w.end[at])
-            number[unknown] = self.index.find(w.hash[unknown])
-        self.seen += np.bincount(number, minlength=len(self.seen)).astype(np.int32)
+        number = self.numbers(w.hash, w.raw, w.start, w.end)
         length = self.length[number]
         ids = self.store[ragged(self.start[number], length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[w.bounds]
-        return np.insert(ids, ends[1:], END).astype(np.int32), np.diff(ends) + 1
+        return ids, np.diff(np.concatenate([[0], np.cumsum(length)])[w.bounds])
 
 
-_KEPT: dict[str, Subwords] = {}
+_KEPT: dict[str, WordIds] = {}
 
 
-def kept(path: str) -> Subwords:
+def kept(path: str) -> WordIds:
     if path not in _KEPT:
-        _KEPT[path] = Subwords(path)
+        _KEPT[path] = WordIds(path)
     return _KEPT[path]
 
 
+class Subwords:
+    """The SUBWORDS ids of a BPE file that a corpus uses most, its single bytes among them, numbered from the most frequent on; other ids are taken apart along their merges."""
+
+    def __init__(self, path: str, counts: np.ndarray):
+        """``counts``: how often each id stands in the corpus."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary = model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        halves = {vocabulary[a + b]: (vocabulary[a], vocabulary[b]) for a, b in pairs}
+        counts = np.concatenate([counts, np.zeros(max(vocabulary.values()) + 1 - len(counts), np.int64)])
+        whole = np.array([i not in halves for i in range(len(counts))])
+        ranked = np.lexsort((np.arange(len(counts)), -counts, ~whole))
+        chosen = ranked[: max(SUBWORDS, int(whole.sum()))][:SUBWORDS]
+        chosen = chosen[np.lexsort((chosen, -counts[chosen]))]
+        number = np.full(len(counts), -1, np.int64)
+        number[chosen] = np.arange(len(chosen))
+        known = number.tolist()
+        parts: dict[int, list[int]] = {}
+
+        def apart(i: int) -> list[int]:
+            if i not in parts:
+                parts[i] = [known[i]] if known[i] >= 0 else apart(halves[i][0]) + apart(halves[i][1]) if i in halves else []
+            return parts[i]
+
+        every = [apart(i) for i in range(len(counts))]
+        self.size = np.fromiter(map(len, every), np.int64, len(every))
+        self.parts = np.fromiter((x for p in every for x in p), np.int32, int(self.size.sum()))
+        self.first = np.cumsum(self.size) - self.size
+
+    def streams(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subwords of all texts, each text with its end, and how many each has, from ids of the file."""
+        length = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])]
+        small = self.parts[self.first[ids]] if len(length) == ends[-1] and (length == 1).all() else self.parts[ragged(self.first[ids], length)]
+        return np.insert(small, ends[1:], END), np.diff(ends) + 1
+
+
 def windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs and targets of all texts in one row each, where windows start, and windows per text.
 
@@ -161,12 +170,27 @@ def windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return x, y, np.repeat(begin, per) + STRIDE * turn, per
 
 
+def _softmax_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Turns the rows of ``logits`` into exp(logits - shift) in place; their sums, and the shift.
+
+    Rows are shifted by their greatest logit wherever any is so large that exp could leave the range of float32.
+    """
+    shift: np.ndarray | float = 0.0
+    if logits.size and max(float(logits.max()), -float(logits.min())) > SAFE:
+        shift = logits.max(axis=-1)
+        logits -= shift[..., None]
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[-1], logits.dtype), shift
+
+
 class Attention:
-    """One layer, one head: inputs attend to themselves and what stands before them in their window; the subword before also has a path of its own."""
+    """One layer, one head: inputs attend to themselves and what stands before them in their window; the subword before
+    also has a path of its own. The next subword is told by three choices along a tree: one of FAN[0] branches, one of
+    FAN[1] in it, one of FAN[2] leaves. Each choice is a softmax over the hidden values."""
 
     SHAPES = {
-        "e": (CLASSES * PLACES, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "b": (WIDTH, WIDTH),
-        "uc": (WIDTH, CLASSES), "bc": (CLASSES,), "um": (CLASSES, WIDTH, PLACES), "bm": (CLASSES, PLACES),
+        "e": (SUBWORDS + 1, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "b": (WIDTH, WIDTH),
+        "u1": (WIDTH, FAN[0]), "u2": (FAN[0], WIDTH, FAN[1]), "u3": (FAN[0] * FAN[1], WIDTH, FAN[2]),
     }
 
     def __init__(self, weights: dict[str, np.ndarray]):
@@ -176,134 +200,144 @@ class Attention:
     @classmethod
     def fresh(cls, seed: int = 5) -> "Attention":
         r = np.random.default_rng(seed)
-        scale = {"e": 0.5, "p": 0.1, "bc": 0.0, "bm": 0.0}
-        return cls({k: (r.standard_normal(s) * scale.get(k, 0.25)).astype(np.float32) for k, s in cls.SHAPES.items()})
+        scale = {"e": 0.5, "p": 0.1}
+        w = {k: (r.standard_normal(s) * scale.get(k, 0.25)).astype(np.float32) for k, s in cls.SHAPES.items()}
+        for k in ("u1", "u2", "u3"):
+            w[k][..., -1, :] = 0
+        return cls(w)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in self.SHAPES])
 
     @classmethod
     def unflat(cls, flat: np.ndarray) -> "Attention":
+        """A model whose weights are views of ``flat``."""
         out, a = {}, 0
         for k, s in cls.SHAPES.items():
             n = int(np.prod(s))
-            out[k] = flat[a : a + n].reshape(s).astype(np.float32)
+            out[k] = flat[a : a + n].reshape(s)
             a += n
         return cls(out)
 
     def _hidden(self, x: np.ndarray):
         w, n = self.w, len(x)
-        h = w["e"][x] + w["p"]
-        z = (h.reshape(-1, WIDTH) @ np.concatenate([w["q"] / np.float32(WIDTH**0.5), w["k"], w["v"], np.zeros((WIDTH, 1), np.float32)], axis=1)).reshape(n, WINDOW, 3 * WIDTH + 1)
-        z[:, :, -1] = 1  # so that the product with the values also gives the sum of the weights
-        q, k, v = z[:, BACK:, :WIDTH], z[:, :, WIDTH : 2 * WIDTH], z[:, :, 2 * WIDTH : -1]
+        h = np.take(w["e"], x, axis=0)
+        h += w["p"]
+        flat, own = h.reshape(-1, WIDTH), h[:, BACK:].reshape(-1, WIDTH)
+        q = (own @ (w["q"] / np.float32(WIDTH**0.5))).reshape(n, STRIDE, WIDTH)
+        k, v = (flat @ w["k"]).reshape(n, WINDOW, WIDTH), (flat @ w["v"]).reshape(n, WINDOW, WIDTH)
+        v[:, :, -1] = 1  # so that the product with the values also gives the sum of the weights
         s = np.matmul(q, k.transpose(0, 2, 1))
-        s += _MASK
+        large = s.size and max(float(s.max()), -float(s.min())) > SAFE
+        s += _MASK  # minus infinity: no weight at all for what stands behind
+        if large:
+            s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        c = np.matmul(s, z[:, :, 2 * WIDTH :])
-        total = c[:, :, -1:]
-        c = c[:, :, :-1] / total
+        c = np.matmul(s, v)
+        scale = 1 / c[:, :, -1:]
+        c *= scale
         g = c.reshape(-1, WIDTH) @ w["o"]
-        g += h[:, BACK - 1 : -1].reshape(-1, WIDTH) @ w["b"]
-        g = g.reshape(n, STRIDE, WIDTH)
-        g += h[:, BACK:]
+        before = h[:, BACK - 1 : -1].reshape(-1, WIDTH)
+        g += before @ w["b"]
+        g += own
         np.tanh(g, out=g)
-        return h, q, k, v, s, total, c, g
+        g[:, -1] = 1
+        return flat, own, before, q, k, v, s, scale, c, g
+
+    def _choices(self, g: np.ndarray, y: np.ndarray):
+        """For the targets that are not -1, ordered along the tree: their positions, hidden values, numbers, the
+        bounds of each inner node's targets, and the logits of each of the three choices."""
+        node = (y >> BITS[2]).astype(np.int16)
+        order = np.argsort(node, kind="stable")
+        ends = np.searchsorted(node[order], np.arange(FAN[0] * FAN[1] + 1))
+        order = order[ends[0] :]
+        ends = (ends - ends[0]).tolist()
+        own, t = np.take(g, order, axis=0), np.take(y, order)
+        spans = [[(i, a, b) for i, a, b in zip(range(len(e)), e, e[1:]) if b > a] for e in (ends[:: FAN[1]], ends)]
+        logits = [own @ self.w["u1"], np.empty((len(t), FAN[1]), g.dtype), np.empty((len(t), FAN[2]), g.dtype)]
+        for k, l, of in zip(("u2", "u3"), logits[1:], spans):
+            u = self.w[k]
+            for i, a, b in of:
+                np.matmul(own[a:b], u[i], out=l[a:b])
+        return order, own, t, spans, logits
+
+    @staticmethod
+    def _picks(t: np.ndarray) -> list[np.ndarray]:
+        """The branch taken at each of the three choices."""
+        return [t >> BITS[1] + BITS[2], t >> BITS[2] & FAN[1] - 1, t & FAN[2] - 1]
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithms for targets y [n, STRIDE] under inputs x [n, WINDOW]; 0 where y is -1."""
-        g = np.ones((y.size, WIDTH + 1), np.float32)
-        g[:, :WIDTH] = self._hidden(x)[-1].reshape(-1, WIDTH)
-        return self._out(g, y.ravel())
+        return self._out(self._hidden(x)[-1], y.ravel())
 
     def _out(self, g: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """g: hidden values and a one, by which biases enter the products."""
-        n = len(y)
-        ones = np.ones(max(CLASSES, PLACES), np.float32)
-        c, m = y >> 6, y & 63
-        order = np.argsort(c.astype(np.int16), kind="stable")  # targets of a class stand together
-        c, m, g = c[order], m[order], g[order]
-        at = np.arange(n)
-        o = g @ np.concatenate([self.w["uc"], self.w["bc"][None]])
-        out = o[at, c]
-        np.exp(o, out=o)
-        total = o @ ones[:CLASSES]
-        l = np.empty((n, PLACES), np.float32)
-        ends = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
-        l[: ends[0]] = 0
-        for k in range(CLASSES):
-            a, b = ends[k], ends[k + 1]
-            if b > a:
-                np.matmul(g[a:b], np.concatenate([self.w["um"][k], self.w["bm"][k][None]]), out=l[a:b])
-        out += l[at, m]
-        np.exp(l, out=l)
-        total *= l @ ones[:PLACES]
-        out -= np.log(total)
-        out[: ends[0]] = 0
-        back = np.empty(n, np.float32)
+        order, _, t, _, logits = self._choices(g, y)
+        at, out = np.arange(len(t)), np.zeros(len(t), g.dtype)
+        for l, pick in zip(logits, self._picks(t)):
+            out += np.take(l.ravel(), at * l.shape[1] + pick)
+            total, shift = _softmax_sums(l)
+            out -= np.log(total)
+            out -= shift
+        back = np.zeros(len(y), g.dtype)
         back[order] = out
         return back
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over targets, and its gradients."""
         w, n = self.w, len(x)
-        h, q, k, v, s, total, c, g3 = self._hidden(x)
-        g, t = g3.reshape(-1, WIDTH), y.ravel()
-        order = np.flatnonzero(t >= 0)
-        order = order[np.argsort((t[order] >> 6).astype(np.int16), kind="stable")]  # targets of a class stand together
-        count, at = max(len(order), 1), np.arange(len(order))
-        own, cls, m = g[order], t[order] >> 6, t[order] & 63
-        d: dict[str, np.ndarray] = {}
-        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-        spans = [(i, a, b) for i, a, b in zip(range(CLASSES), ends, ends[1:]) if b > a]
-        po, pm, back = own @ w["uc"], np.empty((len(order), PLACES), g.dtype), np.empty_like(own)
-        po += w["bc"]
-        for i, a, b in spans:
-            np.matmul(own[a:b], w["um"][i], out=pm[a:b])
-        pm += w["bm"][cls]
+        flat, here, before, q, k, v, s, scale, c, g = self._hidden(x)
+        order, own, t, spans, logits = self._choices(g, y.ravel())
+        count, at = max(len(t), 1), np.arange(len(t))
         loss = 0.0
-        for p, target in ((po, cls), (pm, m)):
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            loss -= np.log(p[at, target] + 1e-30).sum() / count
-            p[at, target] -= 1
-            p /= count
-        d["uc"], d["bc"] = own.T @ po, po.sum(axis=0)
-        d["um"], d["bm"] = np.zeros_like(w["um"]), np.zeros_like(w["bm"])
-        for i, a, b in spans:
-            np.matmul(own[a:b].T, pm[a:b], out=d["um"][i])
-            np.matmul(pm[a:b], w["um"][i].T, out=back[a:b])
-        if spans:
-            d["bm"][[i for i, _, _ in spans]] = np.add.reduceat(pm, [a for _, a, _ in spans], axis=0)
-        back += po @ w["uc"].T
-        dg = np.zeros_like(g)
-        dg[order] = back
-        dz = dg * (1 - g * g)
-        d["b"] = h[:, BACK - 1 : -1].reshape(-1, WIDTH).T @ dz
-        flat_c = c.reshape(-1, WIDTH)
-        d["o"] = flat_c.T @ dz
+        for l, pick in zip(logits, self._picks(t)):
+            sums, _ = _softmax_sums(l)
+            l /= sums[:, None]
+            line, hit = l.ravel(), at * l.shape[1] + pick
+            p = np.take(line, hit)
+            loss -= float(np.log(p + 1e-30).sum()) / count
+            line[hit] = p - 1
+            l /= count
+        d: dict[str, np.ndarray] = {"u1": own.T @ logits[0]}
+        back = logits[0] @ w["u1"].T
+        some = np.empty_like(back)
+        for key, l, of in zip(("u2", "u3"), logits[1:], spans):
+            d[key] = np.zeros_like(w[key])
+            for i, a, b in of:
+                np.matmul(own[a:b].T, l[a:b], out=d[key][i])
+                np.matmul(l[a:b], w[key][i].T, out=some[a:b])
+            back += some
+        dz = np.zeros_like(g)
+        dz[order] = back
+        g *= g
+        np.subtract(1, g, out=g)  # 0 for the one
+        dz *= g
+        d["b"], d["o"] = before.T @ dz, c.reshape(-1, WIDTH).T @ dz
         dc = (dz @ w["o"].T).reshape(n, STRIDE, WIDTH)
-        a = s / total
-        da = np.matmul(dc, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dc)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq = np.matmul(ds, k)
-        dk = np.matmul(ds.transpose(0, 2, 1), q)
-        scale = np.float32(WIDTH**-0.5)
-        hq, hf = h[:, BACK:].reshape(-1, WIDTH), h.reshape(-1, WIDTH)
-        dqf, dkf, dvf = dq.reshape(-1, WIDTH), dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
-        d["q"], d["k"], d["v"] = hq.T @ dqf * scale, hf.T @ dkf, hf.T @ dvf
-        dh = (dkf @ w["k"].T + dvf @ w["v"].T).reshape(n, WINDOW, WIDTH)
+        s *= scale
+        ds = np.matmul(dc, v.transpose(0, 2, 1))
+        dv = np.matmul(s.transpose(0, 2, 1), dc)
+        dv[:, :, -1] = 0
+        # the mean of ds under the weights is what dc tells of c
+        c *= dc
+        ds -= (c.reshape(-1, WIDTH) @ np.ones((WIDTH, 1), g.dtype)).reshape(n, STRIDE, 1)
+        ds *= s
+        dk, dq = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, WIDTH), np.matmul(ds, k).reshape(-1, WIDTH)
+        dq *= np.float32(WIDTH**-0.5)
+        dv = dv.reshape(-1, WIDTH)
+        d["q"], d["k"], d["v"] = here.T @ dq, flat.T @ dk, flat.T @ dv
+        dh = dk @ w["k"].T
+        dh += dv @ w["v"].T
+        dh = dh.reshape(n, WINDOW, WIDTH)
         dh[:, BACK - 1 : -1] += (dz @ w["b"].T).reshape(n, STRIDE, WIDTH)
-        dh[:, BACK:] += (dqf @ w["q"].T * scale + dz).reshape(n, STRIDE, WIDTH)
+        dz += dq @ w["q"].T
+        dh[:, BACK:] += dz.reshape(n, STRIDE, WIDTH)
         d["p"] = dh.sum(axis=0)
         d["e"] = np.zeros_like(w["e"])
         inputs = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        at = x.ravel()[inputs]
-        head = np.flatnonzero(np.diff(at, prepend=-1))
-        d["e"][at[head]] = np.add.reduceat(dh.reshape(-1, WIDTH)[inputs], head, axis=0)
-        return float(loss), d
+        of = np.take(x.ravel(), inputs)
+        head = np.flatnonzero(np.diff(of, prepend=-1))
+        d["e"][of[head]] = np.add.reduceat(np.take(dh.reshape(-1, WIDTH), inputs, axis=0), head, axis=0)
+        return loss, d
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
@@ -312,10 +346,8 @@ class Attention:
         inputs, outputs = np.arange(WINDOW), np.arange(BACK, WINDOW)
         for i in range(0, len(start), GROUP * BATCH):
             many = start[i : i + GROUP * BATCH, None]
-            g = np.ones((len(many) * STRIDE, WIDTH + 1), np.float32)
-            for j in range(0, len(many), BATCH):
-                g[j * STRIDE : (j + BATCH) * STRIDE, :WIDTH] = self._hidden(x[many[j : j + BATCH] + inputs])[-1].reshape(-1, WIDTH)
-            sums[i : i + GROUP * BATCH] = self._out(g, y[many + outputs].ravel()).reshape(-1, STRIDE).sum(axis=1)
+            g = np.concatenate([self._hidden(np.take(x, many[j : j + BATCH] + inputs))[-1] for j in range(0, len(many), BATCH)])
+            sums[i : i + GROUP * BATCH] = self._out(g, np.take(y, many + outputs).ravel()).reshape(-1, STRIDE).sum(axis=1)
         return np.add.reduceat(sums, np.cumsum(per) - per) / np.log(10) if len(per) else np.zeros(0)
 
 
@@ -323,22 +355,18 @@ class Trainer:
     """Adam over the windows of texts as they come: each window makes one step with others, none is kept after it."""
 
     def __init__(self, model: Attention, expected: float, seed: int, fresh: bool = False, rate: float = RATE):
-        """``expected``: texts that will come, about; the rate falls to a fifth over them. ``fresh``: biases begin with how often classes and places occur in the first of them."""
+        """``expected``: texts that will come, about; the rate falls to a tenth over them. ``fresh``: biases begin with how often branches occur in the first of them."""
         self.flat, self.rate, self.expected, self.random = model.flat(), rate, max(expected, 1.0), np.random.default_rng(seed)
-        self.model, self.fresh = Attention({}), fresh
+        self.model, self.fresh = Attention.unflat(self.flat), fresh
         self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.step = self.texts = self.subwords = 0
         self.ids: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
-        a = 0
-        for k, shape in Attention.SHAPES.items():
-            self.model.w[k] = self.flat[a : a + int(np.prod(shape))].reshape(shape)
-            a += int(np.prod(shape))
 
     def begin(self, ids: np.ndarray) -> None:
-        count = np.bincount(ids, minlength=CLASSES * PLACES).reshape(CLASSES, PLACES) + 0.5
-        self.model.w["bc"][:] = np.log(count.sum(axis=1) / count.sum())
-        self.model.w["bm"][:] = np.log(count / count.sum(axis=1, keepdims=True))
+        count = np.bincount(ids, minlength=SUBWORDS + 1).reshape(FAN) + 0.5
+        for k, c in (("u1", count.sum(axis=(1, 2))), ("u2", count.sum(axis=2)), ("u3", count.reshape(-1, FAN[2]))):
+            self.model.w[k][..., -1, :] = np.log(c / c.sum(axis=-1, keepdims=True))
 
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.ids.append(ids)
@@ -347,7 +375,7 @@ class Trainer:
             self.flush()
 
     def flush(self) -> None:
-        """A pass over the texts at hand, windows in random order."""
+        """A pass over the texts at hand, windows in random order. The more steps, the more windows make one: TRAIN_BATCH of them, twice as many after every GROWTH steps up to MOST_BATCH."""
         if not self.sizes:
             return
         ids, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
@@ -358,50 +386,87 @@ class Trainer:
             self.begin(ids)
         x, y, start, _ = windows(ids, sizes)
         start = self.random.permutation(start)
-        for i in range(0, len(start), TRAIN_BATCH):
-            pick = start[i : i + TRAIN_BATCH, None]
-            self._step(*self.model.gradients(x[pick + np.arange(WINDOW)], y[pick + np.arange(BACK, WINDOW)]), self.texts + len(sizes) * i / len(start))
+        i = 0
+        while i < len(start):
+            pick = start[i : i + min(MOST_BATCH, TRAIN_BATCH << self.step // GROWTH), None]
+            self._step(*self.model.gradients(np.take(x, pick + np.arange(WINDOW)), np.take(y, pick + np.arange(BACK, WINDOW))), self.texts + len(sizes) * i / len(start))
+            i += len(pick)
         self.texts += len(sizes)
         self.subwords += len(ids)
 
     def _step(self, _loss: float, d: dict[str, np.ndarray], done: float) -> None:
         self.step += 1
-        now = self.rate * min(1.0, self.step / 20) * (1.0 - 0.8 * min(1.0, done / self.expected))
+        now = self.rate * min(1.0, self.step / 20) * (1.0 - 0.9 * min(1.0, done / self.expected))
         g = np.concatenate([d[k].ravel() for k in Attention.SHAPES])
-        self.first += 0.1 * (g - self.first)
+        self.first *= 0.9
+        self.first += np.float32(0.1) * g
         g *= g
-        g -= self.second
-        g *= 0.02
+        g *= np.float32(0.02)
+        self.second *= 0.98
         self.second += g
-        np.divide(self.second, 1 - 0.98**self.step, out=g)
+        np.multiply(self.second, 1 / (1 - 0.98**self.step), out=g)
         np.sqrt(g, out=g)
-        g += 1e-8
+        g += np.float32(1e-8)
         np.divide(self.first, g, out=g)
         g *= now / (1 - 0.9**self.step)
         self.flat -= g
 
 
-def fit(texts: DataFrame, documents: int, path: str, rounds: int = ROUNDS) -> Attention:
-    """A model of the rows doc_id, text, hash of ``texts`` (``documents`` of them): every row is learned from once, by one trainer in one round. What reaches the driver is one model a round."""
-    spark = texts.sparkSession
+_ENCODED = "kind string, doc_id long, hash long, held_out boolean, ids binary, key int, data binary"
+
+
+def encode(rows: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, hash, held_out, ids (binary) of ``rows`` (with a column text), written to the shared folder, and how often each id stands in rows that aren't held out."""
+    spark = rows.sparkSession
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["kind", "doc_id", "hash", "held_out", "ids", "key", "data"]
+    length = len(kept(path).width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, counts = kept(path), np.zeros(length, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                ids, sizes = own.streams(part.column("text"))
+                held, n = part.column("held_out").to_numpy(zero_copy_only=False), part.num_rows
+                counts += np.bincount(ids[np.repeat(~held, sizes)], minlength=length)
+                data, cuts = ids.astype(ids.dtype.newbyteorder("<")).tobytes(), (ids.itemsize * np.concatenate([[0], np.cumsum(sizes)])).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(["doc"] * n, pa.string()), part.column("doc_id").cast(pa.int64()), part.column("hash"), part.column("held_out"), pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        keys, data = arrays.pieces(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(["count"] * len(keys), pa.string()), *(pa.nulls(len(keys), k) for k in kinds[1:5]), pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names)
+
+    where = shared.fresh(spark, "subwords")
+    rows.select("doc_id", "hash", "held_out", "text").mapInArrow(run, _ENCODED).write.option("compression", "zstd").parquet(where)
+    every = spark.read.schema(_ENCODED).parquet(where)
+    return every.where("kind = 'doc'").select("doc_id", "hash", "held_out", "ids"), arrays.total(every.where("kind = 'count'"), length)
+
+
+def _ids(part: pa.RecordBatch, kind) -> tuple[np.ndarray, np.ndarray]:
+    raw, off = blocks.utf8(part.column("ids"))
+    return np.frombuffer(raw.tobytes(), np.dtype(kind).newbyteorder("<")), np.diff(off) // np.dtype(kind).itemsize
+
+
+def fit(encoded: DataFrame, documents: int, subwords: Subwords, rounds: int = ROUNDS) -> Attention:
+    """A model of the rows doc_id, hash, ids of ``encoded`` (``documents`` of them): every row is learned from once, by one trainer in one round. What reaches the driver is one model a round."""
+    context = encoded.sparkSession.sparkContext
     trainers = max(1, -(-documents // CORPUS_ROWS))
-    dealt = texts.select("text", F.xxhash64("doc_id", "hash", F.monotonically_increasing_id()).alias("deal"))  # by row: copies go to different trainers
-    model, learned = Attention.fresh(), 0
+    dealt = encoded.select("ids", F.xxhash64("doc_id", "hash", F.monotonically_increasing_id()).alias("deal"))  # by row: copies go to different trainers
+    model, learned, known = Attention.fresh(), 0, context.broadcast(subwords)
     size = len(model.flat())
+    kind = np.uint16 if len(subwords.size) <= 1 << 16 else np.uint32
     for turn in range(rounds):
-        now = spark.sparkContext.broadcast(model.flat())
+        now = context.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own = Trainer(Attention.unflat(now.value), documents / (trainers * rounds), turn, fresh=not turn)
+            own = Trainer(Attention.unflat(now.value.copy()), documents / (trainers * rounds), turn, fresh=not turn)
             for batch in batches:
-                for part in slices(batch):
-                    own.add(*kept(path).streams(part.column("text")))
+                for part in slices(batch, "ids"):
+                    own.add(*known.value.streams(*_ids(part, kind)))
             own.flush()
             numbers = np.concatenate([np.rint(own.flat.astype(np.float64) * own.subwords * _POINT / 4096), [own.subwords]]).astype(np.int64)
             keys, data = arrays.pieces(numbers)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["key", "data"])
 
-        part = dealt.where(F.pmod("deal", F.lit(rounds)) == turn).repartition(trainers, "deal").select("text")
+        part = dealt.where(F.pmod("deal", F.lit(rounds)) == turn).repartition(trainers, "deal").select("ids")
         sums = arrays.total(part.mapInArrow(run, "key int, data binary"), size + 1)
         if sums[-1]:
             model = Attention.unflat((sums[:-1] * (4096 / _POINT) / sums[-1]).astype(np.float32))
@@ -410,19 +475,21 @@ def fit(texts: DataFrame, documents: int, path: str, rounds: int = ROUNDS) -> At
     return model
 
 
-def score(docs: DataFrame, model: Attention, path: str) -> DataFrame:
-    """``docs`` (with a column text) without its text, with score: log10 probability of the text, its end included."""
-    flat = docs.sparkSession.sparkContext.broadcast(model.flat())
-    others = [f for f in docs.schema if f.name not in ("text", "score")]
+def score(encoded: DataFrame, model: Attention, subwords: Subwords) -> DataFrame:
+    """``encoded`` without its ids, with score: log10 probability of each text, its end included."""
+    context = encoded.sparkSession.sparkContext
+    flat, known = context.broadcast(model.flat()), context.broadcast(subwords)
+    others = [f for f in encoded.schema if f.name not in ("ids", "score")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "score double"])
+    kind = np.uint16 if len(subwords.size) <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Attention.unflat(flat.value)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(own.score(*kept(path).streams(part.column("text"))))], [*(f.name for f in others), "score"])
+            for part in slices(batch, "ids"):
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(own.score(*known.value.streams(*_ids(part, kind))))], [*(f.name for f in others), "score"])
 
-    return docs.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -435,8 +502,10 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), held.alias("held_out"))
     base, totals = unigram_scores(rows.withColumn("train", ~F.col("held_out")))
-    model = fit(rows.where(~F.col("held_out")), totals["documents"], path)
-    scored = score(rows.select("doc_id", "hash", "held_out", "text"), model, path)
+    encoded, counts = encode(rows, path)
+    subwords = Subwords(path, counts)
+    model = fit(encoded.where(~F.col("held_out")), totals["documents"], subwords)
+    scored = score(encoded, model, subwords)
     one = base.groupBy("doc_id", "hash").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"))
     met = scored.alias("s").join(one.alias("b"), F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("s.hash") == F.col("b.hash")))
     return met.select("s.doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

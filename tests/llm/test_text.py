@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from patternfold.llm import blocks, content_store, licences, ogg, packing, rank_bpe, shared, weak_rules
+from patternfold.llm import attention_lm, blocks, content_store, jaccard_regions, licences, ogg, packing, rank_bpe, shared, weak_rules
 from patternfold.llm.byte_tokens import ByteTokenizer, default_vocabulary
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,10 +74,49 @@ def _byte():
     return _KEPT[0]
 
 
-def test_byte_encoding_forgets(monkeypatch):
-    import patternfold.llm.byte_tokens as module
+def thue_morse(n):
+    """A word of two letters, and its complement: polynomial hashes modulo a power of two take them for one."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_like_hashes(spark, n):
+    one, two = thue_morse(n)
+    texts = [one, two, f"x {two} {one}"]
+    assert len(set(blocks.words(pa.array(texts[:2])).hash.tolist())) == 2
+    ids, _ = _byte().encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in _byte().tokenizer.encode(t, add_special_tokens=False).ids]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, library = _bpe()
+    for r in rank_bpe.token_digests(rows, rank_bpe.word_vocabulary()).collect():
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, library.encode(texts[r.doc_id], add_special_tokens=False).ids)).encode()).hexdigest()
+    assert [r.component_id for r in jaccard_regions.join_components(rows).orderBy("doc_id").collect()] == [0, 1, 2]
+    path = shared.fresh(spark, "t")
+    content_store.write_store(rows, path)
+    for r in content_store.verify(spark, path).collect():
+        assert r.verified and r.ids_crc32 == zlib.crc32(np.array(_byte().tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [2], "<u4").tobytes())
+    check_packing(rows, packing.pack(rows).collect(), 1024)
+
 
-    monkeypatch.setattr(module, "MAX_PIECES", 50)
+def test_caches_survive_colliding_hashes(monkeypatch):
+    """With three bits of hash nearly all words meet; bytes decide."""
+    old = blocks._piece_hashes
+    monkeypatch.setattr(blocks, "_piece_hashes", lambda *a: old(*a) & np.uint64(7))
+    texts = ["the quick brown fox jumps over", "lazy dogs and incomprehensibilities incomprehensibilitiez", None, "the lazy the", "w" * 70 + "a " + "w" * 70 + "b"]
+    t = ByteTokenizer(default_vocabulary())
+    ids, _ = t.encode(pa.array(texts))
+    assert ids.tolist() == [i for x in texts for i in t.tokenizer.encode(x or "", add_special_tokens=False).ids]
+    own = attention_lm.WordIds(default_vocabulary())
+    together = own.streams(pa.array(texts))[0].tolist()
+    assert together == [i for x in texts for w in words(x) for i in attention_lm.WordIds(default_vocabulary()).streams(pa.array([w]))[0].tolist()]
+    _, library = _bpe()
+    rows = rank_bpe._Words(rank_bpe.word_vocabulary()).rows(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text")
+    assert [r[1] for r in rows] == [hashlib.sha256(" ".join(map(str, library.encode(x or "", add_special_tokens=False).ids)).encode()).hexdigest() for x in texts]
+
+
+def test_byte_encoding_forgets(monkeypatch):
+    monkeypatch.setattr(ByteTokenizer, "MOST", 50)
     t = ByteTokenizer(default_vocabulary())
     for k in range(6):
         texts = [f"word{k}{i} the and {i}" for i in range(30)]
