@@ -185,11 +185,12 @@ def _softmax_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
 
 class Attention:
     """One layer, one head: inputs attend to themselves and what stands before them in their window; the subword before
-    also has a path of its own. The next subword is told by three choices along a tree: one of FAN[0] branches, one of
+    also has a path of its own. Queries meet the inputs and values go to the hidden values as they are: with one head of
+    full width, a matrix of keys would only be a factor of that of queries, and one of outputs a factor of that of values. The next subword is told by three choices along a tree: one of FAN[0] branches, one of
     FAN[1] in it, one of FAN[2] leaves. Each choice is a softmax over the hidden values."""
 
     SHAPES = {
-        "e": (SUBWORDS + 1, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "b": (WIDTH, WIDTH),
+        "e": (SUBWORDS + 1, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "b": (WIDTH, WIDTH),
         "u1": (WIDTH, FAN[0]), "u2": (FAN[0], WIDTH, FAN[1]), "u3": (FAN[0] * FAN[1], WIDTH, FAN[2]),
     }
 
@@ -225,9 +226,9 @@ class Attention:
         h += w["p"]
         flat, own = h.reshape(-1, WIDTH), h[:, BACK:].reshape(-1, WIDTH)
         q = (own @ (w["q"] / np.float32(WIDTH**0.5))).reshape(n, STRIDE, WIDTH)
-        k, v = (flat @ w["k"]).reshape(n, WINDOW, WIDTH), (flat @ w["v"]).reshape(n, WINDOW, WIDTH)
+        v = (flat @ w["v"]).reshape(n, WINDOW, WIDTH)
         v[:, :, -1] = 1  # so that the product with the values also gives the sum of the weights
-        s = np.matmul(q, k.transpose(0, 2, 1))
+        s = np.matmul(q, h.transpose(0, 2, 1))
         large = s.size and max(float(s.max()), -float(s.min())) > SAFE
         s += _MASK  # minus infinity: no weight at all for what stands behind
         if large:
@@ -236,13 +237,13 @@ class Attention:
         c = np.matmul(s, v)
         scale = 1 / c[:, :, -1:]
         c *= scale
-        g = c.reshape(-1, WIDTH) @ w["o"]
         before = h[:, BACK - 1 : -1].reshape(-1, WIDTH)
-        g += before @ w["b"]
+        g = before @ w["b"]
         g += own
+        g += c.reshape(-1, WIDTH)
         np.tanh(g, out=g)
         g[:, -1] = 1
-        return flat, own, before, q, k, v, s, scale, c, g
+        return h, own, before, q, v, s, scale, c, g
 
     def _choices(self, g: np.ndarray, y: np.ndarray):
         """For the targets that are not -1, ordered along the tree: their positions, hidden values, numbers, the
@@ -283,61 +284,70 @@ class Attention:
         return back
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over targets, and its gradients."""
+        """Mean loss over targets, and its gradients. Attention runs on BATCH windows at a time, which stay in cache, the choices on all."""
         w, n = self.w, len(x)
-        flat, here, before, q, k, v, s, scale, c, g = self._hidden(x)
+        parts = [self._hidden(x[i : i + BATCH]) for i in range(0, n, BATCH)]
+        g = np.concatenate([p[-1] for p in parts])
         order, own, t, spans, logits = self._choices(g, y.ravel())
         count, at = max(len(t), 1), np.arange(len(t))
         loss = 0.0
         for l, pick in zip(logits, self._picks(t)):
             sums, _ = _softmax_sums(l)
+            sums *= count
             l /= sums[:, None]
             line, hit = l.ravel(), at * l.shape[1] + pick
             p = np.take(line, hit)
-            loss -= float(np.log(p + 1e-30).sum()) / count
-            line[hit] = p - 1
-            l /= count
-        d: dict[str, np.ndarray] = {"u1": own.T @ logits[0]}
+            loss -= float(np.log(p * count + 1e-30).sum()) / count
+            line[hit] = p - 1 / count
+        d = {k: np.zeros_like(v) for k, v in w.items()}
+        d["u1"] += own.T @ logits[0]
         back = logits[0] @ w["u1"].T
         some = np.empty_like(back)
         for key, l, of in zip(("u2", "u3"), logits[1:], spans):
-            d[key] = np.zeros_like(w[key])
             for i, a, b in of:
                 np.matmul(own[a:b].T, l[a:b], out=d[key][i])
                 np.matmul(l[a:b], w[key][i].T, out=some[a:b])
             back += some
         dz = np.zeros_like(g)
         dz[order] = back
+        dh = np.empty((n, WINDOW, WIDTH), g.dtype)
+        for i, part in zip(range(0, n, BATCH), parts):
+            self._back(d, part, dz[i * STRIDE : (i + BATCH) * STRIDE], dh[i : i + BATCH])
+        d["p"] += dh.sum(axis=0)
+        of = x.ravel().astype(np.int16)
+        inputs = np.argsort(of, kind="stable")
+        of = np.take(of, inputs)
+        head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        if len(head):
+            d["e"][of[head]] = np.add.reduceat(np.take(dh.reshape(-1, WIDTH), inputs, axis=0), head, axis=0)
+        return loss, d
+
+    def _back(self, d: dict[str, np.ndarray], part: tuple, dz: np.ndarray, dh: np.ndarray) -> None:
+        """From the gradient dz of hidden values: adds to the gradients of the layer, and sets that of its inputs. Uses up ``part`` and dz."""
+        w, n = self.w, len(dh)
+        h, here, before, q, v, s, scale, c, g = part
         g *= g
         np.subtract(1, g, out=g)  # 0 for the one
         dz *= g
-        d["b"], d["o"] = before.T @ dz, c.reshape(-1, WIDTH).T @ dz
-        dc = (dz @ w["o"].T).reshape(n, STRIDE, WIDTH)
+        dc = dz.reshape(n, STRIDE, WIDTH)
         s *= scale
         ds = np.matmul(dc, v.transpose(0, 2, 1))
-        dv = np.matmul(s.transpose(0, 2, 1), dc)
-        dv[:, :, -1] = 0
+        dv = np.matmul(s.transpose(0, 2, 1), dc).reshape(-1, WIDTH)
         # the mean of ds under the weights is what dc tells of c
         c *= dc
         ds -= (c.reshape(-1, WIDTH) @ np.ones((WIDTH, 1), g.dtype)).reshape(n, STRIDE, 1)
         ds *= s
-        dk, dq = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, WIDTH), np.matmul(ds, k).reshape(-1, WIDTH)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dh)
+        dq = np.matmul(ds, h).reshape(-1, WIDTH)
         dq *= np.float32(WIDTH**-0.5)
-        dv = dv.reshape(-1, WIDTH)
-        d["q"], d["k"], d["v"] = here.T @ dq, flat.T @ dk, flat.T @ dv
-        dh = dk @ w["k"].T
-        dh += dv @ w["v"].T
-        dh = dh.reshape(n, WINDOW, WIDTH)
+        d["b"] += before.T @ dz
+        d["q"] += here.T @ dq
+        d["v"] += h.reshape(-1, WIDTH).T @ dv
+        all_ = dh.reshape(-1, WIDTH)
+        all_ += dv @ w["v"].T
         dh[:, BACK - 1 : -1] += (dz @ w["b"].T).reshape(n, STRIDE, WIDTH)
         dz += dq @ w["q"].T
-        dh[:, BACK:] += dz.reshape(n, STRIDE, WIDTH)
-        d["p"] = dh.sum(axis=0)
-        d["e"] = np.zeros_like(w["e"])
-        inputs = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        of = np.take(x.ravel(), inputs)
-        head = np.flatnonzero(np.diff(of, prepend=-1))
-        d["e"][of[head]] = np.add.reduceat(np.take(dh.reshape(-1, WIDTH), inputs, axis=0), head, axis=0)
-        return loss, d
+        dh[:, BACK:] += dc
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""

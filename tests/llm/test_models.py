@@ -97,11 +97,11 @@ def plain_score(w, ids):
         h = [w["e"][i] + w["p"][k] for k, i in enumerate(inputs)]
         for place, target in enumerate(ids[first : first + A.STRIDE], A.BACK):
             q = h[place] @ w["q"] / A.WIDTH**0.5
-            logits = np.array([q @ (h[j] @ w["k"]) for j in range(place + 1)])
+            logits = np.array([q @ h[j] for j in range(place + 1)])
             weight = np.exp(logits - logits.max())
             values = [np.append((h[j] @ w["v"])[:-1], 1) for j in range(place + 1)]
             c = sum(a * v for a, v in zip(weight / weight.sum(), values))
-            g = np.append(np.tanh(c @ w["o"] + h[place - 1] @ w["b"] + h[place])[:-1], 1)
+            g = np.append(np.tanh(c + h[place - 1] @ w["b"] + h[place])[:-1], 1)
             one, two, three = target // (A.FAN[1] * A.FAN[2]), target // A.FAN[2] % A.FAN[1], target % A.FAN[2]
             for u, pick in ((w["u1"], one), (w["u2"][one], two), (w["u3"][one * A.FAN[1] + two], three)):
                 l = g @ u
@@ -113,7 +113,7 @@ def plain_score(w, ids):
 def test_scores_equal_plain_loops(larger):
     """Also where logits are far beyond what exp takes."""
     m = attention_lm.Attention.fresh()
-    for k in ("q", "k", "u1", "u2", "u3"):
+    for k in ("q", "u1", "u2", "u3"):
         m.w[k] = m.w[k] * np.float32(larger)
     r = np.random.default_rng(3)
     texts = [np.append(r.integers(0, attention_lm.SUBWORDS, n), attention_lm.END).astype(np.int32) for n in (0, 1, 19, 20, 47)]
@@ -230,20 +230,37 @@ def test_regions_equal_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_large_regions_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_regions, "LEAF", 4)
+@pytest.mark.parametrize("leaf, levels, pivots", [(4, 6, 4), (4, 1, 4), (16, 6, 16), (8, 6, 0)])
+def test_large_regions_equal_brute_force(spark, monkeypatch, leaf, levels, pivots):
+    """Split by pivots at several bounds; pairs of blocks where there are no levels or no pivots."""
+    monkeypatch.setattr(jaccard_regions, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_regions, "LEVELS", levels)
+    monkeypatch.setattr(jaccard_regions, "PIVOTS", pivots)
     r = random.Random(1)
-    base = [f"v{r.randrange(1000)}" for _ in range(100)]
+    passage = [f"p{i}" for i in range(60)]
     rows = []
-    for i in range(40):
-        text = list(base)
-        for _ in range(3):
-            text[r.randrange(100)] = f"n{i}"
-        rows.append((i, " ".join(text)))
+    for family in range(6):
+        base = passage[: 10 * family] + [f"v{r.randrange(1000)}" for _ in range(100 - 10 * family)]
+        for _ in range(20):
+            text = list(base)
+            for _ in range(r.choice([0, 1, 2, 4])):
+                text[r.randrange(100)] = f"n{r.randrange(40)}"
+            rows.append((len(rows), " ".join(text)))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_regions.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
 
+def test_distances():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 40, 20)).astype(np.uint64) for _ in range(9)]
+    n = np.array([len(s) + k % 3 for k, s in enumerate(sets)])
+    got = jaccard_regions.distances(n, sets, n[:4], sets[:4])
+    for i in range(9):
+        for j in range(4):
+            both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            assert got[i, j] == pytest.approx(1 - both / (n[i] + n[j] - both))
+
+
 def test_regions_odd_rows(spark, docs):
     rows = jaccard_regions.join_components(docs.withColumn("n_shingles", F.lit("clash"))).collect()
     assert len(rows) == docs.count()
