@@ -1,9 +1,10 @@
 """Packing of whole documents into training windows with related documents beside each other.
 
 A document's ids fill windows of their own while they can; what is left (under a window) is its tail. Tails
-are ordered by their words (most frequent word, then least word hash, so that copies and texts with common
-passages come together) and cut into shards. Each shard is a BM25 inverted index with document frequencies
-and mean length of the whole corpus. The first unused tail is a seed: its unused neighbours by BM25 fill its
+are ordered by the two words that weigh most in their BM25 (of the words that another document may have too), so that
+copies and texts of one matter come together, and cut into shards. Each shard is a BM25 inverted index over 64-bit terms
+with document frequencies and mean length of the whole corpus; frequencies are those of a count-min sketch of SKETCH rows,
+which is never below the true one. The first unused tail is a seed: its unused neighbours by BM25 fill its
 window, those that fit first; the best that doesn't fit is cut, and its rest stays in the index. Only the last
 window of a shard can end early.
 """
@@ -25,13 +26,33 @@ from patternfold.llm.byte_tokens import default_vocabulary, kept
 
 WINDOW = 1024
 END_ID = 0
-TERM_BITS = 18
+SKETCH, SKETCH_BITS = 4, 18
 SHARD_ROWS = 1024
 K1, B = 1.2, 0.75
 NEIGHBOURS = 64
 
-_NAMES = ["kind", "doc_id", "doc_tokens", "full", "tail", "terms", "tfs", "words", "route", "least", "key", "data"]
-_SCHEMA = "kind string, doc_id long, doc_tokens long, full array<long>, tail binary, terms binary, tfs binary, words long, route int, least long, key int, data binary"
+_NAMES = ["kind", "doc_id", "doc_tokens", "full", "tail", "terms", "tfs", "words", "key", "data"]
+_SCHEMA = "kind string, doc_id long, doc_tokens long, full array<long>, tail binary, terms binary, tfs binary, words long, key int, data binary"
+
+
+def _places(terms: np.ndarray) -> list[np.ndarray]:
+    """Where each row of the sketch counts the terms."""
+    return [(mix(terms + np.uint64(k)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) + (k << SKETCH_BITS) for k in range(SKETCH)]
+
+
+class Statistics:
+    """Documents, their mean number of words, and in how many of them a term is (at most)."""
+
+    def __init__(self, sums: np.ndarray):
+        self.sketch, self.documents = sums[:-2], int(sums[-2])
+        self.mean = max(1.0, int(sums[-1]) / max(self.documents, 1))
+
+    def frequency(self, terms: np.ndarray) -> np.ndarray:
+        return np.minimum.reduce([self.sketch[p] for p in _places(terms)])
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.frequency(terms)
+        return np.log1p((self.documents - df + 0.5) / (df + 0.5)).clip(0)
 
 
 def _stage(vocabulary: str, window: int, end_id: int):
@@ -39,14 +60,14 @@ def _stage(vocabulary: str, window: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = kept(vocabulary)
-        stats = np.zeros((1 << TERM_BITS) + 2, np.int64)  # document frequencies, documents, words
+        stats = np.zeros((SKETCH << SKETCH_BITS) + 2, np.int64)  # document frequencies, documents, words
         for batch in batches:
             for part in slices(batch):
                 yield _stage_rows(part, tokenizer.encode_pieces(part.column("text")), window, end_id, stats)
         keys, data = arrays.pieces(stats)
         n = len(keys)
-        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(["stats"] * n), *none, pa.array(keys, pa.int32()), pa.array(data, pa.binary())], _NAMES)
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(["stats"] * n, pa.string()), *none, pa.array(keys, pa.int32()), pa.array(data, pa.binary())], _NAMES)
 
     return run
 
@@ -60,15 +81,15 @@ def _terms(part: pa.RecordBatch, encoded) -> tuple[np.ndarray, np.ndarray, np.nd
     first[row[new]] = at[new]
     at = at - first[row]
     word = term > 0
-    row, term, at = row[word], term[word] >> np.uint64(64 - TERM_BITS), at[word]
+    row, term, at = row[word], term[word], at[word]
     if len(odd):  # encoded whole: words spread evenly over the ids
         w = blocks.words(part.column("text").take(pa.array(odd)), lower=True)
         of = odd[w.doc]
         rank = np.arange(len(of)) - w.bounds[:-1][w.doc]
-        row, term, at = np.concatenate([row, of]), np.concatenate([term, w.hash >> np.uint64(64 - TERM_BITS)]), np.concatenate([at, rank * sizes[of] // np.maximum(w.counts[w.doc], 1)])
+        row, term, at = np.concatenate([row, of]), np.concatenate([term, np.maximum(w.hash, 1)]), np.concatenate([at, rank * sizes[of] // np.maximum(w.counts[w.doc], 1)])
         order = np.argsort(row, kind="stable")
         row, term, at = row[order], term[order], at[order]
-    return row, term.astype(np.int64), at
+    return row, term, at
 
 
 def _stage_rows(part: pa.RecordBatch, encoded, window: int, end_id: int, stats: np.ndarray) -> pa.RecordBatch:
@@ -85,53 +106,79 @@ def _stage_rows(part: pa.RecordBatch, encoded, window: int, end_id: int, stats:
     data, width = (ids.astype("<u2").tobytes(), 2) if narrow else (data, 4)
     tails = [data[width * (a + m * window) : width * (a + s)] for a, m, s in zip(first.tolist(), fulls.tolist(), sizes.tolist())]
 
-    seen = np.sort(row << TERM_BITS | term)
-    seen = seen[np.diff(seen, prepend=-1) > 0]
-    stats[: 1 << TERM_BITS] += np.bincount(seen & (1 << TERM_BITS) - 1, minlength=1 << TERM_BITS)
+    known, term = np.unique(term, return_inverse=True)
+    seen = np.sort(row << 32 | term)
+    seen = seen[np.diff(seen, prepend=-1) > 0] & 0xFFFFFFFF
+    for k, place in enumerate(_places(known)):
+        stats[k << SKETCH_BITS : (k + 1) << SKETCH_BITS] += np.bincount(place[seen] - (k << SKETCH_BITS), minlength=1 << SKETCH_BITS)
     stats[-2] += n
     stats[-1] += len(term)
 
     mine = at >= (fulls * window)[row]
     row, term = row[mine], term[mine]
     words = np.bincount(row, minlength=n)
-    pair = np.sort(row << TERM_BITS | term)
+    pair = np.sort(row << 32 | term)
     head = np.flatnonzero(np.diff(pair, prepend=-1))
-    tf = np.minimum(np.diff(head, append=len(pair)), 65535)
+    tf = np.diff(head, append=len(pair))
     pair = pair[head]
-    owner, own = pair >> TERM_BITS, pair & (1 << TERM_BITS) - 1
-    cuts = np.searchsorted(owner, np.arange(n + 1))
-    route, least = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    some = np.flatnonzero(np.diff(cuts))
-    if len(some):
-        best = np.minimum.reduceat((65535 - tf) << TERM_BITS | own, cuts[some])
-        route[some] = best & (1 << TERM_BITS) - 1
-        least[some] = np.minimum.reduceat((mix(own.astype(np.uint64)) >> np.uint64(1)).astype(np.int64), cuts[some])
-    terms, tfs = own.astype("<u4").tobytes(), tf.astype("<u2").tobytes()
-    c = cuts.tolist()
+    cuts = np.searchsorted(pair >> 32, np.arange(n + 1)).tolist()
+    terms, tfs = known[pair & 0xFFFFFFFF].astype("<u8").tobytes(), tf.astype("<u4").tobytes()
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(["doc"] * n), part.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary()),
-            pa.array([terms[4 * a : 4 * b] for a, b in zip(c, c[1:])], pa.binary()), pa.array([tfs[2 * a : 2 * b] for a, b in zip(c, c[1:])], pa.binary()),
-            pa.array(words.astype(np.int64)), pa.array(route.astype(np.int32)), pa.array(least), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+            pa.array(["doc"] * n, pa.string()), part.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary()),
+            pa.array([terms[8 * a : 8 * b] for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([tfs[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])], pa.binary()),
+            pa.array(words.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
         ],
         _NAMES,
     )
 
 
+def _weights(tf: np.ndarray, words: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 of terms that stand tf times in texts of so many words."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words / mean))
+
+
+def _route(statistics):
+    """Adds route and second to tails: the two terms of most weight among those that another document may have; 0 where there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = statistics.value
+        for batch in batches:
+            n = batch.num_rows
+            raw, off = blocks.utf8(batch.column("terms"))
+            term, size = np.frombuffer(raw.tobytes(), "<u8"), np.diff(off) // 8
+            tf = np.frombuffer(blocks.utf8(batch.column("tfs"))[0].tobytes(), "<u4").astype(float)
+            of = np.repeat(np.arange(n), size)
+            df = s.frequency(term)
+            weight = _weights(tf, batch.column("words").to_numpy()[of], np.log1p((s.documents - df + 0.5) / (df + 0.5)).clip(0), s.mean)
+            some = np.flatnonzero(df > 1)
+            some = some[np.lexsort((term[some], -weight[some], of[some]))]
+            head = np.flatnonzero(np.diff(of[some], prepend=-1))
+            both = np.zeros((2, n), np.uint64)
+            both[0, of[some[head]]] = term[some[head]]
+            next_ = head + 1
+            next_ = next_[(next_ < len(some))]
+            next_ = next_[of[some[next_]] == of[some[next_ - 1]]]
+            both[1, of[some[next_]]] = term[some[next_]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((both[0] >> np.uint64(1)).astype(np.int64)), pa.array((both[1] >> np.uint64(1)).astype(np.int64))], [*batch.schema.names, "route", "second"])
+
+    return run
+
+
 class Shard:
     """An inverted index over tails: postings by term, each with its BM25 weight.
 
     Terms that an eighth of the shard holds are kept as rows of a matrix, the others as lists.
     """
 
-    def __init__(self, terms: list[np.ndarray], tfs: list[np.ndarray], words: np.ndarray, idf: np.ndarray, mean: float):
+    def __init__(self, terms: list[np.ndarray], tfs: list[np.ndarray], words: np.ndarray, statistics: Statistics):
         n = len(terms)
         sizes = np.fromiter(map(len, terms), np.int64, n)
-        term = np.concatenate(terms) if n else np.zeros(0, np.uint32)
+        term = np.concatenate(terms) if n else np.zeros(0, np.uint64)
         tf = np.concatenate(tfs).astype(np.float32) if n else np.zeros(0, np.float32)
         doc = np.repeat(np.arange(n), sizes)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / mean))).astype(np.float32)
-        _, inverse, count = np.unique(term, return_inverse=True, return_counts=True)
+        known, inverse, count = np.unique(term, return_inverse=True, return_counts=True)
+        weight = _weights(tf, words[doc], statistics.idf(known)[inverse], statistics.mean).astype(np.float32)
         heavy = count * 8 >= n
         number = np.cumsum(heavy) - 1
         self.n, self.matrix = n, np.zeros((int(heavy.sum()), n), np.float32)
@@ -192,7 +239,6 @@ def fill(shard: Shard, left: np.ndarray, window: int) -> Iterator[list[tuple[int
 
 def _pack(window: int, statistics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = statistics.value
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
         held: list[dict] = []
@@ -200,10 +246,10 @@ def _pack(window: int, statistics):
             held += batch.to_pylist()
             while len(held) >= 2 * SHARD_ROWS:
                 rows, held = held[:SHARD_ROWS], held[SHARD_ROWS:]
-                out, number = _pack_shard(rows, window, idf, mean, number)
+                out, number = _pack_shard(rows, window, statistics.value, number)
                 yield out
         if held:
-            yield _pack_shard(held, window, idf, mean, number)[0]
+            yield _pack_shard(held, window, statistics.value, number)[0]
 
     return run
 
@@ -212,10 +258,10 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 _PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack_shard(rows: list[dict], window: int, idf: np.ndarray, mean: float, number: int) -> tuple[pa.RecordBatch, int]:
+def _pack_shard(rows: list[dict], window: int, statistics: Statistics, number: int) -> tuple[pa.RecordBatch, int]:
     ids = [np.frombuffer(r["tail"], "<u2" if len(r["tail"]) == 2 * (r["doc_tokens"] - window * len(r["full"])) else "<u4").astype("<u4") for r in rows]
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    shard = Shard([np.frombuffer(r["terms"], "<u4") for r in rows], [np.frombuffer(r["tfs"], "<u2") for r in rows], np.array([r["words"] for r in rows], float), idf, mean)
+    shard = Shard([np.frombuffer(r["terms"], "<u8") for r in rows], [np.frombuffer(r["tfs"], "<u4") for r in rows], np.array([r["words"] for r in rows], float), statistics)
     left = sizes.copy()
     done = np.zeros(len(ids), np.int64)
     out: list[tuple] = []
@@ -244,15 +290,14 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
     docs.select("doc_id", "text").mapInArrow(_stage(vocabulary, window, end_id), _SCHEMA).write.partitionBy("kind").parquet(path)
     fields = dict(f.strip().split(" ") for f in _SCHEMA.split(","))
     read = lambda kind, *names: spark.read.schema(", ".join(f"{n} {fields[n]}" for n in names)).parquet(f"{path}/kind={kind}") if _exists(spark, f"{path}/kind={kind}") else spark.createDataFrame([], ", ".join(f"{n} {fields[n]}" for n in names))
-    stats = arrays.total(read("stats", "key", "data"), (1 << TERM_BITS) + 2)
-    n, words = int(stats[-2]), int(stats[-1])
-    df = stats[:-2]
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)).clip(0)
-    statistics = spark.sparkContext.broadcast((idf, max(1.0, words / max(n, 1))))
-    names = ["doc_id", "doc_tokens", "full", "tail", "terms", "tfs", "words", "route", "least"]
+    statistics = Statistics(arrays.total(read("stats", "key", "data"), (SKETCH << SKETCH_BITS) + 2))
+    sent = spark.sparkContext.broadcast(statistics)
+    names = ["doc_id", "doc_tokens", "full", "tail", "terms", "tfs", "words"]
+    schema = ", ".join([*(f"{n} {fields[n]}" for n in names), "row long, route long, second long"])
     tails = read("doc", *names).where(F.octet_length("tail") > 0).withColumn("row", F.monotonically_increasing_id())
-    shards = max(1, -(-n // SHARD_ROWS))
-    packed = tails.repartitionByRange(shards, "route", "least", "row").sortWithinPartitions("route", "least", "row").mapInArrow(_pack(window, statistics), _PIECE_DDL)
+    shards = max(1, -(-statistics.documents // SHARD_ROWS))
+    routed = tails.mapInArrow(_route(sent), schema)
+    packed = routed.repartitionByRange(shards, "route", "second", "row").sortWithinPartitions("route", "second", "row").mapInArrow(_pack(window, sent), _PIECE_DDL)
     whole = read("doc", "doc_id", "doc_tokens", "full").select("doc_id", "doc_tokens", F.posexplode("full").alias("k", "ids_crc32"))
     alone = whole.select("doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return alone.unionByName(packed)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -287,16 +288,85 @@ def test_packing(spark, docs, empty, small):
     assert packing.pack(empty).count() == 0
 
 
+class Corpus:
+    """Statistics of a few texts, counted exactly."""
+
+    def __init__(self, terms, words):
+        self.documents, self.mean = len(terms), max(words.mean(), 1.0)
+        self.df = Counter(t for own in terms for t in own.tolist())
+
+    def idf(self, terms):
+        df = np.array([self.df[t] for t in terms.tolist()], float)
+        return np.log1p((self.documents - df + 0.5) / (df + 0.5)).clip(0)
+
+
+def some_texts(n, seed=2):
+    r = np.random.default_rng(seed)
+    terms = [np.unique(r.integers(0, 60, 20)).astype(np.uint64) for _ in range(n)]
+    tfs = [r.integers(1, 4, len(t)).astype(np.uint32) for t in terms]
+    return terms, tfs, np.array([t.sum() for t in tfs], float)
+
+
+def bm25(corpus, terms, tfs, words, i, j):
+    idf = dict(zip(terms[j].tolist(), corpus.idf(terms[j])))
+    return sum(idf[t] * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * words[j] / corpus.mean)) for t, f in zip(terms[j].tolist(), tfs[j].astype(float)) if t in terms[i])
+
+
 def test_neighbours_are_the_best():
-    r = np.random.default_rng(2)
-    terms = [np.unique(r.integers(0, 60, 20)).astype(np.uint32) for _ in range(30)]
-    tfs = [r.integers(1, 4, len(t)).astype(np.uint16) for t in terms]
-    size = np.array([t.sum() for t in tfs], float)
-    idf = r.random(60) + 0.1
-    shard = packing.Shard(terms, tfs, size, idf, size.mean())
+    terms, tfs, words_ = some_texts(30)
+    corpus = Corpus(terms, words_)
+    shard = packing.Shard(terms, tfs, words_, corpus)
     for i in range(30):
-        want = [sum(idf[t] * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * size[j] / size.mean())) for t, f in zip(terms[j], tfs[j].astype(float)) if t in terms[i]) for j in range(30)]
-        assert np.allclose(shard.scores(i), want, atol=1e-4)
+        assert np.allclose(shard.scores(i), [bm25(corpus, terms, tfs, words_, i, j) for j in range(30)], atol=1e-4)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fill_is_greedy(monkeypatch, seed):
+    """Window by window as a plain loop does it: the seed, then its unused neighbours in order, the first too large one cut last. Every other text is a copy, so there are ties."""
+    monkeypatch.setattr(packing, "NEIGHBOURS", 5)
+    terms, tfs, words_ = (x for x in some_texts(20, seed))
+    terms, tfs, words_ = terms + terms, tfs + tfs, np.concatenate([words_, words_])
+    corpus = Corpus(terms, words_)
+    left = np.random.default_rng(seed).integers(1, 60, 40)
+    own = left.copy()
+    want = []
+    while own.any():
+        first = int(np.flatnonzero(own)[0])
+        taken, room = [(first, int(own[first]))], 64 - int(own[first])
+        own[first] = 0
+        rest = sorted(np.flatnonzero(own).tolist(), key=lambda d: (-round(bm25(corpus, terms, tfs, words_, first, d), 5), d))
+        cut, k = None, 5
+        while room and rest:
+            for d in rest[:k]:
+                if room and own[d] and own[d] <= room:
+                    taken.append((d, int(own[d])))
+                    room -= int(own[d])
+                    own[d] = 0
+                elif own[d] and cut is None and room:
+                    cut = d
+            if room and cut is not None:
+                taken.append((cut, room))
+                own[cut] -= room
+                room = 0
+            if k >= len(rest):
+                break
+            k *= 4
+        want.append(taken)
+    got = list(packing.fill(packing.Shard(terms, tfs, words_, corpus), left, 64))
+    assert not left.any() and sum(len(w) for w in got) >= 40
+    assert all(sum(n for _, n in w) <= 64 for w in got) and all(sum(n for _, n in w) == 64 for w in got[:-1])
+    assert [w[0][0] for w in got] == [w[0][0] for w in want] and got[0] == want[0]
+
+
+def test_sketch_is_never_below(spark):
+    texts = [f"wort{i} und wort{i % 7}" for i in range(300)]
+    sums = np.zeros((packing.SKETCH << packing.SKETCH_BITS) + 2, np.int64)
+    part = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+    packing._stage_rows(part, _byte().encode_pieces(part.column("text")), 1024, 0, sums)
+    s = packing.Statistics(sums)
+    true = Counter(w for t in texts for w in set(t.split()))
+    got = s.frequency(blocks.words(pa.array(list(true))).hash)
+    assert s.documents == 300 and (got >= list(true.values())).all() and (got == list(true.values())).mean() > 0.99
 
 
 # --- native operators
