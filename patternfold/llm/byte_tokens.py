@@ -49,6 +49,7 @@ class ByteTokenizer(Remembered):
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # a character for each byte
+        self.id_bytes = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and max(self.tokenizer.get_vocab().values()) < 1 << 16 else 4
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 

@@ -5,10 +5,12 @@ passages give equal chunks wherever they stand. A store is a folder with three t
 
 * ``kind=chunk``: digest, ids (little-endian, 2 bytes each where the vocabulary allows, else 4). Once per digest.
 * ``kind=recipe``: doc_id, n_tokens, digests (16 bytes for each chunk, in order), root (Merkle root of them).
-* ``manifest``: recipes in ascending doc_id order with start (ids of all documents before), and per part of
-  that order the root over its documents' roots.
+* ``ordered``: recipes in ascending doc_id order, in parts that follow each other.
+* ``manifest``: for each part its documents, their ids and the Merkle root over their roots; and for part -1 the root over
+  the parts' roots, and the bytes of an id.
 
-Reading back verifies each chunk against its digest and each document against its Merkle root.
+Reading back verifies each chunk against its digest, each document against its root, each part against the manifest's
+root and number of documents, and the parts against the root of all.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ WINDOW = 16
 LEAST, MEAN_BITS, MOST = 32, 7, 512
 
 _U = np.uint64
+#: Ids as they are stored, by their bytes.
+_KIND = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 _GEAR = np.random.default_rng(31).integers(0, 2**64, 1 << 16, dtype=np.uint64)
 
 
@@ -79,6 +83,28 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+class MerkleStream:
+    """merkle_root of leaves that come one after the other, in the memory of the tree's height."""
+
+    def __init__(self) -> None:
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        size, node = 1, leaf
+        while self.nodes and self.nodes[-1][0] == size:
+            node = merkle_root([self.nodes.pop()[1], node])
+            size *= 2
+        self.nodes.append((size, node))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return merkle_root([])
+        node = self.nodes[-1][1]
+        for _, left in reversed(self.nodes[:-1]):
+            node = merkle_root([left, node])
+        return node
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16, person=b"chunk").digest()
 
@@ -109,22 +135,22 @@ def crc_join(crc: np.ndarray, added: np.ndarray, n_ids: np.ndarray) -> np.ndarra
     return t[n_ids, 0, crc & 255] ^ t[n_ids, 1, crc >> 8 & 255] ^ t[n_ids, 2, crc >> 16 & 255] ^ t[n_ids, 3, crc >> 24] ^ added
 
 
-def _encode_rows(vocabulary: str, end_id: int, small: bool):
+def _encode_rows(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = kept(vocabulary)
         for batch in batches:
             for part in slices(batch):
-                yield from _rows(part, *tokenizer.encode(part.column("text")), end_id, small)
+                yield from _rows(part, *tokenizer.encode(part.column("text")), end_id, tokenizer.id_bytes)
 
     return run
 
 
-def _rows(part: pa.RecordBatch, ids: np.ndarray, sizes: np.ndarray, end_id: int, small: bool) -> Iterator[pa.RecordBatch]:
+def _rows(part: pa.RecordBatch, ids: np.ndarray, sizes: np.ndarray, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     """Recipe rows of a slice, and a row for each chunk that is new in it."""
-    ids = np.insert(ids, np.cumsum(sizes), end_id).astype(np.uint16 if small else np.uint32)
+    ids = np.insert(ids, np.cumsum(sizes), end_id).astype(_KIND[width])
     sizes = sizes + 1
     ends, counts = cut_points(ids, sizes)
-    data, width = ids.tobytes(), ids.itemsize
+    data = ids.tobytes()
     marks = (ends * width).tolist()
     chunks, a = [], 0
     for b in marks:
@@ -154,49 +180,87 @@ _SPLIT = "posexplode(transform(sequence(0, cast(octet_length(digests) div 16 as
 _NAMES = ["kind", "digest", "doc_id", "row", "n_tokens", "digests", "ids"]
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, small: bool = True) -> None:
+def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Encodes doc_id, text of ``docs`` (null text: empty; repeated rows stay) and writes the store at ``path``.
 
-    ``small``: ids fit in 2 bytes. One pass over the text and one shuffle: chunks, already distinct within a slice,
-    meet by digest and the first stays. Recipes go to partitions by row, not by document, so no key is hot.
+    Ids take 2 bytes if all of the vocabulary's fit, else 4. One pass over the text and one shuffle: chunks, already
+    distinct within a slice, meet by digest and the first stays. Recipes go to partitions by row, not by document, so
+    no key is hot. An empty table gives a store without documents.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     shared.text_batches(spark)
-    rows = docs.select("doc_id", "text").mapInArrow(_encode_rows(vocabulary, end_id, small), "kind string, digest binary, doc_id long, row long, n_tokens long, digests binary, ids binary")
+    rows = docs.select("doc_id", "text").mapInArrow(_encode_rows(vocabulary, end_id), "kind string, digest binary, doc_id long, row long, n_tokens long, digests binary, ids binary")
     rows = rows.withColumn("row", F.when(F.col("kind") == "recipe", F.monotonically_increasing_id()))
     one = rows.groupBy("kind", "digest", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("digests").alias("digests"), F.first("ids").alias("ids"))
     one.write.partitionBy("kind").parquet(path)
-    _write_manifest(spark, path)
+    _write_manifest(spark, path, kept(vocabulary).id_bytes)
+
+
+_PARTS = "part int, documents long, n_tokens long, root binary"
 
 
-def _write_manifest(spark: SparkSession, path: str) -> None:
-    """Recipes in ascending doc_id order, each with the number of ids before it."""
+def _write_manifest(spark: SparkSession, path: str, width: int) -> None:
+    """Recipes in ascending doc_id order, and what the manifest says of their parts."""
     recipes = _table(spark, path, "recipe")
     ordered = recipes.select("doc_id", "n_tokens", "row", "digests", F.col("digest").alias("root")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "root", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root", "row")
     ordered.withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/ordered")
+    parts = part_roots(spark, path).orderBy("part").collect()
+    rows = [(r.part, r.documents, r.n_tokens, bytes(r.root), width) for r in parts]
+    rows.append((-1, sum(r.documents for r in parts), sum(r.n_tokens for r in parts), merkle_root([bytes(r.root) for r in parts]), width))
+    spark.createDataFrame(rows, _PARTS + ", id_bytes int").coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, row, start, n_tokens, root, digests: every document in order of doc_id (nulls first; equal ids by root)."""
-    ordered = spark.read.parquet(f"{path}/ordered")
-    # a row for each part of the order, as many as partitions wrote it
-    totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("sum"))
-    before = totals.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root", "row").rowsBetween(Window.unboundedPreceding, -1)
-    return ordered.join(F.broadcast(before), "part").select("doc_id", "row", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "root", "digests", "part")
+_ORDERED = "doc_id long, n_tokens long, row long, digests binary, root binary, part int"
+
+
+def _order(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_ORDERED).parquet(f"{path}/ordered")
 
 
 def part_roots(spark: SparkSession, path: str) -> DataFrame:
-    """part, documents, root: the second level of the Merkle manifest, over the documents' roots in order."""
+    """part, documents, n_tokens, root of each part as it is read: a row for each partition that wrote the order, whatever stands in it (no row for an empty store)."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, documents, ids, tree = None, 0, 0, MerkleStream()
+        done: list[tuple] = []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([merkle_root(r) for r in batch.column(2).to_pylist()], pa.binary())], ["part", "documents", "root"])
-
-    ordered = spark.read.parquet(f"{path}/ordered").select("part", "doc_id", "root", "row")
-    grouped = ordered.groupBy("part").agg(F.count("*").alias("documents"), F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "root", "row"))), lambda x: x["root"]).alias("roots"))
-    return grouped.mapInArrow(run, "part int, documents long, root binary")
+            for p, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "n_tokens", "root"))):
+                if p != part:
+                    if documents:
+                        done.append((part, documents, ids, tree.root()))
+                    part, documents, ids, tree = p, 0, 0, MerkleStream()
+                documents, ids = documents + 1, ids + (n or 0)
+                tree.add(root or b"")
+        if documents:
+            done.append((part, documents, ids, tree.root()))
+        columns = list(zip(*done)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "documents", "n_tokens", "root"])
+
+    rows = _order(spark, path).select("part", "doc_id", "root", "row", "n_tokens")
+    return rows.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "root", "row").mapInArrow(run, _PARTS)
+
+
+def check_manifest(spark: SparkSession, path: str) -> tuple[int, list[tuple[int, int, bool]]]:
+    """Bytes of an id; and of each part its number, the ids of all parts before it by the manifest, and whether it is as the manifest says (false for all if the manifest's own root is not that of its parts)."""
+    rows = spark.read.schema(_PARTS + ", id_bytes int").parquet(f"{path}/manifest").orderBy("part").collect()
+    top, parts = [r for r in rows if r.part == -1], [r for r in rows if r.part >= 0]
+    sound = len(top) == 1 and bytes(top[0].root) == merkle_root([bytes(r.root) for r in parts]) and top[0].documents == sum(r.documents for r in parts)
+    found = {r.part: r for r in part_roots(spark, path).collect()}
+    out, before = [], 0
+    for r in parts:
+        own = found.pop(r.part, None)
+        out.append((r.part, before, bool(sound and own and (own.documents, own.n_tokens, bytes(own.root)) == (r.documents, r.n_tokens, bytes(r.root)))))
+        before += r.n_tokens
+    return (rows[0].id_bytes if rows else 2), out + [(p, before, False) for p in sorted(found)]
+
+
+def manifest(spark: SparkSession, path: str, parts: list[tuple[int, int, bool]] | None = None) -> DataFrame:
+    """doc_id, row, start, n_tokens, root, digests, sound (its part is as the manifest says): every document in order of doc_id (nulls first; equal ids by root)."""
+    parts = check_manifest(spark, path)[1] if parts is None else parts
+    before = spark.createDataFrame(parts, "part int, before long, sound boolean")
+    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return _order(spark, path).join(F.broadcast(before), "part").select("doc_id", "row", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "root", "digests", "sound")
 
 
 def _table(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -204,14 +268,14 @@ def _table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/kind={kind}")
 
 
-def _chunk_facts(small: bool):
+def _chunk_facts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, data = batch.column("digest").to_pylist(), batch.column("ids").to_pylist()
-            kind = np.uint16 if small else np.uint32
-            sizes = [len(d) // kind().itemsize for d in data]
-            good = [digest(d) == g for d, g in zip(data, digests)]
-            wide = np.frombuffer(b"".join(data), kind).astype("<u4").tobytes()
+            good = [d is not None and not len(d) % width and digest(d) == g for d, g in zip(data, digests)]
+            data = [d if g else b"" for d, g in zip(data, good)]
+            sizes = [len(d) // width for d in data]
+            wide = np.frombuffer(b"".join(data), _KIND[width]).astype("<u4").tobytes()
             at = np.concatenate([[0], np.cumsum(sizes)]) * 4
             crc = [zlib.crc32(wide[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(crc, pa.int64()), pa.array(good)], ["digest", "n", "crc", "good"])
@@ -242,39 +306,44 @@ def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(length), pa.array(total.astype(np.int64)), pa.array(verified), pa.array(sizes)], ["row", "n_ids", "ids_crc32", "verified", "n_chunks"])
 
 
-def verify(spark: SparkSession, path: str, small: bool = True) -> DataFrame:
-    """Reads the store back: doc_id, start, n_tokens, ids_crc32, n_chunks, verified, a row for each document.
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """Reads the store back: doc_id, start, n_tokens, ids_crc32, n_chunks, verified, a row for each document of the order.
 
     Chunks are read and hashed once each; documents need only their chunks' lengths and CRCs, which join by
-    digest. A missing or altered chunk makes verified false (a missing one also the counts).
+    digest. A missing or altered chunk, a lost or altered recipe and a part that is not as the manifest says make
+    verified false (a lost recipe also ids_crc32 and n_chunks null, lost chunks the counts).
     """
-    facts = _table(spark, path, "chunk").mapInArrow(_chunk_facts(small), "digest binary, n int, crc long, good boolean")
+    width, parts = check_manifest(spark, path)
+    facts = _table(spark, path, "chunk").mapInArrow(_chunk_facts(width), "digest binary, n int, crc long, good boolean")
     recipes = _table(spark, path, "recipe")
     refs = recipes.select("row", F.expr(_SPLIT).alias("pos", "digest"))
     met = refs.join(facts, "digest", "left")
     lists = met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("good", F.lit(False)).alias("good")))).alias("chunks"))
-    order = manifest(spark, path).select("doc_id", "row", "start", "n_tokens", "root")
+    order = manifest(spark, path, parts).select("doc_id", "row", "start", "n_tokens", "root", "sound")
     checked = lists.join(order.select("row", "root"), "row").select("row", "root", "chunks").mapInArrow(_join_crcs, "row long, n_ids long, ids_crc32 long, verified boolean, n_chunks long")
-    return order.join(checked, "row").select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", (F.col("verified") & (F.col("n_ids") == F.col("n_tokens"))).alias("verified"))
+    right = F.col("sound") & F.col("verified") & (F.col("n_ids") == F.col("n_tokens"))
+    return order.join(checked, "row", "left").select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", F.coalesce(right, F.lit(False)).alias("verified"))
 
 
-def reconstruct(spark: SparkSession, path: str, doc_ids: list[int] | None = None, small: bool = True) -> DataFrame:
-    """doc_id, row, ids array<int> of the given documents, or of all."""
+def reconstruct(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """doc_id, row, ids array<int> of the given documents, or of all. A document of which a chunk is lost has null."""
+    width = check_manifest(spark, path)[0]
     recipes = _table(spark, path, "recipe")
     if doc_ids is not None:
         recipes = recipes.where(F.col("doc_id").isin(doc_ids))
     refs = recipes.select("doc_id", "row", F.expr(_SPLIT).alias("pos", "digest"))
-    lists = refs.join(_table(spark, path, "chunk"), "digest").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    lists = refs.join(_table(spark, path, "chunk"), "digest", "left").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
 
     def run(batches):
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p["ids"] for p in parts), np.uint16 if small else np.uint32).astype(np.int32) for parts in batch.column("parts").to_pylist()]
+            ids = [None if any(p["ids"] is None for p in parts) else np.frombuffer(b"".join(p["ids"] for p in parts), _KIND[width]).astype(np.int32) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "row", "ids"])
 
     return lists.mapInArrow(run, "doc_id long, row long, ids array<int>")
 
 
 def op3_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores all documents and verifies what is read back (null texts: empty; repeated rows are documents each)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = shared.fresh(spark, "store")
     write_store(docs, path)

@@ -164,14 +164,21 @@ def store(text: bytes) -> bytes:
 
 
 def load(media: bytes) -> dict:
-    """The payload and its features, from stored bytes alone."""
+    """The payload and its features, from stored bytes alone; or errors, and a null payload."""
     streams, wrong = demux(media)
-    audio = next((s for s in streams.values() if s.packets and s.packets[0][:5] == b"\x7fPCM8"), None)
+    audio = next((s for s in streams.values() if s.packets and len(s.packets[0]) == 11 and s.packets[0][:5] == b"\x7fPCM8"), None)
     size = next((s for s in streams.values() if s.packets and s.packets[0] == b"\x7fSIZE"), None)
-    if wrong or audio is None or size is None or not (audio.ended and size.ended):
-        return {"errors": "; ".join(wrong) or "a stream is missing", "payload": None}
-    rate, frame = struct.unpack("<IH", audio.packets[0][5:11])
-    payload = b"".join(audio.packets[1:])
+    if not wrong and (audio is None or size is None or not all(s.begun and s.ended for s in (audio, size))):
+        wrong = ["a stream is missing"]
+    if not wrong:
+        rate, frame = struct.unpack("<IH", audio.packets[0][5:])
+        payload = b"".join(audio.packets[1:])
+        if not rate or not payload or len(size.packets) != 2 or len(size.packets[1]) != 8:
+            wrong = ["a header or a packet is missing"]
+        elif struct.unpack("<Q", size.packets[1])[0] > len(payload):
+            wrong = ["samples are missing"]
+    if wrong:
+        return {"errors": "; ".join(wrong), "payload": None}
     n = struct.unpack("<Q", size.packets[1])[0]
     last = max(audio.times(rate))
     pages = sum(s.pages for s in streams.values())
@@ -243,6 +250,7 @@ def read_column(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op1_ogg(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents stored as Ogg and read back (null texts: empty; repeated rows alike)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     stored = media_column(docs).select("doc_id", "media")
     return read_column(stored)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -164,9 +165,88 @@ def test_ogg_columns(docs, empty):
     assert ogg.read_column(damaged).collect()[0].errors
 
 
+def test_damaged_media(spark, docs):
+    """Media with right checksums but missing parts, and all single-byte damage, give errors and never raise."""
+    text = b"some text" * 100
+    good = ogg.store(text)
+    serial = zlib.crc32(ogg.payload_of(text))
+    head = b"\x7fPCM8" + (8000).to_bytes(4, "little") + (576).to_bytes(2, "little")
+    audio, size = (serial, [head, ogg.payload_of(text)], [0, 1]), (1, [b"\x7fSIZE", len(text).to_bytes(8, "little")], [0, 1])
+    bad = [
+        b"", b"OggS", good[:100], ogg.mux([audio]), ogg.mux([audio, (1, [b"\x7fSIZE"], [0])]), ogg.mux([(serial, [head], [0]), size]), ogg.mux([(serial, [head[:7], b"x"], [0, 1]), size]),
+        ogg.mux([(serial, [head[:5] + bytes(6), b"x"], [0, 1]), size]), ogg.mux([audio, (1, [b"\x7fSIZE", b"123"], [0, 1])]), ogg.mux([audio, (1, [b"\x7fSIZE", b"\xff" * 8], [0, 1])]), ogg.mux([]),
+        *(good[:i] + bytes([good[i] ^ 1]) + good[i + 1 :] for i in range(0, len(good), 37)),
+    ]
+    for media in bad:
+        x = ogg.load(media)
+        assert x["errors"] and x["payload"] is None
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate([*bad[:11], None, good])], "doc_id long, media binary")
+    got = {r.doc_id: r for r in ogg.read_column(rows).collect()}
+    assert len(got) == 13 and all(got[i].errors and got[i].payload_sha256 is None for i in range(12)) and got[12].errors == "" and got[12].n_bytes == len(text)
+
+
+def test_stored_form(docs):
+    got = {r.doc_id: r for r in ogg.read_column(ogg.media_column(docs.select("doc_id", "text"))).collect()}
+    for i, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        media, payload = ogg.store(raw), ogg.payload_of(raw)
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        streams, _ = ogg.demux(media)
+        frames = len(payload) // 576
+        assert got[i].seconds == pytest.approx(len(payload) / 8000) and f"packets={frames + 3};" in got[i].feature
+        sound = next(s for s in streams.values() if len(s.packets) == frames + 1 and s.packets[0][1:5] == b"PCM8")
+        ends = [g for g in sound.granules if g > 0]
+        assert ends == sorted(ends) and ends[-1] == len(payload) and f"low={min(payload)};high={max(payload)};mean={sum(payload) / len(payload):.6f}" in got[i].feature
+
+
 # --- content store
 
 
+def _without(spark, path, kind, condition):
+    """Rewrites a table of the store without some rows."""
+    rows = spark.read.parquet(f"{path}/{kind}").where(f"not coalesce({condition}, false)").collect()
+    schema = spark.read.parquet(f"{path}/{kind}").schema
+    shared.remove(spark, f"{path}/{kind}")
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/{kind}")
+
+
+def test_store_shows_what_is_lost(spark, docs):
+    whole = shared.fresh(spark, "t")
+    content_store.write_store(docs, whole)
+    copy = lambda: (p := shared.fresh(spark, "t"), shutil.copytree(whole, p))[0]
+    verified = lambda p: {r.doc_id: r.verified for r in content_store.verify(spark, p).collect() if r.doc_id != 3}
+    n = len(verified(whole))
+    lost = copy()
+    _without(spark, lost, "kind=recipe", "doc_id = 4")
+    got = verified(lost)
+    assert len(got) == n and [d for d, v in got.items() if not v] == [4]
+    chunk = spark.read.parquet(f"{whole}/kind=recipe").where("doc_id = 10").first().digests[:16]
+    gone = copy()
+    _without(spark, gone, "kind=chunk", f"digest = X'{bytes(chunk).hex()}'")
+    assert [d for d, v in verified(gone).items() if not v] == [10]
+    assert content_store.reconstruct(spark, gone, [10]).first().ids is None
+    short = copy()
+    _without(spark, short, "ordered", "doc_id = 4")
+    part = {r.part for r in spark.read.parquet(f"{whole}/ordered").where("doc_id = 4").collect()}
+    others = {r.doc_id for r in spark.read.parquet(f"{whole}/ordered").collect() if r.part in part}
+    got = verified(short)
+    assert len(got) == n - 1 and all(got[d] == (d not in others) for d in got)
+    none = copy()
+    _without(spark, none, "manifest", "part = -1")
+    assert not any(verified(none).values())
+
+
+def test_wide_ids(spark, monkeypatch):
+    """Ids of 4 bytes, as for a vocabulary over 65,536."""
+    monkeypatch.setattr(_byte(), "id_bytes", 4)
+    ids = np.array([70000, 1, 2**31 - 1, 2], np.uint32)
+    part = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x"])], ["doc_id", "text"])
+    recipe, chunk = content_store._rows(part, ids[:-1], np.array([3]), 2, 4)
+    assert np.frombuffer(chunk.column("ids")[0].as_py(), "<u4").tolist() == ids.tolist()
+    facts = next(content_store._chunk_facts(4)(iter([pa.RecordBatch.from_arrays([chunk.column("digest"), chunk.column("ids")], ["digest", "ids"])])))
+    assert facts.column("crc")[0].as_py() == zlib.crc32(ids.astype("<u4").tobytes()) and facts.column("good")[0].as_py()
+
+
 def test_store(spark, docs, empty):
     path = shared.fresh(spark, "t")
     content_store.write_store(docs, path)
@@ -204,6 +284,12 @@ def test_crc_join(a, b):
 
 
 def test_merkle():
+    for n in range(18):
+        leaves = [bytes([i]) for i in range(n)]
+        stream = content_store.MerkleStream()
+        for leaf in leaves:
+            stream.add(leaf)
+        assert stream.root() == content_store.merkle_root(leaves)
     assert content_store.merkle_root([b"a"]) == b"a" and content_store.merkle_root([b"a", b"b"]) != content_store.merkle_root([b"b", b"a"])
 
 
