@@ -522,4 +522,5 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by unigrams and by the attention model (null texts: their end; repeated rows alike)."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

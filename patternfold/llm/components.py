@@ -29,12 +29,18 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     Each round is written to the shared folder; the rounds end when the links no longer change, which is when each
     is from a node to its component's least node. Their number grows with the logarithm of the longest chain.
     """
-    edges = shared.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
-    before = None
+    spark = links.sparkSession
+    path = shared.fresh(spark, "links")
+    links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().write.parquet(path)
+    read = lambda p: spark.read.schema("a long, b long").parquet(p)
+    edges = read(path)
     for _ in range(rounds):
-        edges = shared.written(_small(_large(edges)), "links")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first()
-        if now == before:
+        then = shared.fresh(spark, "links")
+        _small(_large(edges)).write.parquet(then)
+        now = read(then)
+        same = now.count() == edges.count() and now.join(edges, ["a", "b"], "left_anti").isEmpty()
+        shared.remove(spark, path)
+        path, edges = then, now
+        if same:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        before = now
     raise RuntimeError("components did not settle")

@@ -477,4 +477,5 @@ def join_components(docs: DataFrame, near: int = NEAR) -> DataFrame:
 
 
 def op6_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of all documents by links of NEAR percent (null and empty texts alone; repeated rows are documents each)."""
     return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -28,6 +28,7 @@ K = 3
 RATE = 2e-5
 KIN = 8
 UNKNOWN = "und"
+MOST_LANGUAGES = 512
 
 
 def _symbols() -> np.ndarray:
@@ -135,13 +136,16 @@ class LanguageFilter:
 
 
 def learn(docs: DataFrame, train: Column, text: str = "text", language: str = "lang") -> LanguageFilter:
-    """Counts the n-grams of every row where ``train`` holds and the language is known; nulls are left out.
+    """Counts the n-grams of every row where ``train`` holds and text and language are known; nulls are left out.
 
-    What reaches the driver are the counts: CODES numbers for each language.
+    What reaches the driver are the counts: CODES numbers for each language. More than MOST_LANGUAGES are refused, so
+    that a column of something else can't fill its memory.
     """
-    rows = docs.where(train & F.col(language).isNotNull())
+    rows = docs.where(train & F.col(language).isNotNull() & F.col(text).isNotNull())
     shared.text_batches(docs.sparkSession)
-    languages = sorted(r[0] for r in rows.select(language).distinct().toLocalIterator())
+    languages = sorted(r[0] for r in rows.select(language).distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {language}")
     number = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +192,7 @@ def held_out(key: str = "doc_id", parts: int = 4, which: int = 2) -> Column:
 
 
 def op4_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out (null texts and texts without a letter: und; repeated rows alike)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs.select("doc_id", "text", "lang"), F.col("doc_id").isNotNull() & ~held_out())
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "share")

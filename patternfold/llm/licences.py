@@ -57,7 +57,7 @@ _PAIRS = "CASE WHEN size({0}) < 2 THEN cast(array() AS array<string>) ELSE zip_w
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = LEAST, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """The columns ``keep``, licence (the best match; equal ones by name; null if none), dice (its coefficient, 0 if
-    none), licences (all matching names, ascending, joined by commas) and n_units (units of distinct bigrams that match).
+    none), licences (the best match of each unit that has one, ascending, joined by commas) and n_units (units of distinct bigrams that match).
 
     Null and empty texts, and texts of one word, match nothing. Repeated rows are scanned alike.
     """
@@ -75,10 +75,11 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     dice = "2.0D * size(array_intersect(u, t.bigrams)) / (size(u) + size(t.bigrams))"
     d = d.selectExpr(*keep, f"filter(transform(_u, u -> filter(transform(filter(_c, t -> {within}), t -> named_struct('low', -({dice}), 'name', t.name)), x -> -x.low >= {least})), m -> size(m) > 0) AS _m")
     d = d.selectExpr(*keep, "_m", "array_min(flatten(_m)) AS _b")
-    return d.selectExpr(*keep, "_b.name AS licence", "round(coalesce(-_b.low, 0.0D), 6) AS dice", "array_join(array_sort(array_distinct(transform(flatten(_m), x -> x.name))), ',') AS licences", "cast(size(_m) AS bigint) AS n_units")
+    return d.selectExpr(*keep, "_b.name AS licence", "round(coalesce(-_b.low, 0.0D), 6) AS dice", "array_join(array_sort(array_distinct(transform(_m, m -> array_min(m).name))), ',') AS licences", "cast(size(_m) AS bigint) AS n_units")
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences stated in every document (null and empty texts: none; repeated rows alike)."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -95,7 +96,7 @@ paired AS (SELECT doc_id, list_sort(list_distinct([w[i] || ' ' || w[i + 1] FOR i
 scored AS (
   SELECT doc_id, b, name, 2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice
   FROM (SELECT DISTINCT doc_id, b FROM paired WHERE len(b) <= 400) CROSS JOIN template),
-hit AS (SELECT * FROM scored WHERE dice >= {LEAST}),
+hit AS (SELECT doc_id, b, arg_min(name, (-dice, name)) AS name, max(dice) AS dice FROM scored WHERE dice >= {LEAST} GROUP BY doc_id, b),
 best AS (
   SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT b) AS n_units
   FROM hit GROUP BY doc_id)

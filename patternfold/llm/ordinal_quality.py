@@ -152,9 +152,9 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, grades: DataFrame, most: int = MOST_LABELLED) -> OrdinalModel:
-    """``docs``: doc_id, text; ``grades``: doc_id, grade. At most ``most`` graded rows are used, and broadcast."""
+    """``docs``: doc_id, text; ``grades``: doc_id, grade. At most ``most`` graded ids are used, and broadcast; of an id's texts, the least counts once."""
     drawn = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("id"), "grade")
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("doc_id", "text", "grade")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,6 +188,7 @@ def grade(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
 
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades every document by a model of the labelled ones (null and empty texts by their lengths; repeated rows alike)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return grade(docs, model).select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("p_good", 6).alias("p_good"), "kept")

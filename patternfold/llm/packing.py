@@ -309,4 +309,5 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows (null texts: an end id; repeated rows are documents each)."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

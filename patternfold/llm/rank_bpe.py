@@ -301,4 +301,5 @@ def word_vocabulary() -> str:
 
 
 def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests (null texts: empty; repeated rows alike)."""
     return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_vocabulary())

@@ -33,7 +33,7 @@ RULES = [
     ("common", "100 * n_common < 2 * n_words", "100 * n_common >= 5 * n_words"),
     ("capitals", "10 * n_capitals > 3 * word_chars", "100 * n_capitals <= 15 * word_chars"),
 ]
-ITERATIONS = 12
+ITERATIONS, SETTLED = 60, 1e-3  # steps at most; they end when no parameter's logit moves farther
 #: Bounds that keep the two classes what their names say: least and most chance of a bad vote.
 BAD_IF_GOOD, BAD_IF_BAD = (0.0005, 0.05), (0.2, 0.995)
 
@@ -75,6 +75,7 @@ def vote(counts: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
 def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> dict:
     """Prior of good, and for each rule the chance that it votes bad (if it votes) on good and on bad documents.
 
+    Steps go on until none of them moves by more than SETTLED (as a logit), at most ``iterations`` times.
     Works on the counts of distinct vote patterns, at most 3 to the number of rules, written once; each
     iteration is one aggregate of them, and one row comes back.
     """
@@ -92,13 +93,19 @@ def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> dic
         if not row["all"]:
             break
         within = lambda x, bounds: min(max(x, bounds[0]), bounds[1])
-        model = {
+        before, model = model, {
             "prior": within((row["good"] + 1) / (row["all"] + 2), (0.05, 0.98)),
             "rules": {n: (within((row[f"{n}_bad_g"] + 0.1) / (row[f"{n}_any_g"] + 5), BAD_IF_GOOD), within((row[f"{n}_bad_b"] + 2) / (row[f"{n}_any_b"] + 4), BAD_IF_BAD)) for n in names},
         }
+        if max(abs(a - b) for a, b in zip(_logits(before), _logits(model))) < SETTLED:
+            break
     return model
 
 
+def _logits(model: dict) -> list[float]:
+    return [math.log(p / (1 - p)) for p in (model["prior"], *(x for pair in model["rules"].values() for x in pair))]
+
+
 def posterior(model: dict, names: list[str]):
     """Probability of good given the votes; abstentions say nothing."""
     odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
@@ -123,5 +130,6 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
 
 def op2_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base and verdict of every document (null texts have no word and fail the base; repeated rows alike)."""
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))

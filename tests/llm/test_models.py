@@ -54,6 +54,36 @@ def test_filter_is_a_bloom_filter():
         assert wrong < 3 * f.false_rate[i] + 1e-3
 
 
+def test_shares_equal_a_plain_count(docs):
+    """Prediction by sets: of each text's n-grams, those that a language holds, less the expected false ones."""
+    r = np.random.default_rng(5)
+    counts = np.zeros((5, language_bits.CODES), np.int64)
+    texts = ["The quick brown fox", "xyzzy plugh", "Ein Wörtchen mit Ä", "a", "12 b3", "", None]
+    codes, per, _, _ = language_bits.grams(pa.array(texts))
+    for i in range(5):
+        counts[i, r.choice(codes, 30)] += 3
+        counts[i, r.integers(0, language_bits.CODES, 200)] += 1
+    counts[4] = counts[3]  # a tie
+    f = language_bits.LanguageFilter.build(list("abcde"), counts)
+    got = f.shares(codes, per)
+    share = counts / counts.sum(axis=1, keepdims=True)
+    held = [{c for c in np.flatnonzero(counts[i]).tolist() if share[i, c] >= language_bits.RATE and share[i, c] * language_bits.KIN >= share[:, c].max()} for i in range(5)]
+    bits = [{(k, int(p)) for k in range(language_bits.K) for p in language_bits._positions(np.array(sorted(h)), k)} for h in held]
+    at = np.cumsum(per) - per
+    for d in range(len(texts)):
+        own = codes[at[d] : at[d] + per[d]].tolist()
+        for i in range(5):
+            every = {p for _, p in bits[i]}
+            hits = sum(all(int(language_bits._positions(np.array([c]), k)[0]) in every for k in range(language_bits.K)) for c in own)
+            rate = (len(every) / language_bits.POSITIONS) ** language_bits.K
+            assert got[d, i] == pytest.approx(min(max((hits / len(own) - rate) / (1 - rate), 0), 1))
+    names, score, _ = f.predict(pa.array(texts))
+    for d, t in enumerate(texts):
+        letters = any(c.isalpha() for c in t or "")
+        assert names[d] == ("abcde"[int(np.argmax(got[d]))] if letters else "und")
+        assert score[d] == pytest.approx(got[d].max() / got[d].sum() if letters and got[d].sum() else 0)
+
+
 # --- language model
 
 
@@ -303,6 +333,26 @@ def test_ordinal_held_out(spark):
     assert all(0 <= r.expected_grade <= 2 and 0 <= r.p_good <= 1 for r in rows)
 
 
+def test_ordinal_likelihood_falls_along_the_gradient():
+    """On two features the fit comes near the best of a grid of weights, and thresholds ascend."""
+    r = np.random.default_rng(0)
+    grades = r.integers(0, 3, 600)
+    feature = np.where(r.random(600) < np.array([0.1, 0.5, 0.9])[grades], 11, 22)
+    model = ordinal_quality.OrdinalModel.fit(feature, np.ones(600, np.int64), grades)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def loss(a, b, t):
+        s = np.where(feature == 11, a, b)
+        edges = np.array([-40, *t, 40.0])
+        return -np.log(np.maximum(sig(edges[grades + 1] - s) - sig(edges[grades] - s), 1e-12)).mean()
+
+    best = min(loss(d / 2, -d / 2, (u, u + v)) for d in np.arange(0, 6, 0.25) for u in np.arange(-3, 1, 0.25) for v in np.arange(0.25, 4, 0.25))
+    assert model.thresholds[0] < model.thresholds[1]
+    assert loss(model.weights[11], model.weights[22], model.thresholds) < best + 0.03
+    tails = model.tails(np.array([0.3]))[0]
+    assert tails.tolist() == pytest.approx([1 - sig(t - 0.3) for t in model.thresholds])
+
+
 def test_ordinal_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 1), (None, 1, 0), (3, 0, None)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.grade for r in ordinal_quality.graded(labels).collect()} == {1: 1, 3: 1}

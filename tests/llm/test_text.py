@@ -472,6 +472,38 @@ def test_counts_of_texts(docs, empty):
     assert weak_rules.judge(empty).count() == 0
 
 
+def test_posterior_equals_plain_em(spark, docs, small):
+    """The model and every posterior by a loop over documents, from the votes."""
+    names = [n for n, _, _ in weak_rules.RULES]
+    d = docs.unionByName(spark.read.parquet(f"{small}/documents.parquet"))
+    rows = [r.asDict() for r in weak_rules.judge(d).collect()]
+    prior, rules = 0.85, {n: (0.02, 0.5) for n in names}
+    logit = lambda p: np.log(p / (1 - p))
+    clip = lambda x, b: min(max(x, b[0]), b[1])
+
+    def good(r):
+        odds = logit(prior)
+        for n, (g, b) in rules.items():
+            v = r[f"vote_{n}"]
+            odds += np.log(g / b) if v == -1 else np.log((1 - g) / (1 - b)) if v == 1 else 0
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(weak_rules.ITERATIONS):
+        p = [good(r) for r in rows]
+        old = [logit(x) for x in (prior, *(y for x in rules.values() for y in x))]
+        new = {}
+        for n in names:
+            s = {(k, c): sum(x if c else 1 - x for x, r in zip(p, rows) if r[f"vote_{n}"] == -1 or (k and r[f"vote_{n}"])) for k in (0, 1) for c in (0, 1)}
+            new[n] = (clip((s[0, 1] + 0.1) / (s[1, 1] + 5), weak_rules.BAD_IF_GOOD), clip((s[0, 0] + 2) / (s[1, 0] + 4), weak_rules.BAD_IF_BAD))
+        prior, rules = clip((sum(p) + 1) / (len(p) + 2), (0.05, 0.98)), new
+        if max(abs(a - logit(b)) for a, b in zip(old, (prior, *(y for x in rules.values() for y in x)))) < weak_rules.SETTLED:
+            break
+    for r in rows:
+        assert r["quality"] == pytest.approx(good(r), abs=1e-6) and r["kept"] == (not r["base_failed"] and good(r) >= 0.5)
+    symbols = Counter((r.doc_id, len(re.findall(r"[#*$%&|<>]", r.text or ""))) for r in d.collect())
+    assert symbols == Counter((r["doc_id"], r["n_symbols"]) for r in rows)
+
+
 def test_rules_learn_labels(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet").join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id")
     rows = weak_rules.judge(d).select("doc_id", "kept", "base_failed").join(d.select("doc_id", "quality"), "doc_id").collect()
