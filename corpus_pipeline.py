@@ -6,7 +6,7 @@ reads it again as the next stage's docs. All but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternfold.llm import jaccard_regions, language_bits, packing, shared, weak_rules
@@ -24,18 +24,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base or that the rules' posterior calls bad; equal rows share a verdict."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    kept = weak_rules.judge(rows, keep=("_row",)).where("kept").select("_row").distinct()
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
+    return weak_rules.judge(rows, "_text", keep=("_doc",)).where("kept").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of linked documents, the one with the least doc_id, and one of rows equal in id and text."""
-    found = jaccard_regions.join_components(docs)
-    kept = found.where("doc_id <=> component_id").select(F.xxhash64("doc_id").alias("_id")).distinct()
-    left = docs.withColumn("_id", F.xxhash64("doc_id")).join(kept, "_id", "left_semi")
-    once = Window.partitionBy("_id", F.xxhash64("text")).orderBy("_id")
-    return left.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    """Keeps one document of each group of linked ones: the one with the least doc_id (one without an id only where none has one), of rows with the same id the first. Rows count by themselves, whatever their ids."""
+    rows = shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_regions.join_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("best")).select("best._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
