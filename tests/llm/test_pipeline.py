@@ -10,7 +10,7 @@ def test_stages(spark, small):
     second = corpus_pipeline.quality(spark, first, small)
     want = {r.doc_id for r in weak_rules.judge(first).where("kept").collect()}
     assert {r.doc_id for r in second.collect()} == want and second.columns == docs.columns
-    third = corpus_pipeline.near_duplicates(spark, second.unionByName(second.limit(1)), small)
+    third = corpus_pipeline.near_duplicates(spark, second.unionByName(second.orderBy("doc_id").limit(1)), small)
     groups = {r.component_id for r in jaccard_regions.join_components(second).collect()}
     ids = [r.doc_id for r in third.collect()]
     assert sorted(ids) == sorted(groups) and third.columns == docs.columns
@@ -19,6 +19,18 @@ def test_stages(spark, small):
     assert last.count() == packing.pack(third).count()
 
 
+def test_rows_without_ids(spark, small):
+    """Copies go whether they have an id or not; texts of their own stay; very long texts and clashing columns pass through."""
+    text = " ".join(f"word{i}" for i in range(60))
+    long = " ".join(f"long{i % 9000}x{i}" for i in range(30000))
+    rows = [(7, text), (3, text + " and more"), (None, text), (None, "only this one without an id at all here"), (None, None), (None, None), (9, ""), (5, long), (6, long), (5, long), (8, "x"), (8, "y")]
+    docs = spark.createDataFrame([(i, t, "en", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _doc string, component_id int")
+    got = sorted(r.component_id for r in corpus_pipeline.near_duplicates(spark, docs, small).collect())
+    assert got == [1, 3, 4, 5, 6, 7, 10, 11] or got == [1, 3, 4, 5, 6, 9, 10, 11]
+    kept = corpus_pipeline.quality(spark, docs, small)
+    assert kept.columns == docs.columns and {r.component_id for r in kept.collect()} <= set(range(12)) - {4, 5, 6, 10, 11}
+
+
 def test_empty(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
