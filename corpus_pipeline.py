@@ -29,12 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked ones: the one with the least doc_id (one without an id only where none has one), of rows with the same id the first. Rows count by themselves, whatever their ids."""
-    rows = shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = jaccard_regions.join_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    """Keeps one document of each group of linked ones: the one with the least doc_id (one without an id only where none has one), and one of rows that are equal in all columns.
+
+    Rows go by a hash of all their columns, so those without an id count by themselves. Were two hashes ever to meet, a
+    copy might stay; no group would lose its document.
+    """
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    found = jaccard_regions.join_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("best")).select("best._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = found.join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(F.min(order).alias("best")).select("best._row").distinct()
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns).distinct()
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
