@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternfold.llm import arrays, blocks, shared
-from patternfold.llm.blocks import Remembered, ragged, slices
+from patternfold.llm.blocks import Growing, Remembered, ragged, slices
 from patternfold.llm.byte_tokens import default_vocabulary
 from patternfold.llm.word_counts import unigram_scores
 
@@ -48,6 +48,8 @@ _MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -np.inf).astype(np.float32)[BACK
 class WordIds(Remembered):
     """Ids of words in a byte-level BPE file, each word encoded once while remembered."""
 
+    MOST = 1_200_000
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -65,20 +67,17 @@ class WordIds(Remembered):
 
     def _reset(self) -> None:
         super()._reset()
-        self.n, self.start, self.length, self.store = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, self.kind)
+        self.start, self.length, self.store = Growing(np.int64), Growing(np.int64), Growing(self.kind)
 
     def _keep(self, numbers) -> None:
-        ids, sizes = self.store[ragged(self.start[numbers], self.length[numbers])], self.length[numbers]
+        sizes = self.length.take(numbers)
+        ids = self.store.take(ragged(self.start.take(numbers), sizes))
         self._reset()
         self._append(ids, sizes)
 
     def _append(self, ids, sizes) -> None:
-        while self.n + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(len(self.store), self.kind)])
-        self.store[self.n : self.n + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.n + np.cumsum(sizes) - sizes])
-        self.length = np.concatenate([self.length, sizes])
-        self.n += len(ids)
+        self.start.add(self.store.n + np.cumsum(sizes) - sizes)
+        self.store.add(ids), self.length.add(sizes)
 
     def _learn(self, raw, start, end) -> None:
         """Words follow each other, each after a space, so that many are encoded at a time."""
@@ -100,8 +99,8 @@ class WordIds(Remembered):
         """Ids of all texts, one after the other, and how many each has."""
         w = blocks.words(column, lower=True)
         number = self.numbers(w.hash, w.raw, w.start, w.end)
-        length = self.length[number]
-        ids = self.store[ragged(self.start[number], length)]
+        length = self.length.take(number)
+        ids = self.store.take(ragged(self.start.take(number), length))
         return ids, np.diff(np.concatenate([[0], np.cumsum(length)])[w.bounds])
 
 

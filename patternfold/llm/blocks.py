@@ -175,57 +175,84 @@ def _piece_hashes(piece: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.
     return h
 
 
+class Growing:
+    """A one-dimensional array to append to; its room doubles, so that appending costs the size of what is new."""
+
+    __slots__ = ("_data", "n")
+
+    def __init__(self, kind, values: np.ndarray | None = None):
+        self._data, self.n = np.zeros(1 << 10, kind), 0
+        if values is not None:
+            self.add(values)
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self._data):
+            data = np.zeros(1 << (need - 1).bit_length(), self._data.dtype)
+            data[: self.n] = self._data[: self.n]
+            self._data = data
+        self._data[self.n : need] = values
+        self.n = need
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._data[: self.n]
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        return np.take(self._data, at)
+
+
 class Spellings:
     """The bytes of remembered segments, to compare hits of a HashIndex with."""
 
     def __init__(self) -> None:
-        self.size, self.first, self.place = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.store, self.n = np.zeros(1 << 16, np.uint8), 0
+        self.size, self.first, self.place = Growing(np.int64), Growing(np.uint64), Growing(np.int64)
+        self.store = Growing(np.uint8)
 
     def add(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Segments in the order of their numbers."""
         size = (end - start).astype(np.int64)
         long = size > 8
-        total = int(size[long].sum())
-        while self.n + total > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint8)])
-        self.store[self.n : self.n + total] = raw[ragged(start[long], size[long])]
         place = np.zeros(len(size), np.int64)
-        place[long] = self.n + np.cumsum(size[long]) - size[long]
-        self.n += total
-        first = _lanes(raw)[start] & _LEFT[np.minimum(size, 8)] if len(start) else np.zeros(0, np.uint64)
-        self.size = np.concatenate([self.size, size])
-        self.first, self.place = np.concatenate([self.first, first]), np.concatenate([self.place, place])
+        place[long] = self.store.n + np.cumsum(size[long]) - size[long]
+        self.store.add(raw[ragged(start[long], size[long])])
+        self.size.add(size)
+        self.first.add(_lanes(raw)[start] & _LEFT[np.minimum(size, 8)] if len(start) else np.zeros(0, np.uint64))
+        self.place.add(place)
 
     def keep(self, numbers: np.ndarray) -> "Spellings":
         """Those of the given numbers, renumbered in that order."""
-        out = Spellings()
-        size = self.size[numbers]
+        out, size = Spellings(), self.size.take(numbers)
         long = size > 8
-        out.size, out.first, out.place = size, self.first[numbers], np.zeros(len(numbers), np.int64)
-        out.place[long] = np.cumsum(size[long]) - size[long]
-        out.n = int(size[long].sum())
-        out.store = np.zeros(1 << max(16, out.n.bit_length()), np.uint8)
-        out.store[: out.n] = self.store[ragged(self.place[numbers][long], size[long])]
+        place = np.zeros(len(numbers), np.int64)
+        place[long] = np.cumsum(size[long]) - size[long]
+        out.store.add(self.store.take(ragged(self.place.take(numbers)[long], size[long])))
+        out.size.add(size), out.first.add(self.first.take(numbers)), out.place.add(place)
         return out
 
+    def _long_lanes(self) -> np.ndarray:
+        """_lanes of the store, without a copy of it."""
+        self.store.add(np.zeros(8, np.uint8))  # room for what the last lanes read beyond their segments
+        self.store.n -= 8
+        return np.ndarray((self.store.n + 1,), np.dtype("<u8"), self.store._data, 0, (1,))
+
     def differ(self, number: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Indices of the segments whose bytes aren't those kept under their numbers."""
         if not len(number):
             return np.zeros(0, np.int64)
         size = (end - start).astype(np.int64)
         lanes = _lanes(raw)
-        wrong = (self.size[number] != size) | ((lanes[start] & _LEFT[np.minimum(size, 8)]) != self.first[number])
+        wrong = (self.size.take(number) != size) | ((lanes[start] & _LEFT[np.minimum(size, 8)]) != self.first.take(number))
         long = np.flatnonzero((size > 8) & ~wrong)
         large = long[size[long] > LONGEST_MIXED]
         for k in large.tolist():
-            p = self.place[number[k]]
-            wrong[k] = not np.array_equal(raw[start[k] : end[k]], self.store[p : p + size[k]])
+            p = self.place.all[number[k]]
+            wrong[k] = not np.array_equal(raw[start[k] : end[k]], self.store.all[p : p + size[k]])
         long = long[size[long] <= LONGEST_MIXED]
-        kept = _lanes(self.store[: self.n])
+        kept = self._long_lanes()
         at = 8
         while len(long):
-            bad = (lanes[start[long] + at] ^ kept[self.place[number[long]] + at]) & _LEFT[np.minimum(size[long] - at, 8)] != 0
+            bad = (lanes[start[long] + at] ^ kept[self.place.take(number[long]) + at]) & _LEFT[np.minimum(size[long] - at, 8)] != 0
             wrong[long[bad]] = True
             at += 8
             long = long[size[long] > at]
@@ -332,7 +359,7 @@ class Remembered:
 
     def _reset(self) -> None:
         self.index, self.spelled = HashIndex(18), Spellings()
-        self.hashes, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.hashes, self.seen = Growing(np.uint64), Growing(np.int32)
 
     def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """To be given: appends what is known of new segments, in this order."""
@@ -346,23 +373,25 @@ class Remembered:
         self._learn(raw, start, end)
         self.spelled.add(raw, start, end)
         self.index.add(hashes)
-        self.hashes = np.concatenate([self.hashes, hashes])
-        self.seen = np.concatenate([self.seen, np.zeros(len(hashes), np.int32)])
+        self.hashes.add(hashes)
+        self.seen.add(np.zeros(len(hashes), np.int32))
 
     def _forget(self) -> None:
-        """Keeps the segments seen more than once, half of MOST and of MOST_BYTES at most."""
-        often = np.flatnonzero(self.seen > 1)
-        often = often[np.argsort(-self.seen[often], kind="stable")[: self.MOST // 2]]
-        often = np.sort(often[np.cumsum(self.spelled.size[often]) <= self.MOST_BYTES // 2])
-        hashes, seen, spelled = self.hashes[often], self.seen[often] // 2, self.spelled.keep(often)
+        """Keeps the segments seen in more than one slice, half of MOST and of MOST_BYTES at most."""
+        seen = self.seen.all
+        often = np.flatnonzero(seen > 1)
+        often = often[np.argsort(-seen[often], kind="stable")[: self.MOST // 2]]
+        often = np.sort(often[np.cumsum(self.spelled.size.take(often)) <= self.MOST_BYTES // 2])
+        hashes, seen, spelled = self.hashes.take(often), seen[often] // 2, self.spelled.keep(often)
         self._keep(often)
-        self.index, self.spelled, self.hashes, self.seen = HashIndex(18), spelled, hashes, seen
+        self.index, self.spelled, self.hashes, self.seen = HashIndex(18), spelled, Growing(np.uint64, hashes), Growing(np.int32, seen)
         self.index.add(hashes)
 
     def numbers(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The numbers of the segments raw[start[i]:end[i]]."""
         out = self.index.find(hashes)
-        if self.index.n and (self.spelled.n > self.MOST_BYTES or self.index.n + len(np.unique(hashes[out < 0])) > self.MOST):
+        new = np.flatnonzero(out < 0)
+        if self.index.n and (self.spelled.store.n > self.MOST_BYTES or self.index.n + len(new) > self.MOST and self.index.n + len(np.unique(hashes[new])) > self.MOST):
             self._forget()
             out = self.index.find(hashes)
         todo, own, h = None, out, hashes
@@ -381,5 +410,5 @@ class Remembered:
             todo = wrong if todo is None else todo[wrong]
             h = mix(h[wrong] + _SEED)
             own = self.index.find(h)
-        self.seen += np.bincount(out, minlength=len(self.seen)).astype(np.int32)
+        self.seen.all[out] += 1  # once a slice, however often it stands there
         return out

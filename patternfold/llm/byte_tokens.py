@@ -13,7 +13,7 @@ import os
 import numpy as np
 
 from patternfold.llm import blocks
-from patternfold.llm.blocks import Remembered, mix, ragged
+from patternfold.llm.blocks import Growing, Remembered, mix, ragged
 
 _U = np.uint64
 JOINED = 2048
@@ -55,24 +55,17 @@ class ByteTokenizer(Remembered):
 
     def _reset(self) -> None:
         super()._reset()
-        self.n_ids = 0
-        self.first, self.length, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32)
-        self.term = np.zeros(0, np.uint64)
+        self.first, self.length, self.store, self.term = Growing(np.int64), Growing(np.int64), Growing(np.uint32), Growing(np.uint64)
 
     def _keep(self, numbers: np.ndarray) -> None:
-        sizes, term = self.length[numbers], self.term[numbers]
-        ids = self.store[ragged(self.first[numbers], sizes)]
+        sizes, term = self.length.take(numbers), self.term.take(numbers)
+        ids = self.store.take(ragged(self.first.take(numbers), sizes))
         self._reset()
         self._append(ids, sizes, term)
 
     def _append(self, ids: np.ndarray, sizes: np.ndarray, term: np.ndarray) -> None:
-        while self.n_ids + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint32)])
-        self.store[self.n_ids : self.n_ids + len(ids)] = ids
-        self.first = np.concatenate([self.first, self.n_ids + np.cumsum(sizes) - sizes])
-        self.length = np.concatenate([self.length, sizes])
-        self.term = np.concatenate([self.term, term])
-        self.n_ids += len(ids)
+        self.first.add(self.store.n + np.cumsum(sizes) - sizes)
+        self.store.add(ids), self.length.add(sizes), self.term.add(term)
 
     def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Encodes new pieces. Those that begin with a space go to the library many at a time, one after the other:
@@ -142,8 +135,8 @@ class ByteTokenizer(Remembered):
             counts = counts.copy()
             counts[odd] = 0
         number = self.numbers(hashes, w.raw, start, end)
-        lengths = self.length[number]
-        ids = self.store[ragged(self.first[number], lengths)]
+        lengths = self.length.take(number)
+        ids = self.store.take(ragged(self.first.take(number), lengths))
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         sizes = np.diff(ends)
         if len(odd):
@@ -155,7 +148,7 @@ class ByteTokenizer(Remembered):
                 last = ends[d]
                 sizes[d] = len(own)
             ids = np.concatenate([*parts, ids[last:]])
-        return ids, sizes, lengths, self.term[number], np.repeat(np.arange(len(counts)), counts), odd
+        return ids, sizes, lengths, self.term.take(number), np.repeat(np.arange(len(counts)), counts), odd
 
     @staticmethod
     def _pieces(w: blocks.Words):

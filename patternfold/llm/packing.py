@@ -109,8 +109,9 @@ def _stage_rows(part: pa.RecordBatch, encoded, window: int, end_id: int, stats:
     known, term = np.unique(term, return_inverse=True)
     seen = np.sort(row << 32 | term)
     seen = seen[np.diff(seen, prepend=-1) > 0] & 0xFFFFFFFF
-    for k, place in enumerate(_places(known)):
-        stats[k << SKETCH_BITS : (k + 1) << SKETCH_BITS] += np.bincount(place[seen] - (k << SKETCH_BITS), minlength=1 << SKETCH_BITS)
+    df = np.bincount(seen, minlength=len(known))
+    for place in _places(known):
+        np.add.at(stats, place, df)
     stats[-2] += n
     stats[-1] += len(term)
 

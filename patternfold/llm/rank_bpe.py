@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from patternfold.llm import blocks
-from patternfold.llm.blocks import HashIndex, Remembered, mix, ragged, slices
+from patternfold.llm.blocks import Growing, HashIndex, Remembered, mix, ragged, slices
 
 LONG = 1024
 _NONE = np.int32(2**31 - 1)
@@ -216,10 +216,10 @@ class _Words(Remembered):
 
     def _reset(self) -> None:
         super()._reset()
-        self.ids, self.tokens, self.count = np.zeros(0, object), np.zeros(0, object), np.zeros(0, np.int64)
+        self.ids, self.tokens, self.count = Growing(object), Growing(object), Growing(np.int64)
 
     def _keep(self, numbers) -> None:
-        self.ids, self.tokens, self.count = self.ids[numbers], self.tokens[numbers], self.count[numbers]
+        self.ids, self.tokens, self.count = Growing(object, self.ids.take(numbers)), Growing(object, self.tokens.take(numbers)), Growing(np.int64, self.count.take(numbers))
 
     def _learn(self, raw, start, end) -> None:
         flat, count = self.bpe.encode_words([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())])
@@ -230,16 +230,16 @@ class _Words(Remembered):
             own = flat[a : a + n]
             ids[k], tokens[k] = b" ".join([id_text[i] for i in own]), b" ".join([token_text[i] for i in own])
             a += n
-        self.ids, self.tokens, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.tokens, tokens]), np.concatenate([self.count, count])
+        self.ids.add(ids), self.tokens.add(tokens), self.count.add(count)
 
     def rows(self, part: pa.RecordBatch, column: str) -> list[tuple[int, str, str]]:
         w = blocks.words(part.column(column))
         raw = w.raw.tobytes()
         number = self.numbers(w.hash, w.raw, w.start, w.end)
-        count = self.count[number]
+        count = self.count.take(number)
         bounds = w.bounds
         sums = np.concatenate([[0], np.cumsum(count)])[bounds]
-        ids, tokens = self.ids[number], self.tokens[number]
+        ids, tokens = self.ids.take(number), self.tokens.take(number)
         bare = count == 0  # only white space beyond ASCII
         out = []
         for d in range(part.num_rows):
