@@ -146,9 +146,9 @@ def corr_matrix(spark, d):
     return stats.correlation_matrix(_table(spark, d, "lineitem"), _PRICES)
 
 
-@query("SELECT * FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) + 0.0 AS correlation, count(*) AS pairs FROM lineitem UNION ALL SELECT 'l_discount', 'l_tax', round(corr(l_discount, l_tax), 6), count(*) FROM lineitem) WHERE abs(correlation) >= 0.2")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS correlation, count(*) AS pairs FROM lineitem" for i, a in enumerate(_PRICES) for b in _PRICES[i + 1 :]) + ") WHERE abs(correlation) >= 0.0001")
 def strong_pairs(spark, d):
-    return stats.strong_correlations(_table(spark, d, "lineitem"), _PRICES, 0.2)
+    return stats.strong_correlations(_table(spark, d, "lineitem"), _PRICES, 0.0001)
 
 
 @query(
@@ -199,17 +199,23 @@ def spectrum_daily(spark, d):
     return stats.spectrum(_daily(spark, d)).withColumn("magnitude", F.round("magnitude", 4)).withColumn("strength", F.round("strength", 4))
 
 
-@query(
+_PARTS = (
     _DAILY
     + """, t AS (SELECT series_id, idx, value, CASE WHEN count(*) OVER f = 7 THEN avg(value) OVER f END AS trend, idx % 7 AS phase FROM obs WINDOW f AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
 s AS (SELECT series_id, phase, coalesce(avg(value - trend), 0) AS seasonal FROM t GROUP BY 1, 2)
-SELECT series_id, idx, phase, round(trend, 6) + 0.0 AS trend, round(seasonal, 6) + 0.0 AS seasonal, round(value - trend - seasonal, 6) + 0.0 AS residual FROM t JOIN s USING (series_id, phase)"""
+"""
 )
+
+
+@query(_PARTS + "SELECT series_id, idx, phase, round(trend, 6) + 0.0 AS trend, round(seasonal, 6) + 0.0 AS seasonal, round(value - trend - seasonal, 6) + 0.0 AS residual FROM t JOIN s USING (series_id, phase)")
 def decompose_daily(spark, d):
     return windows.decompose(_daily(spark, d), 7).select(KEY, "idx", "phase", "trend", "seasonal", "residual")
 
 
-@query()
+@query(
+    _PARTS + ", d AS (SELECT series_id, value - trend AS x, value - seasonal AS y, value - trend - seasonal AS r FROM t JOIN s USING (series_id, phase) WHERE trend IS NOT NULL)"
+    " SELECT series_id, round(greatest(0, least(1, coalesce(CASE WHEN var_pop(x) > 0 THEN 1 - var_pop(r) / var_pop(x) END, 0))), 6) + 0.0 AS seasonal_strength, round(greatest(0, least(1, coalesce(CASE WHEN var_pop(y) > 0 THEN 1 - var_pop(r) / var_pop(y) END, 0))), 6) + 0.0 AS trend_strength FROM d GROUP BY 1"
+)
 def seasonal_strength(spark, d):
     return windows.seasonal_strength(windows.decompose(_daily(spark, d), 7))
 
@@ -429,7 +435,7 @@ def additive_rule(spark, d):
     return arithmetic.additive(_keys(spark, d))
 
 
-@query()
+@query("WITH v AS (SELECT n_regionkey::VARCHAR AS series_id, n_nationkey::DOUBLE AS x, lag(n_nationkey::DOUBLE) OVER w AS a FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)) SELECT series_id, CASE WHEN count(*) >= 3 AND count(*) FILTER (WHERE a = 0) = 0 AND max(x / a) - min(x / a) <= 1e-9 * greatest(1, max(x / a)) THEN round(min(x / a), 6) + 0.0 END AS ratio FROM v GROUP BY 1")
 def geometric_rule(spark, d):
     return arithmetic.geometric(_keys(spark, d))
 
@@ -701,7 +707,7 @@ def match_patterns(obs):
     return matching.match(obs, _patterns(obs)).where("matched").select(KEY, "idx", "id", "similarity")
 
 
-@query("WITH r AS (SELECT user_id % 10 AS run, event_type AS type, value / 1000 AS confidence, event_type = 'error' AND user_id % 10 < 2 AS bad FROM events) SELECT count(DISTINCT run) AS n_runs, 8::BIGINT AS n_ok, 2::BIGINT AS n_failed, count(*) FILTER (WHERE NOT bad) AS total_patterns, round(count(*) FILTER (WHERE NOT bad) / 8, 6) + 0.0 AS avg_patterns, round(avg(confidence) FILTER (WHERE NOT bad), 6) + 0.0 AS avg_confidence FROM r")
+@query("WITH r AS (SELECT user_id % 10 AS run, event_type AS type, value / 1000 AS confidence, event_type = 'error' AND user_id % 10 < 2 AS bad FROM events) SELECT count(DISTINCT run) AS n_runs, count(DISTINCT run) - count(DISTINCT run) FILTER (WHERE bad) AS n_ok, count(DISTINCT run) FILTER (WHERE bad) AS n_failed, count(*) FILTER (WHERE NOT bad) AS total_patterns, round(count(*) FILTER (WHERE NOT bad) / (count(DISTINCT run) - count(DISTINCT run) FILTER (WHERE bad)), 6) + 0.0 AS avg_patterns, round(avg(confidence) FILTER (WHERE NOT bad), 6) + 0.0 AS avg_confidence FROM r")
 def batch_summary(spark, d):
     return stats.batch_summary(_outcomes(spark, d))
 
@@ -739,11 +745,26 @@ def discover(spark, d):
     return found.select(KEY, "id", "type", F.array_join("sequence", ">").alias("sequence"), "frequency", "confidence", "state")
 
 
+_FREQUENT = ", q AS (SELECT series_id, gram FROM g WHERE gram IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3), f AS (SELECT series_id, gram AS id, idx AS start, idx + n - 1 AS stop FROM g JOIN q USING (series_id, gram))"
+
+
+@query(
+    _GRAMS + _FREQUENT + ", r AS (SELECT x.series_id, x.id AS a, y.id AS b, count(*) AS count FROM f x JOIN f y ON x.series_id = y.series_id AND y.start = x.stop + 1 GROUP BY 1, 2, 3), z AS (SELECT *, count / sum(count) OVER (PARTITION BY series_id, a) AS followed_by FROM r),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY series_id, a ORDER BY followed_by DESC) AS rank FROM z) SELECT series_id, a, round(max(followed_by), 6) + 0.0 AS best, round(sum(followed_by) FILTER (WHERE rank <= 3), 6) + 0.0 AS kept FROM k GROUP BY 1, 2",
+    USER,
+)
+def discovered_relationships(obs):
+    """The shares of the three likeliest followers that discovery attaches to each sequence pattern, by series."""
+    found = PatternEngine(obs.sparkSession, {"regimes": False, "seasonality": False}).discover(obs).patterns.where("relationships is not null")
+    shares = F.map_values(F.col("relationships")["followed_by"])
+    return found.select(KEY, F.array_join("sequence", ">").alias("a"), F.array_max(shares).alias("best"), F.aggregate(shares, F.lit(0.0), lambda x, y: x + y).alias("kept"))
+
+
 @query()
 def find_anomalies(spark, d):
     return PatternEngine(spark).find_anomalies(_events(spark, d, TYPE)).anomalies
 
 
-@query()
+@query("WITH obs AS (SELECT user_id::VARCHAR AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value FROM events) SELECT series_id, round(regr_slope(value, idx), 6) + 0.0 AS slope, round(arg_max(value, idx) + 3 * regr_slope(value, idx), 6) + 0.0 AS third FROM obs GROUP BY 1")
 def trend_forecast(spark, d):
     return prediction.trend_forecast(_events(spark, d, USER)).select(KEY, "slope", F.col("forecast")[2].alias("third"))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from patternfold import report
 from patternfold.config import Config
+from patternfold.errors import PatternError
 from patternfold.operators import anomaly, context, memory, multivariate, stats, windows
 from patternfold.operators.matching import match
 from patternfold.plans import discovery, prediction
 from patternfold.report import Result
-from patternfold.schema import KEY, PATTERN
+from patternfold.schema import KEY, OBS, PATTERN
 from patternfold.sources import reader, state
 from patternfold.storage import written
 
@@ -33,6 +34,12 @@ class PatternEngine:
     def discover(self, data: Any, columns: DataFrame | None = None) -> Result:
         """Mines patterns and stores them with those known. ``columns``: a table whose numeric columns are correlated."""
         obs = self.observe(data).persist()
+        try:
+            return self._discover(obs, columns)
+        finally:
+            obs.unpersist()
+
+    def _discover(self, obs: DataFrame, columns: DataFrame | None) -> Result:
         names = reader.numeric_columns(columns) if columns is not None else None
         mined = discovery.mine(obs, self.config, columns, names)
         first = 1 if self.patterns is None else (self.patterns.agg(F.max(memory.id_number(F.col("id")))).first()[0] or 0) + 1
@@ -41,7 +48,6 @@ class PatternEngine:
         snap = memory.snapshot(self.patterns.select(F.concat_ws("/", KEY, "id").alias("id"), "confidence", "frequency", "features")).withColumn("step", F.lit(self.runs).cast("long"))
         self.snapshots = written(snap if self.snapshots is None else self.snapshots.unionByName(snap), "snapshots")
         self.runs += 1
-        obs.unpersist()
         return Result(patterns=self.patterns, evidence={"stats": stats.describe(obs), "structural": discovery.structure(obs)})
 
     def match(self, data: Any, top: int | None = None) -> DataFrame:
@@ -98,12 +104,20 @@ class PatternEngine:
     def size(self) -> int:
         return self._stored().count()
 
-    def update(self, id_: str, **changes: Any) -> None:
-        """Sets columns of a pattern; its identity (id, series, type, sequence) stays."""
-        df = self._stored()
+    def _series_of(self, id_: str, series: str | None) -> str | None:
+        """The one series that has the pattern; ids are given within series, so where several have it one must be named."""
+        found = [r[0] for r in self.get_pattern(id_, series).select(KEY).distinct().limit(2).collect()]
+        if len(found) > 1:
+            raise PatternError(f"{id_} is in several series: name one")
+        return found[0] if found else None
+
+    def update(self, id_: str, series: str | None = None, **changes: Any) -> None:
+        """Sets columns of one pattern; its identity (id, series, type, sequence) stays."""
+        df, own = self._stored(), self._series_of(id_, series)
+        this = (F.col("id") == id_) & (F.col(KEY) == F.lit(own))
         for name, value in changes.items():
             if name in df.columns and name not in ("id", KEY, "type", "sequence"):
-                df = df.withColumn(name, F.when(F.col("id") == id_, F.lit(value)).otherwise(F.col(name)))
+                df = df.withColumn(name, F.when(this, F.lit(value)).otherwise(F.col(name)))
         self.patterns = written(df, "patterns")
 
     def tick(self, idle: int = 1) -> None:
@@ -119,8 +133,8 @@ class PatternEngine:
         empty = self.spark.createDataFrame([], "id string, key string, value double, step long")
         return (empty if self.snapshots is None else self.snapshots).where(F.col("id") == id_)
 
-    def explain(self, id_: str) -> str:
-        row = self.get_pattern(id_).select(report.explain_pattern()).first()
+    def explain(self, id_: str, series: str | None = None) -> str:
+        row = self.get_pattern(id_, self._series_of(id_, series)).select(report.explain_pattern()).first()
         return f"There is no pattern {id_}." if row is None else row[0]
 
     def report(self, result: Result | None = None, limit: int | None = None, form: str = "markdown") -> str:
@@ -128,24 +142,38 @@ class PatternEngine:
         return report.render_markdown(result, limit) if form == "markdown" else report.render_text(result, limit)
 
     def save(self, path: str) -> None:
+        """Patterns, the trail of their numbers, and settings."""
         from dataclasses import asdict
 
-        state.save({"patterns": self._stored()}, path, asdict(self.config))
+        tables = {"patterns": self._stored()}
+        if self.snapshots is not None:
+            tables["snapshots"] = self.snapshots
+        state.save(tables, path, asdict(self.config))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PatternEngine:
         tables, settings = state.load(spark, path)
         engine = cls(spark, settings)
-        engine.patterns = tables["patterns"]
+        engine.patterns, engine.snapshots = tables["patterns"], tables.get("snapshots")
+        if engine.snapshots is not None:
+            engine.runs = (engine.snapshots.agg(F.max("step")).first()[0] or 0) + 1
         return engine
 
     def batch(self, datasets: dict[str, Any]) -> Result:
-        """Many datasets at once: each becomes a series of a fresh engine's single discovery."""
-        parts = [self.observe(d).withColumn(KEY, F.lit(name)) for name, d in datasets.items()]
-        obs = parts[0]
-        for p in parts[1:]:
+        """Many datasets at once: each becomes a series of a fresh engine's single detection. One that can't be read
+        does not stop the others: evidence ``errors`` (series_id, error) tells of it."""
+        parts, errors = [], []
+        obs = self.spark.createDataFrame([], OBS)
+        for name, data in datasets.items():
+            try:
+                parts.append(written(self.observe(data).withColumn(KEY, F.lit(name)).select(*obs.columns), "batch"))
+            except Exception as e:  # whatever is wrong with one dataset is told, the others go on
+                errors.append((name, f"{type(e).__name__}: {e}".split("\n")[0]))
+        for p in parts:
             obs = obs.unionByName(p)
-        return PatternEngine(self.spark, self.config).discover(obs)
+        result = PatternEngine(self.spark, self.config).detect(obs)
+        result.evidence["errors"] = self.spark.createDataFrame(errors, f"{KEY} string, error string")
+        return result
 
 
 def _odd_windows(vectors: DataFrame, dims: int, threshold: float) -> DataFrame:

@@ -10,7 +10,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patternfold.errors import PatternError
@@ -97,7 +97,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int, key: str = "id", colu
     core = near.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points).select(F.col("a").alias("node"))
     links = near.join(core, near["a"] == core["node"], "left_semi").join(core, near["b"] == core["node"], "left_semi")
     groups = components(links, core)
-    number = groups.select("component").distinct().withColumn("cluster", (F.row_number().over(_first("component")) - 1).cast("long"))
+    number = _ranked(groups.select("component").distinct())
     numbered = groups.join(number, "component").select(F.col("node").alias("b"), "cluster")
     reached = near.join(numbered, "b").groupBy("a").agg(F.min("cluster").alias("_reach"))
     own = numbered.select(F.col("b").alias("a"), F.col("cluster").alias("_own"))
@@ -105,10 +105,15 @@ def dbscan(points: DataFrame, eps: float, min_points: int, key: str = "id", colu
     return out.select(F.col("a").alias(key), F.coalesce("_own", "_reach", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def _first(column: str):
-    from pyspark.sql import Window
+def _ranked(found: DataFrame) -> DataFrame:
+    """component, cluster: its rank from 0. Ranges of components are counted apart; only a count for each range is summed in one place."""
+    from patternfold.storage import written
 
-    return Window.orderBy(column)
+    ranges = written(found.repartitionByRange("component").withColumn("_part", F.spark_partition_id()), "ranks")
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("component"))
+    return ranges.join(F.broadcast(before), "_part").select("component", (F.col("_before") + inside - 1).cast("long").alias("cluster"))
 
 
 def single_linkage(points: np.ndarray, k: int) -> tuple[np.ndarray, list[tuple[int, int, float]]]:

@@ -81,10 +81,14 @@ def frequent_sequences(obs: DataFrame, min_support: int = 3, max_n: int = 3) ->
 
 
 def find_starts(obs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Where each pattern (id, sequence) stands in each series: series_id, id, start, end. Overlaps count."""
+    """Where each pattern (id, sequence) stands in each series: series_id, id, start, end. Overlaps count.
+
+    Patterns that name a series are sought in that one only, and met by series and gram."""
+    own = KEY in patterns.columns
     sizes = sorted(r[0] for r in patterns.select(F.size("sequence")).where("size(sequence) > 0").distinct().collect())  # distinct lengths only
     empty = obs.select(KEY, F.lit("").alias("id"), F.col("idx").alias("start"), F.col("idx").alias("end")).limit(0)
-    found = [ngrams(obs, n).join(patterns.select("id", "sequence"), F.col("gram") == F.col("sequence")).select(KEY, "id", F.col("idx").alias("start"), (F.col("idx") + n - 1).alias("end")) for n in sizes]
+    known = patterns.select(*([KEY] if own else []), "id", F.col("sequence").alias("gram"))
+    found = [ngrams(obs, n).join(known, [KEY, "gram"] if own else "gram").select(KEY, "id", F.col("idx").alias("start"), (F.col("idx") + n - 1).alias("end")) for n in sizes]
     return reduce(DataFrame.unionByName, found, empty)
 
 

@@ -105,9 +105,9 @@ def period(obs: DataFrame, max_period: int = 256, least: float = 0.3) -> DataFra
     v = obs.join(m, KEY).withColumn("d", number() - F.col("_m")).withColumn("pos", F.row_number().over(by_series()))
     top = F.least(F.expr("cast(_n div 2 as int)"), F.lit(max_period), F.col("_n").cast("int") - 1)
     total = v.groupBy(KEY).agg(F.sum(F.col("d") * F.col("d")).alias("_s"))
-    left = v.where(top >= 2).select(KEY, "d", "pos", top.alias("_top"), F.explode(F.sequence(F.lit(1), F.least(top + 1, F.col("_n").cast("int") - 1))).alias("lag"))
-    right = v.select(KEY, F.col("d").alias("e"), F.col("pos").alias("at"))
-    r = left.join(right, (left[KEY] == right[KEY]) & (left["pos"] + left["lag"] == right["at"])).select(left[KEY], "lag", "_top", "d", "e")
+    # a frame holds the rows ahead, so products are summed where they arise and only a row a lag is shuffled
+    ahead = F.collect_list(F.coalesce("d", F.lit(0.0))).over(by_series().rowsBetween(1, max_period + 1))
+    r = v.select(KEY, "d", top.alias("_top"), ahead.alias("_e")).where("_top >= 2").select(KEY, "d", "_top", F.posexplode("_e").alias("lag", "e")).withColumn("lag", F.col("lag") + 1).where("lag <= _top + 1")
     r = r.groupBy(KEY, "lag", "_top").agg(F.sum(F.col("d") * F.col("e")).alias("_c")).join(total, KEY).withColumn("r", safe_ratio(F.col("_c"), F.col("_s")))
     w = by_series("lag")
     peaks = r.select(KEY, "lag", "_top", "r", F.lag("r").over(w).alias("_b"), F.lead("r").over(w).alias("_a")).where((F.col("lag") >= 2) & (F.col("lag") <= F.col("_top")) & (F.col("r") > least) & (F.col("r") > F.col("_b")) & (F.col("_a").isNull() | (F.col("r") >= F.col("_a"))))

@@ -87,12 +87,9 @@ def _fields() -> list[str]:
 
 
 def related(patterns: DataFrame, obs: DataFrame) -> DataFrame:
-    """Patterns with relationships: which sequence pattern follows them in the labels, and how often (the likeliest three)."""
-    sequences = patterns.where("type = 'frequent_sequence'")
-    links = sequence.strongest_relationships(sequence.relationships(obs, sequences.select(F.concat_ws("\0", KEY, "id").alias("id"), "sequence")))
-    own = F.split("a", "\0")
-    links = links.where(own[0] == F.col(KEY)).where(F.split("b", "\0")[0] == F.col(KEY))
-    found = links.groupBy(KEY, own[1].alias("id")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.split("b", "\0")[1], "followed_by")))).alias("_f"))
+    """Patterns with relationships: which sequence pattern of their series follows them in its labels, and how often (the likeliest three)."""
+    links = sequence.strongest_relationships(sequence.relationships(obs, patterns.where("type = 'frequent_sequence'").select(KEY, "id", "sequence")))
+    found = links.groupBy(KEY, F.col("a").alias("id")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("b", "followed_by")))).alias("_f"))
     out = patterns.join(found, [KEY, "id"], "left")
     return out.withColumn("relationships", F.when(F.col("_f").isNotNull(), F.create_map(F.lit("followed_by"), F.col("_f")))).select(*patterns.columns)
 

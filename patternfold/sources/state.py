@@ -1,4 +1,4 @@
-"""An engine's tables in a folder: data first, the manifest that names them last, so a reader never sees half a save."""
+"""An engine's tables in a folder: data first, then a manifest of a new number that names them. A reader takes the last manifest that was finished, so it never sees half a save, and a save that breaks off leaves the one before."""
 
 from __future__ import annotations
 
@@ -21,12 +21,24 @@ def save(tables: dict[str, DataFrame], path: str, settings: dict | None = None)
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}-{stamp}")
     manifest = json.dumps({"version": VERSION, "tables": {n: f"{n}-{stamp}" for n in tables}, "settings": settings or {}}, default=str)
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    number = max([n for n, _ in _manifests(spark, path, False)], default=0) + 1
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest-{number:09d}-{stamp}")
+
+
+def _manifests(spark: SparkSession, path: str, finished: bool = True) -> list[tuple[int, str]]:
+    """Numbers and folders of the manifests at ``path``, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-*" + ("/_SUCCESS" if finished else ""))
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    folders = [f.getPath().getParent() if finished else f.getPath() for f in found]
+    return sorted((int(f.getName().split("-")[1]), f.toString()) for f in folders)
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     """Tables and settings. A version from the future is refused; without a version, tables have their plain names."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
+    found = _manifests(spark, path)
+    if not found:
+        raise PatternError(f"nothing is saved at {path}")
+    manifest = json.loads(spark.read.text(found[-1][1]).first().value)
     if manifest.get("version", 0) > VERSION:
         raise PatternError(f"version {manifest['version']} is newer than {VERSION}")
     return {n: spark.read.parquet(f"{path}/{f}") for n, f in manifest["tables"].items()}, manifest.get("settings", {})

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from patternfold.engine import PatternEngine
+from patternfold.errors import PatternError
 from patternfold.operators import windows
 from patternfold.schema import OBS
 from patternfold.streaming import online
@@ -58,6 +59,51 @@ def test_columns_batch_match(spark, series):
     assert d.matches.where("similarity >= 0.5").count() > 0
 
 
+def test_series_keep_to_themselves(spark, series):
+    """Equal series have equal patterns and relationships, however many they are; ids are theirs alone."""
+    from functools import reduce
+
+    one = list("UVWX" * 7)
+    e = PatternEngine(spark, {"regimes": False, "seasonality": False})
+    alone = e.discover(series(labels=one, key="s0")).patterns.where("type = 'frequent_sequence'").collect()
+    many = PatternEngine(spark, {"regimes": False, "seasonality": False})
+    both = many.discover(reduce(lambda a, b: a.unionByName(b), [series(labels=one, key=f"s{i}") for i in range(4)])).patterns.where("type = 'frequent_sequence'").collect()
+    of = lambda rows, key: {tuple(r.sequence): (r.id, r.frequency, r.relationships) for r in rows if r.series_id == key}
+    want = of(alone, "s0")
+    assert want[("U", "V")][2]["followed_by"] and all(of(both, f"s{i}") == want for i in range(4))
+    with pytest.raises(PatternError):
+        many.update("P-001", state="RETIRED")
+    with pytest.raises(PatternError):
+        many.explain("P-001")
+    many.update("P-001", series="s2", state="RETIRED")
+    assert {r.series_id for r in many.get_pattern("P-001").where("state = 'RETIRED'").collect()} == {"s2"} and "P-001" in many.explain("P-001", "s1")
+
+
+def test_batch_goes_on(spark):
+    e = PatternEngine(spark, {"regimes": False, "seasonality": False})
+    b = e.batch({"good": list("KLKLKLKL"), "bad": spark.range(3)})
+    assert {r.series_id for r in b.patterns.select("series_id").distinct().collect()} == {"good"} and b.matches.count() > 0
+    assert "bad" in {r.series_id for r in b.evidence["errors"].collect()}
+    assert e.batch({}).patterns.count() == 0
+
+
+def test_saved_trails(spark, series, tmp_path):
+    e = PatternEngine(spark, {"regimes": False, "seasonality": False})
+    path = str(tmp_path / "engine")
+    e.discover(series(labels=list("GHI" * 5)))
+    e.save(path)
+    e.discover(series(labels=list("GHI" * 5)))
+    e.save(path)
+    (tmp_path / "engine" / "manifest-000000009-broken").mkdir()  # a save that broke off
+    back = PatternEngine.load(spark, path)
+    trail = lambda x: sorted((r.step, r.key, r.value) for r in x.history("all/P-001").collect())
+    assert back.runs == 2 and trail(back) == trail(e) and {t[0] for t in trail(back)} == {0, 1}
+    back.discover(series(labels=list("GHI" * 5)))
+    assert {t[0] for t in trail(back)} == {0, 1, 2}
+    with pytest.raises(PatternError):
+        PatternEngine.load(spark, str(tmp_path / "none"))
+
+
 def test_stream_equals_batch(spark, series, tmp_path):
     rnd = random.Random(5)
     values = [rnd.gauss(0, 1) for _ in range(200)]
