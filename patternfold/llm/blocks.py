@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 CHUNK = 1 << 20
 LONGEST_MIXED = 64
-HELD = 64 << 20
+HELD = 32 << 20
 _TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3  # fixed values of the C library
 
 
@@ -34,7 +34,7 @@ def _libc():
     try:
         found = ctypes.CDLL("libc.so.6")
         found.mallopt(_TRIM_THRESHOLD, HELD)
-        found.mallopt(_MMAP_THRESHOLD, HELD // 2)
+        found.mallopt(_MMAP_THRESHOLD, HELD // 4)
         return found if hasattr(found, "malloc_trim") else None
     except (OSError, AttributeError):
         return None
