@@ -14,7 +14,6 @@ MOST_BATCH windows of its documents, however many they are, and holds CHUNK subw
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,23 +44,31 @@ SAFE = 60.0  # logits beyond it are shifted before exp
 _MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -np.inf).astype(np.float32)[BACK:]
 
 
+#: The characters that stand for the 256 bytes in byte-level files, and how a text falls into pieces.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {chr(c): c for c in _SHOWN} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in _SHOWN)}
+_PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|[^\S ]+| """
+
+
 class WordIds(Remembered):
-    """Ids of words in a byte-level BPE file, each word encoded once while remembered."""
+    """Ids of words in a byte-level BPE file, each word encoded once while remembered.
+
+    Of two neighbours that make a known token, those that make the earliest one merge first. A space begins a piece, so what stands around a word has no part in its ids."""
 
     MOST = 1_200_000
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary = model["vocab"]
+        merged = (m if isinstance(m, str) else " ".join(m) for m in model["merges"])
+        spelled = dict.fromkeys([*_BYTES, *(m.replace(" ", "") for m in merged)])
+        self.encoding = tiktoken.Encoding("words", pat_str=_PIECES, mergeable_ranks={bytes(_BYTES[c] for c in x): i for i, x in enumerate(spelled)}, special_tokens={})
+        self.id = np.array([vocabulary[x] for x in spelled], np.int64)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)
+        self.width[self.id] = [len(x) for x in spelled]
         self.kind = np.uint16 if len(self.width) <= 1 << 16 else np.uint32
         self._reset()
 
@@ -86,12 +93,7 @@ class WordIds(Remembered):
             stop = np.cumsum(size + 1)
             data = np.full(int(stop[-1]), 32, np.uint8)
             data[ragged(stop - size, size)] = raw[ragged(start[i : i + 16384], size)]
-            data = data.tobytes()
-            cuts = [0, *stop[2047::2048].tolist()]
-            if cuts[-1] < len(data):
-                cuts.append(len(data))
-            found = self.tokenizer.encode_batch_fast([data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.int64) for e in found])
+            ids = self.id[self.encoding.encode_ordinary(data.tobytes().decode())]
             ends = np.searchsorted(np.cumsum(self.width[ids]), stop) + 1
             self._append(ids, np.diff(ends, prepend=0))
 

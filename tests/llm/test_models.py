@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from patternfold.llm import attention_lm, components, jaccard_regions, language_bits, ordinal_quality
 from patternfold.llm.byte_tokens import default_vocabulary
@@ -151,12 +152,23 @@ def test_scores_equal_plain_loops(larger):
     assert np.isfinite(got).all() and np.allclose(got, [plain_score(m.w, t) for t in texts], rtol=2e-3)
 
 
+def test_word_ids_are_the_library_s(docs):
+    path = default_vocabulary()
+    own, library = attention_lm.WordIds(path), Tokenizer.from_file(path)
+    texts = ["it's we'll 12ab3 ?! naïve 東京 ñ \u3000x\u00a0", "aaaaabaabcabab" * 40, "w" * 3000, "", None, "\x00\x7f \U0001f600\ufffd"]
+    texts += [r.text for r in docs.select("text").collect()]
+    ids, sizes = own.streams(pa.array(texts, pa.string()))
+    want = [[i for w in words(x) for i in library.encode(" " + w, add_special_tokens=False).ids] for x in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
 def test_subwords_spell_words():
     path = default_vocabulary()
     own = attention_lm.WordIds(path)
     texts = ["Thnatble the thnatble xqj", None, "the"]
     ids, sizes = own.streams(pa.array(texts))
-    tokens = {i: t for t, i in own.tokenizer.get_vocab(with_added_tokens=False).items()}
+    library = Tokenizer.from_file(path)
+    tokens = {i: t for t, i in library.get_vocab(with_added_tokens=False).items()}
     for counts in (np.bincount(ids, minlength=len(own.width)), np.zeros(len(own.width), np.int64), np.arange(len(own.width))):
         s = attention_lm.Subwords(path, counts)
         small, n = s.streams(ids, sizes)
