@@ -63,3 +63,12 @@ def test_caches():
     with timed(spent, "x"):
         pass
     assert spent["x"] >= 0
+
+
+def test_record_of_a_row():
+    p = Pattern.from_dict({})
+    assert (p.type, p.series_id, p.state, p.frequency, p.similarity, p.first_seen, p.features, p.sequence) == ("unknown", "all", "NEW", 0, None, None, {}, [])
+    assert p.features is not Pattern().features and p == Pattern() and p != Pattern(frequency=2) and p != {}
+    assert Pattern(similarity=-2.0).similarity == 0.0 and Pattern.from_dict({"sequence": ["a"], "state": None}).to_dict()["state"] == "NEW"
+    with pytest.raises(TypeError):
+        Pattern(colour="red")
