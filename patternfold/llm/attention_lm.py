@@ -144,13 +144,19 @@ class Subwords:
         self.size = np.fromiter(map(len, every), np.int64, len(every))
         self.parts = np.fromiter((x for p in every for x in p), np.int32, int(self.size.sum()))
         self.first = np.cumsum(self.size) - self.size
+        self.start = np.full(len(every), -1, np.int32)  # an id's first part; -1 where it has none
+        self.start[self.size > 0] = self.parts[self.first[self.size > 0]]
 
     def streams(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subwords of all texts, each text with its end, and how many each has, from ids of the file."""
-        length = self.size[ids]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])]
-        small = self.parts[self.first[ids]] if len(length) == ends[-1] and (length == 1).all() else self.parts[ragged(self.first[ids], length)]
-        return np.insert(small, ends[1:], END), np.diff(ends) + 1
+        small, ends = np.take(self.start, ids), np.concatenate([[0], np.cumsum(sizes)])
+        odd = np.flatnonzero(np.take(self.size != 1, ids))  # few; their further parts come in with the ends of texts
+        if not len(odd):
+            return np.insert(small, ends[1:], END), sizes + 1
+        more = self.size[ids[odd]] - 1
+        further = self.parts[ragged(self.first[ids[odd]] + 1, np.maximum(more, 0))]
+        some = np.insert(small, np.concatenate([np.repeat(odd + 1, np.maximum(more, 0)), ends[1:]]), np.concatenate([further, np.full(len(sizes), END, np.int32)]))
+        return some[some >= 0] if (more < 0).any() else some, np.diff(np.concatenate([[0], np.cumsum(more)])[np.searchsorted(odd, ends)]) + sizes + 1
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,12 +167,15 @@ def windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     per = -(-sizes // STRIDE)
     room = BACK + STRIDE * per
     begin = np.cumsum(room) - room
-    x, y = np.full(int(room.sum()), END, np.int32), np.full(int(room.sum()), -1, np.int32)
-    at = ragged(begin + BACK, sizes)
-    y[at] = ids
-    ahead = np.ones(len(ids), bool)
-    ahead[np.cumsum(sizes) - 1] = False  # a text's last target is nobody's input
-    x[at[ahead] + 1] = ids[ahead]
+    used = np.ones(int(room.sum()), bool)
+    used[ragged(begin, np.full(len(room), BACK))] = False
+    used[ragged(begin + BACK + sizes, STRIDE * per - sizes)] = False
+    x, y = np.empty(len(used) + 1, np.int32), np.full(len(used), -1, np.int32)
+    y[used] = ids
+    x[0] = END
+    np.bitwise_and(y, END, out=x[1:])  # -1 becomes the end, whose bits are all ones
+    x[begin + BACK + sizes] = END  # a text's last target is nobody's input
+    x = x[:-1]
     turn = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
     return x, y, np.repeat(begin, per) + STRIDE * turn, per
 
@@ -436,12 +445,13 @@ def encode(rows: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = kept(path), np.zeros(length, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, trims=False):
                 ids, sizes = own.streams(part.column("text"))
                 held, n = part.column("held_out").to_numpy(zero_copy_only=False), part.num_rows
                 counts += np.bincount(ids[np.repeat(~held, sizes)], minlength=length)
                 data, cuts = ids.astype(ids.dtype.newbyteorder("<")).tobytes(), (ids.itemsize * np.concatenate([[0], np.cumsum(sizes)])).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(["doc"] * n, pa.string()), part.column("doc_id").cast(pa.int64()), part.column("hash"), part.column("held_out"), pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        blocks.trim()
         keys, data = arrays.pieces(counts)
         yield pa.RecordBatch.from_arrays([pa.array(["count"] * len(keys), pa.string()), *(pa.nulls(len(keys), k) for k in kinds[1:5]), pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names)
 
@@ -470,9 +480,10 @@ def fit(encoded: DataFrame, documents: int, subwords: Subwords, rounds: int = RO
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             own = Trainer(Attention.unflat(now.value.copy()), documents / (trainers * rounds), turn, fresh=not turn)
             for batch in batches:
-                for part in slices(batch, "ids"):
+                for part in slices(batch, "ids", trims=False):
                     own.add(*known.value.streams(*_ids(part, kind)))
             own.flush()
+            blocks.trim()
             numbers = np.concatenate([np.rint(own.flat.astype(np.float64) * own.subwords * _POINT / 4096), [own.subwords]]).astype(np.int64)
             keys, data = arrays.pieces(numbers)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["key", "data"])
@@ -497,8 +508,9 @@ def score(encoded: DataFrame, model: Attention, subwords: Subwords) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Attention.unflat(flat.value)
         for batch in batches:
-            for part in slices(batch, "ids"):
+            for part in slices(batch, "ids", trims=False):
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(own.score(*known.value.streams(*_ids(part, kind))))], [*(f.name for f in others), "score"])
+        blocks.trim()
 
     return encoded.mapInArrow(run, schema)
 

@@ -80,8 +80,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most ``limit`` bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES, trims: bool = True) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most ``limit`` bytes of text (one row at least). ``trims``: after each, freed memory goes back to the machine; without, the next one takes it over, which spares the machine to clear its pages."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     off = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     i, n = 0, batch.num_rows
@@ -89,7 +89,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
-        trim()
+        if trims:
+            trim()
 
 
 class Words:

@@ -34,9 +34,10 @@ def _stage(bits: int):
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, trims=False):
                 yield _batch(_slice_rows(part, base, bits))
                 base += 1
+        blocks.trim()
 
     return run
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from patternfold.llm import attention_lm, components, jaccard_regions, language_bits, ordinal_quality
+from patternfold.llm import attention_lm, blocks, components, jaccard_regions, language_bits, ordinal_quality, word_counts
 from patternfold.llm.byte_tokens import default_vocabulary
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -119,6 +119,41 @@ def test_windows_score_each_subword_once():
     assert total == pytest.approx(1, rel=1e-3)
 
 
+def test_windows_equal_plain_loops():
+    A = attention_lm
+    r = np.random.default_rng(2)
+    texts = [np.append(r.integers(0, A.SUBWORDS, n), A.END).astype(np.int32) for n in (0, 18, 19, 0, 20, 39, 57)]
+    x, y, start, per = A.windows(np.concatenate(texts), np.array([len(t) for t in texts]))
+    want = [(t, first) for t in texts for first in range(0, len(t), A.STRIDE)]
+    assert len(start) == len(want) == per.sum()
+    for s, (t, first) in zip(start, want):
+        places = range(first - A.BACK, first + A.STRIDE)
+        assert x[s : s + A.WINDOW].tolist() == [t[i - 1] if 0 < i < len(t) else A.END for i in places]
+        assert y[s + A.BACK : s + A.WINDOW].tolist() == [t[i] if i < len(t) else -1 for i in places[A.BACK :]]
+
+
+def test_subwords_equal_plain_loops():
+    s = attention_lm.Subwords(default_vocabulary(), np.zeros(1, np.int64))
+    assert (s.size > 1).any() and (s.size == 1).any()
+    r = np.random.default_rng(4)
+    one = np.flatnonzero(s.size == 1)
+    for pool in (np.arange(len(s.size)), one):
+        texts = [r.choice(pool, n) for n in (0, 0, 7, 1, 60, 0, 33, 0)]
+        got, sizes = s.streams(np.concatenate(texts).astype(np.uint16), np.array([len(t) for t in texts]))
+        want = [[int(p) for i in t for p in s.parts[s.first[i] : s.first[i] + s.size[i]]] + [attention_lm.END] for t in texts]
+        assert got.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+
+
+def test_memory_goes_back_once_a_task(monkeypatch):
+    """A slice takes over what the one before it freed: clearing those pages again cost a quarter of that stage's time."""
+    trims = []
+    monkeypatch.setattr(blocks, "trim", lambda: trims.append(1))
+    batch = pa.record_batch({"doc_id": pa.array([1, 2, 3]), "text": ["wort " * 220_000] * 3, "hash": pa.array([4, 5, 6]), "train": [True, True, False]})
+    rows = [r for b in word_counts._stage(4)(iter([batch, batch])) for r in b.to_pylist()]
+    assert sum(r["kind"] == word_counts._DOCS for r in rows) == 6 and len(trims) == 1
+    assert len(list(blocks.slices(batch))) == 3 and len(trims) == 4
+
+
 def plain_score(w, ids):
     """log10 probability of one text by loops over windows, positions and choices, in float64."""
     A = attention_lm
