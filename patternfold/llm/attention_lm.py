@@ -69,6 +69,8 @@ class WordIds(Remembered):
         self.id = np.array([vocabulary[x] for x in spelled], np.int64)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.width[self.id] = [len(x) for x in spelled]
+        self.opens = np.zeros(len(self.width), bool)  # ids that begin with a space: a word's first one does, no other
+        self.opens[self.id] = [_BYTES[x[0]] == 32 for x in spelled]
         self.kind = np.uint16 if len(self.width) <= 1 << 16 else np.uint32
         self._reset()
 
@@ -455,6 +457,7 @@ def encode(rows: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
         keys, data = arrays.pieces(counts)
         yield pa.RecordBatch.from_arrays([pa.array(["count"] * len(keys), pa.string()), *(pa.nulls(len(keys), k) for k in kinds[1:5]), pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names)
 
+    shared.text_batches(spark)
     where = shared.fresh(spark, "subwords")
     rows.select("doc_id", "hash", "held_out", "text").mapInArrow(run, _ENCODED).write.option("compression", "zstd").parquet(where)
     every = spark.read.schema(_ENCODED).parquet(where)
@@ -466,6 +469,21 @@ def _ids(part: pa.RecordBatch, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), np.dtype(kind).newbyteorder("<")), np.diff(off) // np.dtype(kind).itemsize
 
 
+def id_words(path: str):
+    """For unigram_scores: hash and row of every word in a batch with ids, which are as different as the words they spell."""
+
+    def words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own = kept(path)
+        ids, sizes = _ids(part, own.kind)
+        start = np.flatnonzero(np.take(own.opens, ids))
+        end = np.append(start[1:], len(ids))[: len(start)]
+        hashes = blocks.segment_hashes(ids.view(np.uint8), ids.itemsize * start, ids.itemsize * end)
+        counts = np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)])))
+        return hashes, np.repeat(np.arange(len(sizes)), counts)
+
+    return words
+
+
 def fit(encoded: DataFrame, documents: int, subwords: Subwords, rounds: int = ROUNDS) -> Attention:
     """A model of the rows doc_id, hash, ids of ``encoded`` (``documents`` of them): every row is learned from once, by one trainer in one round. What reaches the driver is one model a round."""
     context = encoded.sparkSession.sparkContext
@@ -524,8 +542,8 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), held.alias("held_out"))
-    base, totals = unigram_scores(rows.withColumn("train", ~F.col("held_out")))
     encoded, counts = encode(rows, path)
+    base, totals = unigram_scores(encoded.withColumn("train", ~F.col("held_out")), "ids", id_words(path))
     subwords = Subwords(path, counts)
     model = fit(encoded.where(~F.col("held_out")), totals["documents"], subwords)
     scored = score(encoded, model, subwords)

@@ -29,24 +29,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
 
 
-def _stage(bits: int):
+def text_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word of ``part``'s column text."""
+    w = blocks.words(part.column("text"), lower=True)
+    return w.hash, w.doc
+
+
+def _stage(bits: int, column: str = "text", words=text_words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
         for batch in batches:
-            for part in slices(batch, trims=False):
-                yield _batch(_slice_rows(part, base, bits))
+            for part in slices(batch, column, trims=False):
+                yield _batch(_slice_rows(part, base, bits, words))
                 base += 1
         blocks.trim()
 
     return run
 
 
-def _slice_rows(part: pa.RecordBatch, base: int, bits: int) -> list[tuple]:
-    w = blocks.words(part.column("text"), lower=True)
+def _slice_rows(part: pa.RecordBatch, base: int, bits: int, words) -> list[tuple]:
+    hashes, doc = words(part)
     train = part.column("train").to_numpy(zero_copy_only=False)
-    known, local = np.unique(w.hash, return_inverse=True)
-    doc = w.doc
+    known, local = np.unique(hashes, return_inverse=True)
     pair = np.sort(doc << 32 | local)
     head = np.flatnonzero(np.diff(pair, prepend=-1))
     tf, pair = np.diff(head, append=len(pair)), pair[head]
@@ -137,21 +142,22 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _finish(rows)
 
 
-def unigram_scores(docs: DataFrame) -> tuple[DataFrame, dict]:
+def unigram_scores(docs: DataFrame, column: str = "text", words=text_words) -> tuple[DataFrame, dict]:
     """For doc_id, text, hash (long), train (boolean) of ``docs``: a DataFrame doc_id, hash, train, n_tokens, n_known,
     base_score of each row, and the totals tokens (N), distinct (V) and documents of training.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; each text has an end token as well. base_score is the sum of
-    log10((c + 0.5) / (N + 0.5 (V + 1))). Null texts have the end token alone.
+    log10((c + 0.5) / (N + 0.5 (V + 1))). Null texts have the end token alone. Where another ``column`` stands for the
+    text, ``words`` tells the hash and the row of every word in a batch of it.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", "hash", "train")
+    docs = docs.select("doc_id", column, "hash", "train")
     shared.text_batches(spark)
     parts = max(docs.rdd.getNumPartitions(), 1)
     bits = max(4, (4 * parts - 1).bit_length())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared.fresh(spark, "words")
-    dealt = docs.mapInArrow(_stage(bits), _DDL).repartition(min(1 << bits, max(4 * parts, least)), "bucket").mapInArrow(_count, _DDL)
+    dealt = docs.mapInArrow(_stage(bits, column, words), _DDL).repartition(min(1 << bits, max(4 * parts, least)), "bucket").mapInArrow(_count, _DDL)
     dealt.repartition(max(2 * parts, least), "base").sortWithinPartitions("base").mapInArrow(_assemble, _OUT_DDL).write.parquet(path)
     rows = spark.read.schema(_OUT_DDL).parquet(path)
     found = rows.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.when(F.col("train"), 1).otherwise(0))).first()

@@ -144,6 +144,20 @@ def test_subwords_equal_plain_loops():
         assert got.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
 
 
+def test_words_of_ids_are_those_of_texts(docs):
+    texts = ["it's we'll 12ab3 ?! naïve 東京 \u3000x\u00a0  x", "", None, " \n\t ", "a" * 3000 + " A", "\x00\x7f \U0001f600\ufffd <|endoftext|>"]
+    texts += [r.text for r in docs.select("text").collect()]
+    own = attention_lm.kept(default_vocabulary())
+    ids, sizes = own.streams(pa.array(texts, pa.string()))
+    rows = [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    got, row = attention_lm.id_words(default_vocabulary())(pa.record_batch({"ids": pa.array(rows, pa.binary())}))
+    want = [(i, w) for i, x in enumerate(texts) for w in words(x)]
+    assert row.tolist() == [i for i, _ in want]
+    assert len(set(zip(got.tolist(), (w for _, w in want)))) == len(set(got.tolist())) == len({w for _, w in want})
+    none = attention_lm.id_words(default_vocabulary())(pa.record_batch({"ids": pa.array([b"", b""], pa.binary())}))
+    assert [len(x) for x in none] == [0, 0]
+
+
 def test_memory_goes_back_once_a_task(monkeypatch):
     """A slice takes over what the one before it freed: clearing those pages again cost a quarter of that stage's time."""
     trims = []
