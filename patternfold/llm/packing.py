@@ -2,9 +2,9 @@
 
 A document's ids fill windows of their own while they can; what is left (under a window) is its tail. Tails
 are ordered by the two words that weigh most in their BM25 (of the words that another document may have too), so that
-copies and texts of one matter come together, and cut into shards. Each shard is a BM25 inverted index over 64-bit terms
-with document frequencies and mean length of the whole corpus; frequencies are those of a count-min sketch of SKETCH rows,
-which is never below the true one. The first unused tail is a seed: its unused neighbours by BM25 fill its
+copies and texts of one matter come together, and cut into shards, at borders taken from some of their keys. Each shard
+is a BM25 inverted index over 64-bit terms with document frequencies and mean length of the whole corpus; frequencies
+are those of a count-min sketch of SKETCH rows, which is never below the true one. The first unused tail is a seed: its unused neighbours by BM25 fill its
 window, those that fit first; the best that doesn't fit is cut, and its rest stays in the index. Only the last
 window of a shard can end early.
 """
@@ -30,6 +30,7 @@ SKETCH, SKETCH_BITS = 4, 18
 SHARD_ROWS = 1024
 K1, B = 1.2, 0.75
 NEIGHBOURS = 64
+KEYS, MOST_KEYS = 100, 1_000_000  # as Spark's own range partitioning draws them
 
 _NAMES = ["kind", "doc_id", "doc_tokens", "full", "tail", "terms", "tfs", "words", "key", "data"]
 _SCHEMA = "kind string, doc_id long, doc_tokens long, full array<long>, tail binary, terms binary, tfs binary, words long, key int, data binary"
@@ -139,29 +140,68 @@ def _weights(tf: np.ndarray, words: np.ndarray, idf: np.ndarray, mean: float) ->
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words / mean))
 
 
-def _route(statistics):
-    """Adds route and second to tails: the two terms of most weight among those that another document may have; 0 where there is none."""
+def _first(weight: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The places of each text's largest weight, the first of equal ones; ``of`` ascends and texts without any have none."""
+    head = np.flatnonzero(np.diff(of, prepend=-1))
+    if not len(head):
+        return head
+    most = np.zeros(n)
+    most[of[head]] = np.maximum.reduceat(weight, head)
+    at = np.flatnonzero(weight == most[of])
+    return at[np.flatnonzero(np.diff(of[at], prepend=-1))]
+
+
+def _routes(batch: pa.RecordBatch, s: Statistics) -> tuple[np.ndarray, np.ndarray]:
+    """Route and second of each tail: the two terms of most weight among those that another document may have; 0 where there is none."""
+    n = batch.num_rows
+    raw, off = blocks.utf8(batch.column("terms"))
+    term, size = np.frombuffer(raw.tobytes(), "<u8"), np.diff(off) // 8
+    tf = np.frombuffer(blocks.utf8(batch.column("tfs"))[0].tobytes(), "<u4").astype(float)
+    of = np.repeat(np.arange(n), size)
+    df = s.frequency(term)
+    weight = _weights(tf, batch.column("words").to_numpy()[of], np.log1p((s.documents - df + 0.5) / (df + 0.5)).clip(0), s.mean)
+    some = np.flatnonzero(df > 1)
+    both = np.zeros((2, n), np.uint64)
+    for own in both:  # a tail's terms ascend, so the first of equal weights is the least term
+        best = _first(weight[some], of[some], n)
+        own[of[some[best]]] = term[some[best]]
+        some = np.delete(some, best)
+    return (both[0] >> np.uint64(1)).astype(np.int64), (both[1] >> np.uint64(1)).astype(np.int64)
+
+
+_KEY = np.dtype([("route", np.int64), ("second", np.int64), ("row", np.int64)])
+
+
+def _keyed(route: np.ndarray, second: np.ndarray, row: np.ndarray) -> np.ndarray:
+    out = np.empty(len(row), _KEY)
+    out["route"], out["second"], out["row"] = route, second, row
+    return out
+
+
+def _keys(statistics):
+    """Route, second and row of tails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = statistics.value
         for batch in batches:
-            n = batch.num_rows
-            raw, off = blocks.utf8(batch.column("terms"))
-            term, size = np.frombuffer(raw.tobytes(), "<u8"), np.diff(off) // 8
-            tf = np.frombuffer(blocks.utf8(batch.column("tfs"))[0].tobytes(), "<u4").astype(float)
-            of = np.repeat(np.arange(n), size)
-            df = s.frequency(term)
-            weight = _weights(tf, batch.column("words").to_numpy()[of], np.log1p((s.documents - df + 0.5) / (df + 0.5)).clip(0), s.mean)
-            some = np.flatnonzero(df > 1)
-            some = some[np.lexsort((term[some], -weight[some], of[some]))]
-            head = np.flatnonzero(np.diff(of[some], prepend=-1))
-            both = np.zeros((2, n), np.uint64)
-            both[0, of[some[head]]] = term[some[head]]
-            next_ = head + 1
-            next_ = next_[(next_ < len(some))]
-            next_ = next_[of[some[next_]] == of[some[next_ - 1]]]
-            both[1, of[some[next_]]] = term[some[next_]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((both[0] >> np.uint64(1)).astype(np.int64)), pa.array((both[1] >> np.uint64(1)).astype(np.int64))], [*batch.schema.names, "route", "second"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _routes(batch, statistics.value)), batch.column("row")], list(_KEY.names))
+
+    return run
+
+
+def _borders(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The first key of every shard but the first, by equal shares of some tails' keys."""
+    keys = np.sort(keys, order=_KEY.names)
+    return keys[np.unique(np.arange(1, shards) * len(keys) // shards)] if len(keys) else keys
+
+
+def _route(statistics, borders):
+    """Adds route, second and the number of the shard to tails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            route, second = _routes(batch, statistics.value)
+            shard = np.searchsorted(borders.value, _keyed(route, second, batch.column("row").to_numpy()), side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(route), pa.array(second), pa.array(shard.astype(np.int32))], [*batch.schema.names, "route", "second", "shard"])
 
     return run
 
@@ -185,6 +225,7 @@ class Shard:
         self.n, self.matrix = n, np.zeros((int(heavy.sum()), n), np.float32)
         dense = heavy[inverse]
         self.matrix[number[inverse[dense]], doc[dense]] = weight[dense]
+        self.present = np.ascontiguousarray(self.matrix.T > 0).astype(np.float32)
         inverse, doc, weight = inverse[~dense], doc[~dense], weight[~dense]
         order = np.argsort(inverse, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
@@ -197,12 +238,13 @@ class Shard:
         a, b = self.bounds[i], self.bounds[i + 1]
         at = ragged(self.start[a:b], self.count[a:b])
         light = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
-        return light + (self.matrix[:, i] > 0).astype(np.float32) @ self.matrix
+        return light + self.present[i] @ self.matrix
 
 
 def fill(shard: Shard, left: np.ndarray, window: int) -> Iterator[list[tuple[int, int]]]:
     """Windows as lists of (document, ids taken). ``left``: ids of each tail; comes down to 0."""
     seed, n = 0, len(left)
+    order = np.arange(n) * 1e-9  # ties: order of the shard
     while True:
         while seed < n and not left[seed]:
             seed += 1
@@ -212,21 +254,22 @@ def fill(shard: Shard, left: np.ndarray, window: int) -> Iterator[list[tuple[int
         taken = [(seed, int(left[seed]))]
         left[seed] = 0
         if room:
-            score = shard.scores(seed)
-            score[left == 0] = -1.0
-            score -= np.arange(n) * 1e-9  # ties: order of the shard
+            far = shard.scores(seed)  # best first once it is turned round
+            far[left == 0] = -1.0
+            np.subtract(order, far, out=far)
             cut = -1
             top = min(NEIGHBOURS, n)
             while room:
-                some = np.argpartition(-score, top - 1)[:top] if top < n else np.arange(n)
-                for d in some[np.argsort(-score[some], kind="stable")].tolist():
+                some = np.argpartition(far, top - 1)[:top] if top < n else np.arange(n)
+                some = some[np.argsort(far[some], kind="stable")]
+                for d, size in zip(some.tolist(), left[some].tolist()):
                     if not room:
                         break
-                    if left[d] and left[d] <= room:
-                        taken.append((d, int(left[d])))
-                        room -= int(left[d])
+                    if size and size <= room:
+                        taken.append((d, size))
+                        room -= size
                         left[d] = 0
-                    elif left[d] and cut < 0:
+                    elif size and cut < 0:
                         cut = d
                 if room and cut >= 0:
                     taken.append((cut, room))
@@ -294,16 +337,25 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
     statistics = Statistics(arrays.total(read("stats", "key", "data"), (SKETCH << SKETCH_BITS) + 2))
     sent = spark.sparkContext.broadcast(statistics)
     names = ["doc_id", "doc_tokens", "full", "tail", "terms", "tfs", "words"]
-    schema = ", ".join([*(f"{n} {fields[n]}" for n in names), "row long, route long, second long"])
-    tails = read("doc", *names).where(F.octet_length("tail") > 0).withColumn("row", F.monotonically_increasing_id())
+    schema = ", ".join([*(f"{n} {fields[n]}" for n in names), "row long, route long, second long, shard int"])
+    tails = read("doc", *names).where(F.col("doc_tokens") % window != 0).withColumn("row", F.monotonically_increasing_id())
     shards = max(1, -(-statistics.documents // SHARD_ROWS))
-    routed = tails.mapInArrow(_route(sent), schema)
-    packed = routed.repartitionByRange(shards, "route", "second", "row").sortWithinPartitions("route", "second", "row").mapInArrow(_pack(window, sent), _PIECE_DDL)
+    borders = spark.sparkContext.broadcast(_borders(_some_keys(tails, sent, shards), shards))
+    packed = tails.mapInArrow(_route(sent, borders), schema).repartitionById(shards, "shard").sortWithinPartitions("route", "second", "row").mapInArrow(_pack(window, sent), _PIECE_DDL)
     whole = read("doc", "doc_id", "doc_tokens", "full").select("doc_id", "doc_tokens", F.posexplode("full").alias("k", "ids_crc32"))
     alone = whole.select("doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return alone.unionByName(packed)
 
 
+def _some_keys(tails: DataFrame, sent, shards: int) -> np.ndarray:
+    """Keys of about KEYS tails a shard, MOST_KEYS at most, to place the shards' borders by; every tail is dealt by them."""
+    if shards == 1:
+        return np.zeros(0, _KEY)
+    share = min(1.0, KEYS / SHARD_ROWS, MOST_KEYS / sent.value.documents)
+    found = tails.select("terms", "tfs", "words", "row").sample(share, seed=1).mapInArrow(_keys(sent), "route long, second long, row long").toArrow()
+    return _keyed(*(found.column(name).to_numpy() for name in _KEY.names))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

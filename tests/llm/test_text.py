@@ -455,6 +455,59 @@ def test_sketch_is_never_below(spark):
     assert s.documents == 300 and (got >= list(true.values())).all() and (got == list(true.values())).mean() > 0.99
 
 
+def test_tails_are_routed_once(spark, small, monkeypatch):
+    """Shards' borders come from some of the tails' keys: all tails go through _route a single time."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 64)
+    seen, route = spark.sparkContext.accumulator(0), packing._route
+
+    def counting(*args):
+        run = route(*args)
+
+        def counted(batches):
+            def each():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            return run(each())
+
+        return counted
+
+    monkeypatch.setattr(packing, "_route", counting)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = packing.pack(docs).collect()
+    check_packing(docs, rows, 1024)
+    tokens = {(r.doc_id, r.doc_tokens) for r in rows}
+    assert len(tokens) > 128 and seen.value == sum(n % 1024 != 0 for _, n in tokens)
+    shards = {r.sequence_id >> 33 for r in rows if r.sequence_id & 1}
+    assert 2 < len(shards) <= -(-len(tokens) // 64)
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_routes_and_borders():
+    r = np.random.default_rng(4)
+    terms = [np.unique(r.integers(1, 40, 6)).astype(np.uint64) << np.uint64(1) for _ in range(300)] + [np.zeros(0, np.uint64), np.array([2**40], np.uint64)]
+    tfs = [r.integers(1, 3, len(t)).astype(np.uint32) for t in terms]
+    words_ = np.array([t.sum() for t in tfs], np.int64)
+    corpus = Corpus(terms, words_)
+    corpus.frequency = lambda t: np.array([corpus.df[x] for x in t.tolist()], np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in terms]), pa.array([t.tobytes() for t in tfs]), pa.array(words_), pa.array(range(302), pa.int64())], ["terms", "tfs", "words", "row"])
+    route, second = packing._routes(batch, corpus)
+    for i, (own, f) in enumerate(zip(terms, tfs)):
+        weight = packing._weights(f.astype(float), np.full(len(f), words_[i]), corpus.idf(own), corpus.mean)
+        best = [t >> 1 for _, t in sorted((-w, t) for w, t in zip(weight.tolist(), own.tolist()) if corpus.df[t] > 1)]
+        assert [route[i], second[i]] == (best + [0, 0])[:2]
+    keys = packing._keyed(route, second, np.arange(302))
+    out = next(packing._route(Held(corpus), Held(packing._borders(keys, 5)))([batch]))
+    shard = out.column("shard").to_numpy()[np.argsort(keys, order=["route", "second", "row"])]
+    assert (np.diff(shard) >= 0).all() and np.bincount(shard).tolist() == [60, 60, 61, 60, 61]
+    assert not len(packing._borders(keys[:0], 5)) and len(packing._borders(keys[:2], 5)) == 2
+
+
 # --- native operators
 
 
